@@ -210,6 +210,8 @@ def oracle(statement: str) -> str:
     """A statement with the table expressions above in front of it."""
     body = statement.strip()
     head = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in CTES.items())
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -195,7 +195,7 @@ def score_contributions(spark, sf_dir):
        FROM scr s JOIN con USING (order_id) GROUP BY s.order_id""",
 )
 def score_reasons(spark, sf_dir):
-    return scored(spark, sf_dir).select(
+    return scoring.with_contributions(scored(spark, sf_dir)).select(
         "order_id", F.array_join(scoring.reasons(), ",").alias("reasons")
     )
 
@@ -283,10 +283,8 @@ def order_scores_fallback(spark, sf_dir):
                GROUP BY order_id) USING (order_id)""",
 )
 def score_rationale(spark, sf_dir):
-    return scored(spark, sf_dir).select(
-        "order_id",
-        scoring.short_rationale().alias("short_text"),
-        scoring.long_rationale().alias("long_text"),
+    return scoring.with_rationales(scored(spark, sf_dir)).select(
+        "order_id", "short_text", "long_text"
     )
 
 

@@ -58,9 +58,9 @@ def outcome(routed: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
 
 def outputs(decisions: DataFrame) -> dict[str, DataFrame]:
     """Everything a decided batch writes. ``decisions`` should be pinned."""
-    scored = decisions.filter(F.col("score").isNotNull())
+    scored = scoring.with_contributions(decisions.filter(F.col("score").isNotNull()))
     top = F.transform(
-        F.slice(scoring.contribution_array(), 1, 5),
+        F.slice("contributions", 1, 5),
         lambda e: F.struct(
             e["feature"].alias("feature"), e["contribution"].alias("contribution")
         ),

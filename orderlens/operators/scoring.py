@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orderlens import schemas
 from orderlens.operators.history import FEATURE_NAMES
-from orderlens.plans.running import first_per_key
+from orderlens.plans.running import evaluated_once, first_per_key
 
 # The twelve weights of the model.
 MODEL_WEIGHTS = {
@@ -132,7 +132,7 @@ def with_score(
 ) -> DataFrame:
     """Add ``logit, score, band, model_version, degraded``."""
     return (
-        features.withColumn("logit", logit(model))
+        evaluated_once(features, "logit", logit(model))
         .withColumn("score", sigmoid(F.col("logit")))
         .withColumns(
             {
@@ -169,10 +169,15 @@ def contribution_array(model: RiskModel = MODEL) -> Column:
     return _ranked(F.array(*entries))
 
 
-def reasons(model: RiskModel = MODEL, limit: int = MAX_REASONS) -> Column:
+def with_contributions(scored: DataFrame, model: RiskModel = MODEL) -> DataFrame:
+    """Add the ranked array once, for reasons and rationales to read."""
+    return scored.withColumn("contributions", contribution_array(model))
+
+
+def reasons(limit: int = MAX_REASONS) -> Column:
     """Names of the strongest features that clear the floor."""
     kept = F.filter(
-        contribution_array(model),
+        "contributions",
         lambda e: (e["contribution"] >= REASON_FLOOR) & (e["value"] > 0),
     )
     return F.transform(F.slice(kept, 1, limit), lambda e: e["feature"])
@@ -245,55 +250,57 @@ def describe_features() -> Column:
     return F.when(text == "", "no elevated features").otherwise(text)
 
 
-def _drivers(model: RiskModel, limit: int) -> Column:
-    positive = F.filter(contribution_array(model), lambda e: e["value"] > 0)
+def _drivers(limit: int) -> Column:
+    positive = F.filter("contributions", lambda e: e["value"] > 0)
     return F.transform(
         F.slice(positive, 1, limit),
         lambda e: F.concat(e["label"], F.lit(" ("), two_places(e["value"]), F.lit(")")),
     )
 
 
-def short_rationale(model: RiskModel = MODEL) -> Column:
-    """One sentence from the two strongest features."""
-    drivers = _drivers(model, 2)
-    head = F.concat(F.lit("Scored "), two_places(F.col("score")), F.lit(" ("), F.col("band"))
-    return F.when(
-        F.size(drivers) == 0, F.concat(head, F.lit(") with no feature above its reporting floor."))
-    ).otherwise(
-        F.concat(head, F.lit("); driven by "), F.array_join(drivers, ", "), F.lit("."))
+def with_rationales(scored: DataFrame, model: RiskModel = MODEL, limit: int = 4) -> DataFrame:
+    """Add ``short_text``, one sentence from the two strongest features, and
+    ``long_text``, a reviewer's explanation from the four strongest."""
+    total = F.aggregate(
+        "contributions", F.lit(0.0), lambda total, e: total + e["contribution"]
     )
-
-
-def long_rationale(model: RiskModel = MODEL, limit: int = 4) -> Column:
-    """The explanation for a reviewer, from the four strongest features."""
-    drivers = _drivers(model, limit)
-    pushed = F.aggregate(
-        contribution_array(model), F.lit(0.0), lambda total, e: total + e["contribution"]
+    parts = (
+        with_contributions(scored, model)
+        .withColumns({"_pushed": total, "_score": two_places(F.col("score"))})
+        .withColumns(
+            {
+                "_push": two_places(F.col("_pushed")),
+                "_two": F.array_join(_drivers(2), ", "),
+                "_four": F.array_join(_drivers(limit), ", "),
+            }
+        )
     )
-    signed = F.concat(F.when(pushed >= 0, "+").otherwise(""), two_places(pushed))
-    known = F.when(F.col("first_order") > 0, "new customer").otherwise("known customer")
+    head = F.concat(F.lit("Scored "), F.col("_score"), F.lit(" ("), F.col("band"))
+    short = F.when(
+        F.col("_two") == "", F.concat(head, F.lit(") with no feature above its reporting floor."))
+    ).otherwise(F.concat(head, F.lit("); driven by "), F.col("_two"), F.lit(".")))
     quiet = F.concat(
         F.lit("No risk signal fired: score "),
-        two_places(F.col("score")),
+        F.col("_score"),
         F.lit(
             ", no feature above its floor. "
             "No behavioural or geographic anomaly detected on this order."
         ),
     )
     spoken = F.concat(
-        F.lit("Scored "),
-        two_places(F.col("score")),
-        F.lit(" ("),
-        F.col("band"),
+        head,
         F.lit("). Driven by "),
-        F.array_join(drivers, ", "),
+        F.col("_four"),
         F.lit(". Combined model contribution "),
-        signed,
+        F.when(F.col("_pushed") >= 0, "+").otherwise(""),
+        F.col("_push"),
         F.lit(" logits against a base rate of "),
-        known,
+        F.when(F.col("first_order") > 0, "new customer").otherwise("known customer"),
         F.lit("."),
     )
-    return F.when(F.size(drivers) == 0, quiet).otherwise(spoken)
+    return parts.withColumns(
+        {"short_text": short, "long_text": F.when(F.col("_four") == "", quiet).otherwise(spoken)}
+    ).drop("_pushed", "_score", "_push", "_two", "_four")
 
 
 def rationale_key() -> Column:
@@ -323,8 +330,8 @@ def with_route(
 ) -> DataFrame:
     """Approve low scores; a person sees the rest and everything degraded."""
     check_thresholds(low, high)
-    score, risk, degraded = F.col("score"), F.col("band"), F.col("degraded")
-    said = F.concat(F.lit("scored "), two_places(score))
+    risk, degraded = F.col("band"), F.col("degraded")
+    said = F.concat(F.lit("scored "), F.col("_score"))
     is_low = risk == "low"
     reason = (
         F.when(
@@ -340,7 +347,7 @@ def with_route(
         .when(risk == "high", F.concat(said, F.lit(f", at or above {high:.2f}")))
         .otherwise(F.concat(said, F.lit(", inside the ambiguous band")))
     )
-    return scored.withColumns(
+    return scored.withColumn("_score", two_places(F.col("score"))).withColumns(
         {
             "action": F.when(~degraded & is_low, "approve").otherwise("review"),
             "route_reason": reason,
@@ -349,7 +356,7 @@ def with_route(
             "requires_rationale": ~degraded & (risk == "ambiguous"),
             "rationale_wanted": F.lit(rationale_requested) & (risk == "ambiguous"),
         }
-    )
+    ).drop("_score")
 
 
 def unscored_holds(orders: DataFrame, scores: DataFrame) -> DataFrame:

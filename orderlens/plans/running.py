@@ -219,3 +219,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
         .filter(F.col("_first") == 1)
         .drop("_first")
     )
+
+
+def evaluated_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add a costly column that later filters must not copy into themselves.
+
+    The optimizer pushes filters through projections by repeating their
+    expressions, but not through a generator.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))

@@ -30,7 +30,20 @@ RESERVATION_TTL_SECONDS = 900
 REVIEW_SLA_SECONDS = 3600
 RATE_LIMIT_PER_MINUTE = 600
 MAX_ATTEMPTS = 3
-LATENCY_BUCKETS_SECONDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0)
+LATENCY_BUCKETS_SECONDS = (
+    0.005,
+    0.010,
+    0.025,
+    0.050,
+    0.075,
+    0.100,
+    0.150,
+    0.200,
+    0.300,
+    0.500,
+    1.000,
+    2.000,
+)
 
 ITEM = T.StructType(
     [

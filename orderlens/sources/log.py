@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orderlens import schemas
 from orderlens.functions.clock import iso_utc, parse_iso_utc
-from orderlens.plans.running import HOT_ROWS, row_numbers
+from orderlens.plans.running import HOT_ROWS, evaluated_once, row_numbers
 
 
 def read_kafka_topic(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -31,7 +31,7 @@ def decode_envelopes(records: DataFrame, value: str = "value") -> DataFrame:
     # rendered as JSON text of the payload object, decoded per event type later
     text = F.col(value)
     parsed = F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schemas.ENVELOPE))
-    out = records.withColumn("_e", parsed).select(
+    out = evaluated_once(records, "_e", parsed).select(
         *records.columns,
         F.col("_e.event_id").alias("event_id"),
         F.col("_e.event_type").alias("event_type"),
@@ -109,16 +109,18 @@ def unwrap_export(records: DataFrame, value: str = "value") -> DataFrame:
     envelope as text or as base64. What decodes to JSON was base64.
     """
     line = F.col(value)
-    wrapper = records.withColumn(
-        "_w", F.from_json(line, "event_id string, payload string, value string")
-    ).withColumn("_inner", F.coalesce(F.col("_w.payload"), F.col("_w.value")))
+    parsed = F.from_json(line, "event_id string, payload string, value string")
+    wrapper = evaluated_once(records, "_w", parsed).withColumn(
+        "_inner", F.coalesce(F.col("_w.payload"), F.col("_w.value"))
+    )
     bytes_ = F.try_to_binary(F.col("_inner"), F.lit("base64"))
-    opened = wrapper.withColumn("_text", F.try_validate_utf8(bytes_.cast("string")))
+    opened = evaluated_once(wrapper, "_text", F.try_validate_utf8(bytes_.cast("string")))
     content = F.when(F.ltrim("_text").rlike(r"^[\{\[]"), F.col("_text")).otherwise(F.col("_inner"))
     as_is = F.col("_w.event_id").isNotNull() | F.col("_inner").isNull()
-    return opened.withColumn(value, F.when(as_is, line).otherwise(content)).drop(
-        "_w", "_inner", "_text"
-    )
+    envelope = F.when(as_is, line).otherwise(content)
+    return evaluated_once(opened, "_envelope", envelope).drop(
+        value, "_w", "_inner", "_text"
+    ).withColumnRenamed("_envelope", value)
 
 
 def read_export(spark: SparkSession, path: str, shape: str = "lines") -> DataFrame:
