@@ -1,0 +1 @@
+"""The same operators on streams: state where the batch uses windows."""
