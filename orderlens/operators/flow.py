@@ -31,11 +31,22 @@ def outcome(routed: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
 
     Approved but not reservable goes to review like a held order.
     """
-    approved = routed.filter(F.col("action") == "approve").select("order_id")
-    granted = inventory.reserve_from_snapshot(
-        lines.join(approved, "order_id", "left_semi"), stock
-    ).select("order_id", "warehouse_id", "reserved", F.col("reason").alias("stock_reason"))
-    both = routed.join(granted, "order_id", "left")
+    # against a snapshot orders do not compete, so all are tried and only the
+    # approved ones use the answer: the scores are computed once
+    granted = inventory.reserve_from_snapshot(lines, stock).select(
+        "order_id",
+        F.col("warehouse_id").alias("_at"),
+        F.col("reserved").alias("_ok"),
+        F.col("reason").alias("_why"),
+    )
+    asked = F.col("action") == "approve"
+    both = routed.join(granted, "order_id", "left").withColumns(
+        {
+            "warehouse_id": F.when(asked, F.col("_at")),
+            "reserved": F.when(asked, F.col("_ok")),
+            "stock_reason": F.when(asked, F.col("_why")),
+        }
+    ).drop("_at", "_ok", "_why")
     reserved = F.coalesce(F.col("reserved"), F.lit(False))
     reason = (
         F.when(F.col("score").isNull(), scoring.UNSCORED_REASON)

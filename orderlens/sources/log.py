@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens import schemas
 from orderlens.functions.clock import iso_utc, parse_iso_utc
@@ -30,7 +31,11 @@ def decode_envelopes(records: DataFrame, value: str = "value") -> DataFrame:
     null for a good record; one pass serves the good rows and the quarantine."""
     # rendered as JSON text of the payload object, decoded per event type later
     text = F.col(value)
-    parsed = F.when(F.get_json_object(text, "$").isNotNull(), F.from_json(text, schemas.ENVELOPE))
+    parsed = F.from_json(
+        text,
+        T.StructType([*schemas.ENVELOPE.fields, T.StructField("_bad", T.StringType())]),
+        {"columnNameOfCorruptRecord": "_bad"},
+    )
     out = evaluated_once(records, "_e", parsed).select(
         *records.columns,
         F.col("_e.event_id").alias("event_id"),
@@ -42,7 +47,12 @@ def decode_envelopes(records: DataFrame, value: str = "value") -> DataFrame:
         ).alias("order_id"),
         F.coalesce(F.col("_e.schema_version"), F.lit(1)).alias("schema_version"),
         F.col("_e.payload").alias("payload"),
-        (F.col("_e").isNull() | ~F.ltrim(text).startswith("{")).alias("_broken"),
+        (
+            text.isNull()
+            | F.col("_e").isNull()
+            | F.col("_e._bad").isNotNull()
+            | ~F.ltrim(text).startswith("{")
+        ).alias("_broken"),
         F.col("_e.occurred_at").alias("_when"),
     )
     reason = (

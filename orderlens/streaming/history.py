@@ -39,18 +39,20 @@ class CustomerHistory(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(["us", "kind", "seq"], kind="stable")
-        orders, cents, squares, bin_orders, chargebacks = 0, 0, 0, 0, 0
-        if self.sums.exists():
-            orders, cents, text, bin_orders, chargebacks = self.sums.get()
-            squares = int(text)
-        recent = [row[0] for row in self.recent.get()] if self.recent.exists() else []
+        held = self.sums.get()
+        orders, cents, squares, bin_orders, chargebacks = held or (0, 0, "0", 0, 0)
+        squares = int(squares)
+        recent = [row[0] for row in self.recent.get()] if held else []
+        # each BIN of the batch is looked up in the state at most once
+        known: dict[str, bool] = {}
         out = []
         columns = (batch["us"], batch["kind"], batch["seq"], batch["cents"], batch["bin"])
         for us, kind, seq, amount, bin_ in zip(*(c.tolist() for c in columns)):
             if kind == 1:
                 chargebacks += 1 if orders else 0
                 continue
-            known = bool(bin_) and self.bins.containsKey((bin_,))
+            if bin_ and bin_ not in known:
+                known[bin_] = bool(held) and self.bins.containsKey((bin_,))
             velocity = sum(1 for seen in recent if seen >= us - self.window)
             out.append(
                 (
@@ -59,7 +61,7 @@ class CustomerHistory(StatefulProcessor):
                     cents,
                     float(squares),
                     bin_orders,
-                    bool(bin_) and not known,
+                    bool(bin_) and not known[bin_],
                     velocity,
                     chargebacks,
                 )
@@ -67,13 +69,14 @@ class CustomerHistory(StatefulProcessor):
             orders, cents, squares = orders + 1, cents + int(amount), squares + int(amount) ** 2
             if bin_:
                 bin_orders += 1
-                self.bins.updateValue((bin_,), (True,))
+                if not known[bin_]:
+                    self.bins.updateValue((bin_,), (True,))
+                    known[bin_] = True
             recent = [seen for seen in [*recent, us] if seen >= us - self.window]
-        self.sums.update((orders, cents, str(squares), bin_orders, chargebacks))
-        if recent:
+        if orders or held:
+            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks))
+        if orders:
             self.recent.put([(us,) for us in recent])
-        else:
-            self.recent.clear()
         yield pd.DataFrame(out, columns=["seq", *HISTORY_COLUMNS])
 
     def close(self) -> None:
