@@ -205,7 +205,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select(
             key.alias("event_id"),
-            F.lit("order-events").alias("topic"),
+            F.when(key.isNotNull(), "order-events").alias("topic"),
             F.concat(F.lit("O-"), key.cast("string")).alias("order_id"),
             F.when(key % 12 == 5, "order.scored")
             .when(key % 12 == 7, "order.approved")
@@ -231,7 +231,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ghosts = spark.range(-2, 0).select(F.col("id").alias("event_id"))
     return applied.unionByName(ghosts).select(
         "event_id",
-        F.lit("order-events").alias("topic"),
+        F.when(key.isNotNull(), "order-events").alias("topic"),
         F.lit("order-processor").alias("consumer_group"),
         F.concat(F.lit("O-"), key.cast("string")).alias("order_id"),
         F.when(key % 37 == 0, "accepted").otherwise("scored").alias("effect"),

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.inventory import INSUFFICIENT, NO_WAREHOUSE, pick_warehouse
+from orderlens.operators.inventory import INSUFFICIENT, NO_WAREHOUSE, place_lines
 from orderlens.plans.running import HOT_ROWS, running_sums
 from orderlens.plans.storage import pinned
 
@@ -80,8 +80,7 @@ def allocate(
     ``lines``: ``order_id, seq, t, sku, quantity``, one per order and SKU.
     Returns ``order_id, warehouse_id, reserved, reason``. Never oversells.
     """
-    picks = pick_warehouse(lines, stock)
-    placed = lines.join(picks, "order_id")
+    placed = place_lines(lines, stock)
     nowhere = placed.filter(F.col("warehouse_id").isNull()).select("order_id").distinct()
     competing = (
         placed.filter(F.col("warehouse_id").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators import delivery, inventory, scoring
+from orderlens.plans.single import one_row
 
 STOCK_HOLD = "stock unavailable: "
 
@@ -117,13 +118,10 @@ def tallies(records: DataFrame, ledger: DataFrame, decisions: DataFrame) -> Data
     claims = delivery.classify_claims(records, ledger, position="tie").agg(
         F.count(F.lit(1)).alias("handled"),
         count(F.col("claim") == "duplicate").alias("duplicates"),
-        F.lit(1).alias("_one"),
     )
     decided = decisions.agg(
         count(F.col("action") == "approve").alias("approved"),
         count(F.col("action") == "review").alias("held"),
         count(F.col("score").isNull()).alias("held_on_error"),
-        F.lit(1).alias("_one"),
     )
-    # two tables of one row each
-    return claims.join(F.broadcast(decided), "_one").drop("_one")
+    return one_row([claims, decided])

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens import schemas
 from orderlens.functions.clock import add_seconds
 from orderlens.plans.running import HOT_ROWS, first_per_key, row_numbers, running_sums
+from orderlens.plans.single import one_row
 
 # Why an order gets no stock.
 NO_WAREHOUSE = "no warehouse holds these items"
@@ -28,11 +29,13 @@ def best_warehouse_by_sku(stock: DataFrame) -> DataFrame:
     )
 
 
-def pick_warehouse(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """Per order the warehouse with the most headroom on any single line.
+def place_lines(lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """Add to every line its order's pick, ``warehouse_id``.
 
-    Null where no warehouse covers any line. The pick looks at one line only,
-    so it may lack another line of the same order.
+    The pick has the most headroom on any single line of the order, and is
+    null where no warehouse covers any line. It looks at one line only, so it
+    may lack another line of the same order. A window over the order's merged
+    lines, at most one per SKU, so the lines are read and shuffled once.
     """
     offers = lines.join(best_warehouse_by_sku(stock), "sku", "left").withColumn(
         "_headroom", F.col("most") - F.col("quantity")
@@ -42,11 +45,16 @@ def pick_warehouse(lines: DataFrame, stock: DataFrame) -> DataFrame:
             F.col("_headroom") >= 0,
             F.struct((-F.col("_headroom")).alias("_minus"), F.col("at").alias("warehouse_id")),
         )
-    )
+    ).over(Window.partitionBy("order_id"))
+    return offers.withColumn("warehouse_id", best["warehouse_id"]).drop("most", "at", "_headroom")
+
+
+def pick_warehouse(lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """Per order its pick, ``order_id, warehouse_id``."""
     return (
-        offers.groupBy("order_id")
-        .agg(best.alias("_best"))
-        .select("order_id", F.col("_best.warehouse_id").alias("warehouse_id"))
+        place_lines(lines, stock)
+        .groupBy("order_id")
+        .agg(F.min("warehouse_id").alias("warehouse_id"))
     )
 
 
@@ -55,7 +63,7 @@ def reserve_from_snapshot(lines: DataFrame, stock: DataFrame) -> DataFrame:
 
     One row per order: ``warehouse_id, reserved, reason, short_lines``.
     """
-    placed = lines.join(pick_warehouse(lines, stock), "order_id").join(
+    placed = place_lines(lines, stock).join(
         stock.select("warehouse_id", "sku", "available"), ["warehouse_id", "sku"], "left"
     )
     short = F.coalesce(F.col("available"), F.lit(-1)) < F.col("quantity")
@@ -124,27 +132,20 @@ def reserve_in_order(
         stock.select("warehouse_id", "sku", "available"), ["warehouse_id", "sku"], "left"
     )
     cells = cells.withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
-    # floor(available / quantity) is the most of this quantity that can ever fit
-    possible = cells.filter(F.col("quantity") <= F.col("available"))
-    ranked = row_numbers(
-        possible, ["warehouse_id", "sku", "quantity"], "t", "seq", "_turn", hot_rows
-    )
+    # one quantity can be granted at most floor(available / quantity) times
+    ranked = row_numbers(cells, ["warehouse_id", "sku", "quantity"], "t", "seq", "_turn", hot_rows)
     candidate = F.col("_turn") * F.col("quantity") <= F.col("available")
     folded = ranked.filter(candidate).groupBy("warehouse_id", "sku").applyInPandas(
         _admit_in_turn, _ADMISSION
     )
-
-    def refuse(df: DataFrame) -> DataFrame:
-        return df.select(
-            "warehouse_id",
-            "sku",
-            F.col("seq").cast("bigint").alias("seq"),
-            F.col("quantity").cast("int").alias("quantity"),
-            F.lit(False).alias("admitted"),
-        )
-
-    never = cells.filter(~(F.col("quantity") <= F.col("available")))
-    return folded.unionByName(refuse(ranked.filter(~candidate))).unionByName(refuse(never))
+    refused = ranked.filter(~candidate).select(
+        "warehouse_id",
+        "sku",
+        F.col("seq").cast("bigint").alias("seq"),
+        F.col("quantity").cast("int").alias("quantity"),
+        F.lit(False).alias("admitted"),
+    )
+    return folded.unionByName(refused)
 
 
 def admit_units(requests: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -403,8 +404,4 @@ def outcome_tallies(settled: DataFrame, outcomes: DataFrame, deliveries: DataFra
     )
     copies = deliveries.groupBy("event_id").agg((F.count(F.lit(1)) - 1).alias("_extra"))
     twice = copies.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("duplicates"))
-    tagged = [d.withColumn("_one", F.lit(1)) for d in (holds, tries, twice)]
-    # three tables of one row each
-    return (
-        tagged[0].join(F.broadcast(tagged[1]), "_one").join(F.broadcast(tagged[2]), "_one").drop("_one")
-    )
+    return one_row([holds, tries, twice])

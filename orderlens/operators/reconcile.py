@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.plans.single import one_row
+
 # Event types this stage puts on the log itself, so the ledger
 # of its input rightly has no row for them.
 EXPECTED_ABSENT = {
@@ -74,11 +76,8 @@ def totals(stock: DataFrame, scores: DataFrame) -> DataFrame:
     cells = stock.agg(
         F.count(F.when(F.col("available") < 0, 1)).alias("oversells"),
         F.coalesce(F.sum("reserved"), F.lit(0)).alias("reserved_units"),
-        F.lit(1).alias("_one"),
     )
-    scored = scores.agg(F.count(F.lit(1)).alias("scored"), F.lit(1).alias("_one"))
-    # two tables of one row each
-    return cells.join(F.broadcast(scored), "_one").drop("_one")
+    return one_row([cells, scores.agg(F.count(F.lit(1)).alias("scored"))])
 
 
 def rows_breaking(df: DataFrame, check: str, broken: Column) -> DataFrame:
@@ -116,7 +115,7 @@ def report(
     """
 
     def single(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias(name), F.lit(1).alias("_one"))
+        return df.agg(F.count(F.lit(1)).alias(name))
 
     parts = [
         single(negative_stock(stock), "negative_stock_rows"),
@@ -130,8 +129,7 @@ def report(
             single(orphaned(records, ledger, topic, group), "orphaned"),
             single(expected_absent(records).select("event_id").distinct(), "expected_absent"),
         ]
-    # every part is one row
-    row = reduce(lambda a, b: a.join(F.broadcast(b), "_one"), parts).drop("_one")
+    row = one_row(parts)
     if records is None:
         none = F.lit(None).cast("bigint")
         row = row.withColumns(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderlens import schemas
 from orderlens.functions.clock import add_seconds, seconds_between
 from orderlens.plans.running import HOT_ROWS, evaluated_once, first_per_key, row_numbers
+from orderlens.plans.single import one_row
 
 # What a decision makes of the order and of its hold.
 DECIDED = ("approved", "rejected", "expired")
@@ -216,12 +217,7 @@ def worker_tallies(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
             count((F.col("outcome") == "applied") & (F.col("decision") == d)).alias(d)
             for d in DECIDED
         ],
-        F.lit(1).alias("_one"),
-    )
-    bad = tasks.agg(count(F.col("poison").isNotNull()).alias("failed"), F.lit(1).alias("_one"))
-    # two tables of one row each; every applied decision queues a notification
-    return (
-        done.join(F.broadcast(bad), "_one")
-        .drop("_one")
-        .withColumn("notifications", F.col("processed"))
     )
+    bad = tasks.agg(count(F.col("poison").isNotNull()).alias("failed"))
+    # every applied decision queues a notification
+    return one_row([done, bad]).withColumn("notifications", F.col("processed"))
