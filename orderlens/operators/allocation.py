@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators.inventory import INSUFFICIENT, NO_WAREHOUSE, place_lines
-from orderlens.plans.running import HOT_ROWS, running_sums
+from orderlens.plans.running import HOT_ROWS, Slices, measure_slices, running_sums
 from orderlens.plans.storage import pinned
 
 FOLD_LINES = 100_000
@@ -45,13 +45,13 @@ def _fold_open_orders(lines: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["warehouse_id", "order_id", "admitted"])
 
 
-def _round(lines: DataFrame, hot_rows: int) -> DataFrame:
+def _round(lines: DataFrame, slices: Slices) -> DataFrame:
     """One pass: settle what the two totals settle. ``admitted`` is null while open."""
     wanted = F.col("quantity").cast("bigint")
     may_take = F.when(F.coalesce(F.col("admitted"), F.lit(True)), wanted).otherwise(0)
     has_taken = F.when(F.coalesce(F.col("admitted"), F.lit(False)), wanted).otherwise(0)
     totals = running_sums(
-        lines, _CELL, "t", "seq", {"_most": may_take, "_least": has_taken}, hot_rows=hot_rows
+        lines, _CELL, "t", "seq", {"_most": may_take, "_least": has_taken}, slices=slices
     )
     sure = F.col("_most") <= F.col("available")
     lost = F.col("_least") + F.when(F.col("admitted").isNull(), wanted).otherwise(0) > F.col(
@@ -96,13 +96,15 @@ def allocate(
         )
     )
     state = pinned(competing)
+    # lines keep their place in every round, so hot cells are measured once
+    slices = measure_slices(state, _CELL, "t", "seq", hot_rows)
     is_open = F.col("admitted").isNull()
     while state.filter(is_open).count() > fold_lines:
-        state = pinned(_round(state, hot_rows))
+        state = pinned(_round(state, slices))
 
     taken = F.when(F.coalesce(F.col("admitted"), F.lit(False)), F.col("quantity")).otherwise(0)
     rest = running_sums(
-        state, _CELL, "t", "seq", {"_taken": taken.cast("bigint")}, hot_rows=hot_rows
+        state, _CELL, "t", "seq", {"_taken": taken.cast("bigint")}, slices=slices
     ).filter(is_open)
     # at most ``fold_lines`` lines are open here, checked above
     folded = (

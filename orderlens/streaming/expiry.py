@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _OUT = "reservation_id string, expired_at_ms long"
@@ -18,30 +17,27 @@ class HoldExpiry(StatefulProcessor):
         self.handle = handle
         self.deadline = handle.getValueState("deadline", "at_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["at_ms", "kind"], kind="stable")
-        deadline = self.deadline.get()[0] if self.deadline.exists() else None
-        settled = False
-        for kind, at, until in zip(batch["kind"], batch["at_ms"], batch["until_ms"]):
-            if kind == "hold" and deadline is None and not settled:
-                deadline = int(until)
-            elif kind == "settle" and deadline is not None and at <= deadline:
-                deadline, settled = None, True
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.deadline.get()
+        deadline = held[0] if held else None
+        for at, kind, until in sorted((r.at_ms, r.kind, r.until_ms) for r in rows):
+            if kind == "hold":
+                deadline = until if deadline is None else deadline
+            elif deadline is not None and at <= deadline:
+                deadline = None
+                break
+        if held and held[0] != deadline:
+            self.handle.deleteTimer(held[0])
         if deadline is None:
             self.deadline.clear()
-        else:
+        elif not held or held[0] != deadline:
             self.deadline.update((deadline,))
             self.handle.registerTimer(deadline)
-        yield pd.DataFrame({"reservation_id": [], "expired_at_ms": []}).astype(
-            {"reservation_id": "str", "expired_at_ms": "int64"}
-        )
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.deadline.clear()
-        yield pd.DataFrame({"reservation_id": [key[0]], "expired_at_ms": [at]})
+        yield Row(reservation_id=key[0], expired_at_ms=expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -53,7 +49,7 @@ def stream_expiry(changes: DataFrame) -> DataFrame:
     ``changes``: ``reservation_id, kind, at_ms, until_ms`` and an event-time
     column with a watermark.
     """
-    return changes.groupBy("reservation_id").transformWithStateInPandas(
+    return changes.groupBy("reservation_id").transformWithState(
         statefulProcessor=HoldExpiry(),
         outputStructType=_OUT,
         outputMode="Append",

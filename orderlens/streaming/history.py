@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from orderlens import schemas
 from orderlens.functions.clock import MICROS, epoch_micros
-from orderlens.operators.history import HISTORY_COLUMNS
 
 _OUT = (
     "seq long, prior_orders long, prior_cents long, prior_cents_sq double, "
@@ -32,41 +30,36 @@ class CustomerHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sums = handle.getValueState(
-            "sums", "orders long, cents long, squares string, bin_orders long, chargebacks long"
+            "sums",
+            "orders long, cents long, squares string, bin_orders long, chargebacks long, "
+            "recent array<long>",
         )
         self.bins = handle.getMapState("bins", "bin string", "seen boolean")
-        self.recent = handle.getListState("recent", "us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-        batch = pd.concat(list(rows)).sort_values(["us", "kind", "seq"], kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = self.sums.get()
-        orders, cents, squares, bin_orders, chargebacks = held or (0, 0, "0", 0, 0)
-        squares = int(squares)
-        recent = [row[0] for row in self.recent.get()] if held else []
+        orders, cents, squares, bin_orders, chargebacks, recent = held or (0, 0, "0", 0, 0, [])
+        squares, recent = int(squares), list(recent)
         # each BIN of the batch is looked up in the state at most once
         known: dict[str, bool] = {}
-        out = []
-        columns = (batch["us"], batch["kind"], batch["seq"], batch["cents"], batch["bin"])
-        for us, kind, seq, amount, bin_ in zip(*(c.tolist() for c in columns)):
+        batch = sorted((r.us, r.kind, r.seq, r.cents, r.bin) for r in rows)
+        for us, kind, seq, amount, bin_ in batch:
             if kind == 1:
                 chargebacks += 1 if orders else 0
                 continue
             if bin_ and bin_ not in known:
                 known[bin_] = bool(held) and self.bins.containsKey((bin_,))
-            velocity = sum(1 for seen in recent if seen >= us - self.window)
-            out.append(
-                (
-                    seq,
-                    orders,
-                    cents,
-                    float(squares),
-                    bin_orders,
-                    bool(bin_) and not known[bin_],
-                    velocity,
-                    chargebacks,
-                )
+            yield Row(
+                seq=seq,
+                prior_orders=orders,
+                prior_cents=cents,
+                prior_cents_sq=float(squares),
+                prior_bin_orders=bin_orders,
+                bin_is_new=bool(bin_) and not known[bin_],
+                velocity_count=sum(1 for seen in recent if seen >= us - self.window),
+                prior_chargeback_count=chargebacks,
             )
-            orders, cents, squares = orders + 1, cents + int(amount), squares + int(amount) ** 2
+            orders, cents, squares = orders + 1, cents + amount, squares + amount**2
             if bin_:
                 bin_orders += 1
                 if not known[bin_]:
@@ -74,10 +67,7 @@ class CustomerHistory(StatefulProcessor):
                     known[bin_] = True
             recent = [seen for seen in [*recent, us] if seen >= us - self.window]
         if orders or held:
-            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks))
-        if orders:
-            self.recent.put([(us,) for us in recent])
-        yield pd.DataFrame(out, columns=["seq", *HISTORY_COLUMNS])
+            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks, recent))
 
     def close(self) -> None:
         pass
@@ -105,7 +95,7 @@ def history_events(
 
 def stream_history(events: DataFrame, window_seconds: int = schemas.VELOCITY_SECONDS) -> DataFrame:
     """``customer_id, seq`` and the history columns of every order."""
-    return events.groupBy("customer_id").transformWithStateInPandas(
+    return events.groupBy("customer_id").transformWithState(
         statefulProcessor=CustomerHistory(window_seconds),
         outputStructType=_OUT,
         outputMode="Append",

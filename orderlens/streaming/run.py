@@ -98,9 +98,9 @@ def effect_once_writer(path: str, key: str) -> Callable[[DataFrame, int], None]:
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        fresh = first_per_key(df, [key], [F.lit(1)])
+        fresh = df.dropDuplicates([key])
         if batch_id > 0:
-            past = spark.read.option("recursiveFileLookup", "false").parquet(path)
+            past = spark.read.parquet(path)
             applied = past.filter(F.col("batch") < batch_id).select(key)
             fresh = fresh.join(applied, key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
