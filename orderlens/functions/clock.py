@@ -55,8 +55,11 @@ def seconds_between(earlier: Column, later: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 with microseconds and a ``Z`` suffix."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """ISO-8601 with microseconds and a ``Z`` suffix, from the text of the NTZ
+    value, as date formatting would go through the session time zone."""
+    text = ts.cast("string")
+    whole = F.translate(F.substring(text, 1, 19), " ", "T")
+    return F.concat(whole, F.lit("."), F.rpad(F.substring(text, 21, 6), 6, "0"), F.lit("Z"))
 
 
 def parse_iso_utc(text: Column) -> Column:

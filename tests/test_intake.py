@@ -159,3 +159,21 @@ def test_times(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.x for r in df.select(clock.epoch_micros(clock.parse_iso_utc(F.col("t"))).alias("x")).collect()]
     assert got == [1704067200000000] * 4 + [None] * 3
+
+
+def test_text_times_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        seconds = F.lit(1710037800)  # 02:30 on a day that skips 02:00 to 03:00
+        at = clock.add_seconds(clock.from_epoch_seconds(seconds), 1)
+        row = spark.range(1).select(
+            clock.iso_utc(at).alias("iso"),
+            clock.epoch_micros(at).alias("us"),
+            F.unix_micros(clock.as_instant(at)).alias("instant"),
+            clock.epoch_micros(clock.parse_iso_utc(clock.iso_utc(at))).alias("back"),
+        ).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert row.iso == "2024-03-10T02:30:01.000000Z"
+    assert row.us == row.instant == row.back == 1710037801000000
