@@ -14,6 +14,8 @@ order of each warehouse, so the loop ends, and no order is decided by a guess.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,8 +101,12 @@ def allocate(
     # lines keep their place in every round, so hot cells are measured once
     slices = measure_slices(state, _CELL, "t", "seq", hot_rows)
     is_open = F.col("admitted").isNull()
+    # refused lines take nothing from anybody and leave the rounds
+    refused = []
     while state.filter(is_open).count() > fold_lines:
-        state = pinned(_round(state, slices))
+        after = pinned(_round(state, slices))
+        refused.append(after.filter(~F.col("admitted")))
+        state = after.filter(F.coalesce("admitted", F.lit(True)))
 
     taken = F.when(F.coalesce(F.col("admitted"), F.lit(False)), F.col("quantity")).otherwise(0)
     rest = running_sums(
@@ -112,8 +118,9 @@ def allocate(
         .groupBy("warehouse_id")
         .applyInPandas(_fold_open_orders, _FOLDED)
     )
-    done = state.filter(~is_open).select("warehouse_id", "order_id", "admitted").distinct()
-    settled = done.unionByName(folded).select(
+    done = reduce(DataFrame.unionByName, refused, state.filter(~is_open))
+    decided = done.groupBy("warehouse_id", "order_id").agg(F.first("admitted").alias("admitted"))
+    settled = decided.unionByName(folded).select(
         "order_id",
         "warehouse_id",
         F.col("admitted").alias("reserved"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens import schemas
-from orderlens.functions.clock import MICROS, epoch_micros
+from orderlens.functions.clock import MICROS, add_seconds, epoch_micros, ntz
 from orderlens.plans.running import HOT_ROWS, Slices, has_hot_key, measure_slices
 
 # Feature names in model order, and the saturation points.
@@ -346,8 +346,6 @@ def velocity_as_of(
     orders: DataFrame, moment: str, window_seconds: int = schemas.VELOCITY_SECONDS
 ) -> DataFrame:
     """Per customer, orders so far and orders inside the window, as of an instant."""
-    from orderlens.functions.clock import add_seconds, ntz
-
     at = ntz(moment)
     recent = F.col("received_at") >= add_seconds(at, -window_seconds)
     velocity = F.count(F.when(recent, 1))
