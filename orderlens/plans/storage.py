@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,14 @@ _SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints. Only where the session
-    names none, as in tests, a folder of this process is made and set."""
+    names none, as in tests, one beside the warehouse is set: both are storage
+    that the driver and all executors reach."""
     named = spark.conf.get(_SETTING, None)
     if not named:
-        existing = spark.sparkContext.getCheckpointDir()
-        named = existing or tempfile.mkdtemp(prefix="orderlens-")
-        if existing is None:
-            spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.getCheckpointDir() is None:
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 

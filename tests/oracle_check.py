@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -66,7 +67,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bo
 def main() -> int:
     from pyspark.sql import SparkSession
 
-    from orderlens.catalog import ORACLES, QUERIES
+    import __spark_entry__ as entry
+
+    ORACLES, QUERIES = entry.oracle_sql(), entry.queries()
 
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
@@ -75,6 +78,7 @@ def main() -> int:
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="oracle-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
