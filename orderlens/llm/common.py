@@ -95,26 +95,48 @@ def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*encoded, b""]), np.uint8), starts
 
 
+_TABLES = {"n": 0}
+#: Bytes hashed at a time, few enough for a processor's cache.
+_BLOCK = 1 << 17
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if _TABLES["n"] < n:
+        _TABLES.update(n=n, up=powers(BASE, n), down=powers(INVERSE, n))
+    return _TABLES["up"][:n], _TABLES["down"][:n]
+
+
+def blocks(starts: np.ndarray, size: int = _BLOCK) -> list[tuple[int, int]]:
+    """Cut texts into runs of about ``size`` bytes, one text at least: (from, to)."""
+    out, i, n = [], 0, len(starts) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + size, "right")) - 1)
+        out.append((i, j))
+        i = j
+    return out
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word of the texts, ASCII case aside, in order.
 
     Returns the hashes and, per text, where its words begin among them (one
     entry more than texts).
     """
-    data, starts = joined_bytes(texts)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    data = _LOWER[data]
-    blank = _BLANK[data]
-    before = np.concatenate([[True], blank[:-1]])
-    begin = np.flatnonzero(~blank & before)
-    end = np.flatnonzero(blank & ~before)
-    weighed = data.astype(np.uint64) + np.uint64(1)
-    weighed *= powers(BASE, len(data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighed, dtype=np.uint64)])
-    hashes = total[end] - total[begin]
-    hashes *= powers(INVERSE, len(data))[begin]
-    return mixed(hashes), np.searchsorted(begin, starts)
+    every, starts = joined_bytes(texts)
+    hashes, first, n = [], [np.zeros(1, np.int64)], 0
+    for i, j in blocks(starts):
+        data = _LOWER[every[starts[i] : starts[j]]]
+        up, down = _power_tables(len(data))
+        blank = _BLANK[data]
+        # a word begins after a blank and ends before one; each text ends in one
+        change = np.flatnonzero(np.diff(blank, prepend=True))
+        begin, end = change[::2], change[1::2]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * up, out=total[1:])
+        hashes.append(mixed((total[end] - total[begin]) * down[begin]))
+        first.append(n + np.searchsorted(begin, starts[i + 1 : j + 1] - starts[i]))
+        n += len(begin)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate(first)
 
 
 def shingle_hashes(

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from orderlens.llm import exact_dedup, mixing, packing, sharding
+from orderlens.llm import exact_dedup, language, mixing, near_dedup, packing, sharding
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +72,14 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(documents(spark, sf_dir))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -101,6 +108,8 @@ FROM c WHERE place = 1
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language": op6_language,
+    "op7_near_dedup": op7_near_dedup,
     "op8_pack": op8_pack,
     "op9_shards": op9_shards,
 }
