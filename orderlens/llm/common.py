@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +73,21 @@ BASE = 0x2545F4914F6CDD1D
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Bytes of text that a Python worker holds unpacked at a time.
+SLICE_BYTES = 4 << 20
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that column ``text`` has about ``size`` bytes, one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        for i, j in blocks(starts, size):
+            yield batch.slice(i, j - i)
+
+
 def lower_ascii() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[ord("A") : ord("Z") + 1] += 32

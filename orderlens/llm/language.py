@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import written
+from orderlens.llm.common import slices, written
 
 UNKNOWN = "und"
 #: Documents per language that the scores are learned from, at most. Those of
@@ -28,8 +28,8 @@ SCRIPT_SHARE = 0.001
 #: Letters of a word that count; the rest of a longer word is scored in turn.
 WORD_LETTERS = 24
 
-#: Documents labelled at a time.
-SLICE = 4_000
+#: Bytes of text labelled at a time.
+SLICE = 12 << 20
 
 # fixed values: first and last code point of each script's letters, from the
 # public Unicode charts
@@ -285,22 +285,20 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(low, SLICE)
-                letters = letters_by_language(batch.column(1).to_pylist(), model)
-                every = letters.sum(axis=1)
-                best = letters.argmax(axis=1)
-                some = (every > 0) & bool(names)
-                share = letters.max(axis=1) / np.maximum(every, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([names[b] if s else UNKNOWN for b, s in zip(best, some)], pa.string()),
-                        pa.array(np.where(some, share, 0.0)),
-                    ],
-                    ["row_doc_id", "lang_pred", "score"],
-                )
+        for batch in slices(batches, 1, SLICE):
+            letters = letters_by_language(batch.column(1).to_pylist(), model)
+            every = letters.sum(axis=1)
+            best = letters.argmax(axis=1)
+            some = (every > 0) & bool(names)
+            share = letters.max(axis=1) / np.maximum(every, 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([names[b] if s else UNKNOWN for b, s in zip(best, some)], pa.string()),
+                    pa.array(np.where(some, share, 0.0)),
+                ],
+                ["row_doc_id", "lang_pred", "score"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(
         predict, f"row_doc_id {kind}, lang_pred string, score double"
@@ -359,14 +357,13 @@ def with_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     model = train(docs)
     names = list(model.languages)
 
+    at = docs.columns.index("text")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at = whole.schema.get_field_index("text")
-            for low in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(low, SLICE)
-                letters = letters_by_language(batch.column(at).to_pylist(), model)
-                every = letters.sum(axis=1)
-                ok = (every > 0) & bool(names) & (letters.max(axis=1) >= least * every)
-                yield batch.filter(pa.array(ok))
+        for batch in slices(batches, at, SLICE):
+            letters = letters_by_language(batch.column(at).to_pylist(), model)
+            every = letters.sum(axis=1)
+            ok = (every > 0) & bool(names) & (letters.max(axis=1) >= least * every)
+            yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import mixed, shingle_hashes, word_hashes, written
+from orderlens.llm.common import mixed, shingle_hashes, slices, word_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -130,7 +129,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(WORD_BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, 0):
             words, first = word_hashes(batch.column(0).to_pylist())
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
             pairs = np.unique(owner * WORD_BUCKETS + _word_bucket(words))
@@ -159,7 +158,7 @@ def _copy_key():
 
 def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             keys = batch.column(0).to_pylist()
             first = list({k: i for i, k in reversed(list(enumerate(keys)))}.values())
             texts = batch.column(1).take(pa.array(first, pa.int64())).to_pylist()
@@ -182,28 +181,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
     """The pairs (a, b) whose texts are as similar as asked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                different: dict[str, str] = {}
-                different.update(zip(a, part.column(2).to_pylist()))
-                different.update(zip(b, part.column(3).to_pylist()))
-                at = {k: i for i, k in enumerate(different)}
-                hashes, weights, starts = weighted_shingles(list(different.values()), idf)
-
-                def bag(key: str) -> tuple[np.ndarray, np.ndarray]:
-                    own = slice(starts[at[key]], starts[at[key] + 1])
-                    return hashes[own], weights[own]
-
-                near = [jaccard(bag(x), bag(y)) for x, y in zip(a, b)]
-                keep = [i for i, s in enumerate(near) if s >= similarity]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a[i] for i in keep], pa.string()),
-                     pa.array([b[i] for i in keep], pa.string()),
-                     pa.array([near[i] for i in keep], pa.float64())],
-                    ["a", "b", "similarity"],
-                )
+        for part in slices(batches, 3):
+            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+            different: dict[str, str] = {}
+            different.update(zip(a, part.column(2).to_pylist()))
+            different.update(zip(b, part.column(3).to_pylist()))
+            at = {k: i for i, k in enumerate(different)}
+            hashes, weights, starts = weighted_shingles(list(different.values()), idf)
+
+            def bag(key: str) -> tuple[np.ndarray, np.ndarray]:
+                own = slice(starts[at[key]], starts[at[key] + 1])
+                return hashes[own], weights[own]
+
+            near = [jaccard(bag(x), bag(y)) for x, y in zip(a, b)]
+            keep = [i for i, s in enumerate(near) if s >= similarity]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in keep], pa.string()),
+                 pa.array([b[i] for i in keep], pa.string()),
+                 pa.array([near[i] for i in keep], pa.float64())],
+                ["a", "b", "similarity"],
+            )
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))

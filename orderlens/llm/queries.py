@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import exact_dedup, language, mixing, near_dedup, packing, sharding
+from orderlens.llm import (
+    exact_dedup,
+    fingerprints,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    sharding,
+)
 from orderlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +67,10 @@ FROM r
 """
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -105,13 +118,19 @@ FROM c WHERE place = 1
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
     "op7_near_dedup": op7_near_dedup,
     "op8_pack": op8_pack,
     "op9_shards": op9_shards,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
