@@ -135,9 +135,13 @@ def blocks(starts: np.ndarray, size: int = _BLOCK) -> list[tuple[int, int]]:
     return out
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: list[str | None], blank_bytes: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word of the texts, ASCII case aside, in order.
 
+    ``blank_bytes`` marks the bytes that separate words, the newline among them.
+
     Returns the hashes and, per text, where its words begin among them (one
     entry more than texts).
     """
@@ -146,7 +150,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for i, j in blocks(starts):
         data = _LOWER[every[starts[i] : starts[j]]]
         up, down = _power_tables(len(data))
-        blank = _BLANK[data]
+        blank = (_BLANK if blank_bytes is None else blank_bytes)[data]
         # a word begins after a blank and ends before one; each text ends in one
         change = np.flatnonzero(np.diff(blank, prepend=True))
         begin, end = change[::2], change[1::2]

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import text_or_empty
 
-#: With the keys beside them, more columns than Spark fuses into one method
-#: (spark.sql.codegen.maxFields is 100): a fused method of all samples would be
-#: too long for the JVM to compile, and about ten times slower.
-SAMPLES = 96
+SAMPLES = 48
 #: Levels of the tables of gamma variables, a power of two.
 LEVELS = 1 << 10
 #: Bits of a sample that the fingerprint keeps.
@@ -50,13 +47,13 @@ def _table(values: list[float]) -> Column:
 def _sample(k: int, rates: Column, logs: Column) -> Column:
     """The k-th sample of a term of log weight ``lw``, so that the least over all
     terms is the document's: its order above, the sample itself below."""
-    bits = F.col(f"h{k}")
+    bits = F.xxhash64("term", F.lit(k))
     r = F.get(rates, F.shiftrightunsigned(bits, 54).cast("int"))
     log_c = F.get(logs, F.shiftrightunsigned(bits, 44).bitwiseAND(LEVELS - 1).cast("int"))
     beta = bits.bitwiseAND((1 << 24) - 1).cast("double") * (2.0**-24)
     t = F.floor(F.col("lw") / r + beta)
     order = ((log_c - r * (t - beta) - r + 64.0) * float(1 << 31)).cast("bigint")
-    own = F.xxhash64("term", t, F.lit(k)).bitwiseAND((1 << SAMPLE_BITS) - 1)
+    own = bits.bitwiseXOR(t).bitwiseAND((1 << SAMPLE_BITS) - 1)
     return F.shiftleft(order, SAMPLE_BITS).bitwiseOR(own)
 
 
@@ -108,14 +105,18 @@ def signatures(terms: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFram
     """
     levels = gamma_levels(LEVELS)
     rates, logs = _table(levels), _table([math.log(x) for x in levels])
-    hashed = terms.select(
-        *keys,
-        "term",
-        F.log(F.col("n").cast("double")).alias("lw"),
-        *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(samples)],
+    # A step that Spark fuses becomes one method, and with all samples in it the
+    # method is too long for the JVM to compile. A higher-order function keeps
+    # this step from being fused, so that each sample gets a method of its own.
+    *first, last = keys
+    apart = F.element_at(F.transform(F.array(last), lambda x: x), 1).alias(last)
+    logs_of = terms.withColumn("lw", F.log(F.col("n").cast("double")))
+    drawn = logs_of.select(
+        *first, apart, F.array(*[_sample(k, rates, logs) for k in range(samples)]).alias("drawn")
+    )
+    least = drawn.groupBy(*keys).agg(
+        *[F.min(F.get("drawn", F.lit(k))).alias(f"v{k}") for k in range(samples)]
     )
-    drawn = hashed.select(*keys, *[_sample(k, rates, logs).alias(f"v{k}") for k in range(samples)])
-    least = drawn.groupBy(*keys).agg(*[F.min(f"v{k}").alias(f"v{k}") for k in range(samples)])
     low = [
         F.coalesce(F.col(f"v{k}").bitwiseAND((1 << SAMPLE_BITS) - 1), F.lit(0)).cast("int")
         for k in range(samples)

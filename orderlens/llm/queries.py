@@ -10,11 +10,13 @@ from orderlens.llm import (
     exact_dedup,
     fingerprints,
     language,
+    license_scan,
     mixing,
     near_dedup,
     packing,
     pii,
     sharding,
+    suffix_dedup,
 )
 from orderlens.llm.common import documents
 
@@ -67,6 +69,14 @@ FROM r
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
@@ -124,6 +134,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_licenses": op3_licenses,
     "op4_fingerprints": op4_fingerprints,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language": op6_language,
