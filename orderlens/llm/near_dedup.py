@@ -19,6 +19,8 @@ BANDS, ROWS = 14, 3
 #: Document frequencies are counted in this many buckets of words, so that the
 #: table has one size for any corpus.
 WORD_BUCKETS = 1 << 16
+#: Rows of one or two 32-letter keys that may be broadcast, about 10 MB.
+BROADCAST_ROWS = 100_000
 _LEVELS = 1 << 12
 _BLOCK = 1 << 16
 
@@ -177,6 +179,12 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     )
 
 
+def if_few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast if counting shows ``most`` rows of short keys or less;
+    else Spark shuffles both sides. The rows that come out are the same."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are as similar as asked."""
 
@@ -202,11 +210,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
                 ["a", "b", "similarity"],
             )
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+    few = if_few(pairs)
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).join(few, "a")
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")).join(few, "b")
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        left.join(right, ["a", "b"])
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(check, "a string, b string, similarity double")
     )
@@ -267,7 +275,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     members = signed.select("key", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(members.join(shared.select("band"), "band"), "buckets")
-    involved = members.select("key").distinct()
+    involved = if_few(written(members.select("key").distinct(), "involved"))
     texts = written(
         docs.select(_copy_key().alias("key"), "text")
         .join(involved, "key", "left_semi")
@@ -280,7 +288,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         members.join(lead, "band").filter("a < key").select("a", F.col("key").alias("b")).distinct(),
         "pairs",
     )
-    links, tested, turn = None, pairs, 0
+    links, labels, tested, turn = None, None, pairs, 0
     while True:
         found = written(_verified(pairs, texts, idf, similarity), "near-links")
         if links is not None and found.isEmpty():
@@ -314,7 +322,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         )
         pairs = written(fresh, "pairs")
         tested = tested.unionByName(pairs)
-    return links, components(links)
+    return links, labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
