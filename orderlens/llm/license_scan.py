@@ -107,7 +107,8 @@ class Templates:
 def find_notices(
     texts: list[str | None], templates: Templates, containment: float = CONTAINMENT
 ) -> list[tuple[int, int, int, int, float]]:
-    """Matches as (text, template, first word, words, containment).
+    """Matches as (text, template, first word in common, words of the template,
+    containment).
 
     Only windows that hold a shingle of some template are hashed; any other has
     similarity 0 with all of them.
@@ -143,13 +144,15 @@ def find_notices(
                     continue
                 p, text = int(part[row]), int(owner[part[row]])
                 lower, upper = int(bounds[text]), int(bounds[text + 1])
-                own = hashes[max(lower, p - step) : min(upper, p + size + step)]
+                begin = max(lower, p - step)
+                own = hashes[begin : min(upper, p + size + step)]
                 for t in candidates:
                     share = len(np.intersect1d(own, templates.shingles[t])) / len(
                         templates.shingles[t]
                     )
                     if share >= containment:
-                        key = (text, t, p - lower)
+                        here = np.isin(own, templates.shingles[t]).argmax()
+                        key = (text, t, int(begin + here - lower))
                         found[key] = (share, size)
     # windows of one template that overlap are one match, the best of them
     out: list[tuple[int, int, int, int, float]] = []
