@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import mixed, shingle_hashes, slices, word_hashes, written
@@ -16,6 +16,9 @@ SIMILARITY = 0.8
 #: 14 bands of 3 samples: a pair at 0.8 meets with probability
 #: 1 - (1 - 0.8**3)**14 = 0.99996.
 BANDS, ROWS = 14, 3
+#: Samples that must agree before two texts are compared in full: half of all.
+#: A pair at 0.8 has fewer with probability below 0.000001 (binomial, 42 samples).
+AGREE = BANDS * ROWS // 2
 #: Document frequencies are counted in this many buckets of words, so that the
 #: table has one size for any corpus.
 WORD_BUCKETS = 1 << 16
@@ -89,10 +92,12 @@ def _samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int
     return out
 
 
-def band_keys(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    """BANDS band hashes per text; zeros for a text without words."""
+def band_keys(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS band hashes per text, zeros for a text without words, and one byte
+    of each sample."""
     hashes, weights, starts = weighted_shingles(texts, idf)
     out = np.zeros((len(texts), BANDS), np.uint64)
+    sketch = np.zeros((len(texts), BANDS * ROWS), np.int8)
     full = np.flatnonzero(np.diff(starts) > 0)
     i = 0
     while i < len(full):
@@ -103,13 +108,14 @@ def band_keys(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
         low, high = starts[ids[0]], starts[ids[-1] + 1]
         edges = np.append(starts[ids], high) - low
         got = _samples(hashes[low:high], weights[low:high], edges, BANDS * ROWS)
+        sketch[ids] = (got >> np.uint64(56)).astype(np.uint8).view(np.int8)
         for band in range(BANDS):
             key = np.full(len(ids), band + 1, np.uint64)
             for row in range(ROWS):
                 key = mixed(key * np.uint64(0x9FB21C651E98DF25) + got[:, band * ROWS + row])
             out[ids, band] = key
         i = j
-    return out
+    return out, sketch
 
 
 def jaccard(
@@ -164,18 +170,42 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             keys = batch.column(0).to_pylist()
             first = list({k: i for i, k in reversed(list(enumerate(keys)))}.values())
             texts = batch.column(1).take(pa.array(first, pa.int64())).to_pylist()
-            bands = band_keys(texts, idf).view(np.int64)
+            bands, sketch = band_keys(texts, idf)
+            bands = bands.view(np.int64)
             some = np.flatnonzero(bands.any(axis=1))
-            flat = pa.array(bands[some].reshape(-1))
-            offsets = pa.array(np.arange(len(some) + 1) * BANDS, pa.int32())
+
+            def lists(rows: np.ndarray) -> pa.Array:
+                offsets = pa.array(np.arange(len(some) + 1) * rows.shape[1], pa.int32())
+                return pa.ListArray.from_arrays(offsets, pa.array(rows[some].reshape(-1)))
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[first[i]] for i in some], pa.string()),
-                 pa.ListArray.from_arrays(offsets, flat)],
-                ["key", "bands"],
+                [pa.array([keys[first[i]] for i in some], pa.string()), lists(bands), lists(sketch)],
+                ["key", "bands", "sketch"],
             )
 
     return docs.select(_copy_key().alias("key"), "text").mapInArrow(
-        sign, "key string, bands array<bigint>"
+        sign, "key string, bands array<bigint>, sketch array<tinyint>"
+    )
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether enough samples of two sketches agree."""
+    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda total, x: total + x) >= AGREE
+
+
+def _candidates(led: DataFrame) -> DataFrame:
+    """The pairs of a member and a leader whose sketches agree, smaller key first.
+
+    ``led``: ``key, sketch, lead`` (``key, sketch``).
+    """
+    return (
+        led.filter(F.col("lead.key") != F.col("key"))
+        .filter(_agree("sketch", "lead.sketch"))
+        .select(
+            F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")
+        )
+        .distinct()
     )
 
 
@@ -223,58 +253,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
 def components(edges: DataFrame) -> DataFrame:
     """``key, class`` for every end of an edge: the smallest key it reaches.
 
-    Labels spread over edges and jump along labels, so the rounds grow with
-    the logarithm of a chain. Each round is a written table.
+    ``edges`` holds each pair once. Labels spread over edges and jump along
+    labels, so the rounds grow with the logarithm of a chain; they end when both
+    ends of every edge have one label. Each round is a written table.
     """
     both = written(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links"
+        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "links"
     )
     labels = written(
-        both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed(
-            "a", "key"
-        ),
+        both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("class")),
         "labels",
     )
     while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("key"))
-            .groupBy(F.col("a").alias("key"))
-            .agg(F.min("class").alias("near"))
+        near = both.join(
+            labels.select(F.col("key").alias("b"), F.col("class").alias("near")), "b"
         )
+        torn = near.join(
+            labels.select(F.col("key").alias("a"), F.col("class").alias("own")), "a"
+        ).filter("own <> near")
+        if torn.isEmpty():
+            return labels
+        least = near.groupBy(F.col("a").alias("key")).agg(F.min("near").alias("near"))
         spread = written(
-            labels.join(near, "key").select(
-                "key", "class", F.least("class", "near").alias("next")
-            ),
+            labels.join(least, "key").select("key", F.least("class", "near").alias("next")),
             "spread",
         )
         jump = spread.select(F.col("key").alias("next"), F.col("next").alias("far"))
-        moved = written(
-            spread.join(jump, "next", "left").select(
-                "key", F.coalesce("far", "next").alias("class"), F.col("class").alias("was")
-            ),
+        labels = written(
+            spread.join(jump, "next", "left").select("key", F.coalesce("far", "next").alias("class")),
             "labels",
         )
-        labels = moved.select("key", "class")
-        if moved.filter("class <> was").isEmpty():
-            return labels
 
 
 def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links between different texts, and their classes.
 
     Texts equal up to blanks are one text. In every bucket of every band each
-    text is compared with the bucket's leader, the smallest key. Where a bucket
-    still spans more than one class, it is compared with other leaders of other
-    classes, round by round, until a round finds no link. So a group of n near
-    copies costs about n comparisons, not n squared.
+    text meets the bucket's leaders: the smallest key and two by the order of a
+    hash. Where a bucket still spans more than one class, members meet leaders
+    of other classes, round by round, until a round finds no link. Only pairs
+    that agree in half of their samples are compared in full. So a group of n
+    near copies costs about n comparisons, not n squared.
     """
     idf = inverse_frequencies(docs)
     signed = written(
-        _signatures(docs, idf).groupBy("key").agg(F.first("bands").alias("bands")), "signatures"
+        _signatures(docs, idf)
+        .groupBy("key")
+        .agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        "signatures",
     )
-    members = signed.select("key", F.explode("bands").alias("band"))
+    members = signed.select("key", "sketch", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(members.join(shared.select("band"), "band"), "buckets")
+    whole = F.struct("key", "sketch")
+
+    def ends(turn: int) -> list[Column]:
+        order = F.xxhash64("key", F.lit(turn))
+        return [F.min_by(whole, order).alias("x"), F.max_by(whole, order).alias("y")]
+
+    lead = members.groupBy("band").agg(F.min_by(whole, "key").alias("least"), *ends(0))
+    pairs = written(
+        _candidates(
+            members.join(lead, "band").withColumn("lead", F.explode(F.array("least", "x", "y")))
+        ),
+        "pairs",
+    )
     involved = if_few(written(members.select("key").distinct(), "involved"))
     texts = written(
         docs.select(_copy_key().alias("key"), "text")
@@ -283,46 +326,35 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         .agg(F.first("text").alias("text")),
         "near-texts",
     )
-    lead = members.groupBy("band").agg(F.min("key").alias("a"))
-    pairs = written(
-        members.join(lead, "band").filter("a < key").select("a", F.col("key").alias("b")).distinct(),
-        "pairs",
-    )
-    links, labels, tested, turn = None, None, pairs, 0
+    links = written(_verified(pairs, texts, idf, similarity), "near-links")
+    tested, turn = pairs, 0
     while True:
-        found = written(_verified(pairs, texts, idf, similarity), "near-links")
-        if links is not None and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
         labels = components(links)
         turn += 1
         classed = members.join(labels, "key", "left").withColumn(
             "class", F.coalesce("class", "key")
         )
-        order = F.xxhash64("key", F.lit(turn))
-        lead = classed.groupBy("band").agg(
-            F.min_by("key", order).alias("x"),
-            F.max_by("key", order).alias("y"),
-            F.min("class").alias("_low"),
-            F.max("class").alias("_high"),
-        ).filter("_low <> _high")
-        fresh = (
+        lead = (
+            classed.groupBy("band")
+            .agg(*ends(turn), F.min("class").alias("_low"), F.max("class").alias("_high"))
+            .filter("_low <> _high")
+        )
+        known = labels.select(F.col("key").alias("_lead"), F.col("class").alias("_lead_class"))
+        apart = (
             classed.join(lead, "band")
-            .withColumn("leader", F.explode(F.array("x", "y")))
-            .filter("leader <> key")
-            .join(
-                labels.select(F.col("key").alias("leader"), F.col("class").alias("lead_class")),
-                "leader",
-                "left",
-            )
-            .filter("coalesce(lead_class, leader) <> class")
-            .select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
+            .withColumn("lead", F.explode(F.array("x", "y")))
+            .filter(_agree("sketch", "lead.sketch"))
+            .withColumn("_lead", F.col("lead.key"))
+            .join(known, "_lead", "left")
+            .filter("coalesce(_lead_class, _lead) <> class")
         )
-        pairs = written(fresh, "pairs")
-        tested = tested.unionByName(pairs)
-    return links, labels
+        pairs = written(_candidates(apart).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return links, labels
+        found = written(_verified(pairs, texts, idf, similarity), "near-links")
+        if found.isEmpty():
+            return links, labels
+        links, tested = links.unionByName(found), tested.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
