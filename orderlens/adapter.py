@@ -58,11 +58,11 @@ def order_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, nation = F.col("seq"), F.col("_n")
 
     def country(number: Column) -> Column:
-        return F.lpad(number.cast("string"), 2, "0")
+        return F.coalesce(F.lpad(number.cast("string"), 2, "0"), F.lit(""))
 
     return (
         order_arrivals(spark, sf_dir)
-        .join(customers, "customer_id")
+        .join(customers, "customer_id", "left")
         .withColumns(
             {
                 "billing_country": country(nation),

@@ -53,12 +53,12 @@ CTES: dict[str, str] = {
       FROM orders""",
     "ctx": """
       SELECT a.*,
-        lpad(CAST(n AS VARCHAR), 2, '0') AS billing_country,
-        lpad(CAST(CASE WHEN seq % 10 = 0 THEN (n + 1) % 25 ELSE n END AS VARCHAR), 2, '0') AS shipping_country,
-        lpad(CAST(CASE WHEN seq % 17 = 0 THEN (n + 2) % 25 ELSE n END AS VARCHAR), 2, '0') AS card_country,
+        coalesce(lpad(CAST(n AS VARCHAR), 2, '0'), '') AS billing_country,
+        coalesce(lpad(CAST(CASE WHEN seq % 10 = 0 THEN (n + 1) % 25 ELSE n END AS VARCHAR), 2, '0'), '') AS shipping_country,
+        coalesce(lpad(CAST(CASE WHEN seq % 17 = 0 THEN (n + 2) % 25 ELSE n END AS VARCHAR), 2, '0'), '') AS card_country,
         CASE WHEN seq % 41 = 0 THEN ''
-          ELSE lpad(CAST(CASE WHEN seq % 23 = 0 THEN (n + 3) % 25 ELSE n END AS VARCHAR), 2, '0') END AS ip_country
-      FROM arr a JOIN (SELECT c_custkey, c_nationkey AS n FROM customer) c ON c.c_custkey = a.customer_id""",
+          ELSE coalesce(lpad(CAST(CASE WHEN seq % 23 = 0 THEN (n + 3) % 25 ELSE n END AS VARCHAR), 2, '0'), '') END AS ip_country
+      FROM arr a LEFT JOIN (SELECT c_custkey, c_nationkey AS n FROM customer) c ON c.c_custkey = a.customer_id""",
     "rl": """
       SELECT l_orderkey AS seq, 'O-' || l_orderkey AS order_id, l_linenumber AS line_number,
         'SKU-' || lpad(CAST(l_partkey % 24 AS VARCHAR), 2, '0') AS sku,

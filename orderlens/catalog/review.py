@@ -17,7 +17,7 @@ _NOW = f"TIMESTAMP '{NOW}'"
 
 @query(
     "review_enqueue",
-    """SELECT 'V-' || seq AS review_id, order_id, 'pending' AS status, round(score, 6) AS score, band,
+    """SELECT 'V-' || order_id AS review_id, order_id, 'pending' AS status, round(score, 6) AS score, band,
          received_at + INTERVAL 3600 SECOND AS sla_deadline
        FROM rt WHERE action = 'review' AND order_id NOT IN (SELECT order_id FROM rev)""",
 )
@@ -34,7 +34,7 @@ def review_enqueue(spark, sf_dir):
         FROM rev WHERE status = 'pending' ORDER BY sla_deadline, review_id LIMIT 50""",
 )
 def reviews_pending_topk(spark, sf_dir):
-    return reviews.pending(adapter.reviews(spark, sf_dir), ntz(NOW)).select(
+    return reviews.pending(adapter.reviews(spark, sf_dir), ntz(NOW), 50).select(
         "review_id", "sla_deadline", "seconds_to_breach"
     )
 
@@ -111,7 +111,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(
     "outbox_unsent",
     """SELECT seq AS notification_id, order_id, TIMESTAMP '2024-01-01' + to_seconds(t) AS created_at
-       FROM dec WHERE seq % 8 <> 0 ORDER BY t, seq LIMIT 100""",
+       FROM dec WHERE seq % 8 <> 0""",
 )
 def outbox_unsent(spark, sf_dir):
     return reviews.unsent(*outbox(spark, sf_dir))

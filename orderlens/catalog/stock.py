@@ -174,7 +174,7 @@ def holds_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reservations_create",
-    """SELECT 'R-' || a.seq AS reservation_id, a.order_id, 'WH-' || lpad(CAST(1 + a.seq % 12 AS VARCHAR), 2, '0') AS warehouse_id,
+    """SELECT 'R-' || a.order_id AS reservation_id, a.order_id, 'WH-' || lpad(CAST(1 + a.seq % 12 AS VARCHAR), 2, '0') AS warehouse_id,
          'held' AS state, received_at + INTERVAL 900 SECOND AS expires_at,
          coalesce(string_agg(sku || 'x' || quantity, ',' ORDER BY sku), '') AS lines
        FROM arr a LEFT JOIN ln USING (seq) WHERE a.seq % 3 = 0 GROUP BY ALL""",
@@ -222,8 +222,7 @@ def reservation_state(spark, sf_dir):
 
 @query(
     "reservations_expired",
-    f"""SELECT reservation_id, expires_at FROM rsv WHERE state = 'held' AND expires_at < TIMESTAMP '{NOW}'
-        ORDER BY expires_at, reservation_id LIMIT 200""",
+    f"""SELECT reservation_id, expires_at FROM rsv WHERE state = 'held' AND expires_at < TIMESTAMP '{NOW}'""",
 )
 def reservations_expired(spark, sf_dir):
     return inventory.expired(adapter.reservations(spark, sf_dir), ntz(NOW)).select(

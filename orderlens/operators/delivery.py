@@ -25,14 +25,15 @@ def classify_claims(
     records: DataFrame,
     ledger: DataFrame,
     scores: DataFrame | None = None,
-    position: str = "offset",
+    position: str | tuple[str, ...] = ("partition", "offset"),
 ) -> DataFrame:
     """Add ``claim`` to every delivery: new, resume or duplicate.
 
     An event is finished when its ledger effect is past the claim, or a score
     of it exists. Within a batch only the first delivery can do work.
     """
-    first = records.groupBy("event_id").agg(F.min(position).alias("_first"))
+    place = F.struct(*([position] if isinstance(position, str) else position))
+    first = records.groupBy("event_id").agg(F.min(place).alias("_first"))
     known = ledger.select("event_id", F.col("effect").alias("_effect"))
     state = first.join(known, "event_id", "left")
     finished = F.coalesce(F.col("_effect") != IN_PROGRESS, F.lit(False))
@@ -51,15 +52,19 @@ def classify_claims(
     return (
         records.join(state, "event_id")
         .withColumn(
-            "claim", F.when(F.col(position) == F.col("_first"), F.col("_claim")).otherwise("duplicate")
+            "claim", F.when(place == F.col("_first"), F.col("_claim")).otherwise("duplicate")
         )
         .drop("_first", "_claim")
     )
 
 
 def complete_claims(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The ledger with each outcome's effect set, and whether that changed it."""
-    new = outcomes.select("event_id", F.col("effect").alias("_new"))
+    """The ledger with each outcome's effect set, and whether that changed it.
+
+    A repeated outcome counts once; of different ones for an event, which only
+    a fault can cause, the first by name is taken.
+    """
+    new = outcomes.groupBy("event_id").agg(F.min("effect").alias("_new"))
     return (
         ledger.join(new, "event_id", "left")
         .withColumn(

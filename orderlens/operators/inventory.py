@@ -232,7 +232,7 @@ def create_reservations(
         F.array_sort(F.collect_list(F.struct("sku", "quantity"))).alias("lines")
     )
     return one.join(snapshot, "order_id", "left").select(
-        F.concat(F.lit("R-"), F.substring("order_id", 3, 100)).alias("reservation_id"),
+        F.concat(F.lit("R-"), F.col("order_id")).alias("reservation_id"),
         "order_id",
         "warehouse_id",
         F.lit("held").alias("state"),
@@ -252,9 +252,13 @@ def reservation_lines(reservations: DataFrame, order_lines: DataFrame) -> DataFr
 
 
 def settle_reservations(reservations: DataFrame, transitions: DataFrame) -> DataFrame:
-    """The first commit or release of a hold decides, later ones do nothing."""
+    """The first commit or release of a hold decides, later ones do nothing.
+
+    Equal times are decided by arrival where ``transitions`` has ``seq``.
+    """
+    arrival = [c for c in ("t", "seq", "transition") if c in transitions.columns]
     first = transitions.groupBy("reservation_id").agg(
-        F.min(F.struct("t", "transition")).alias("_first"),
+        F.min(F.struct(*arrival)).alias("_first"),
         (F.count(F.lit(1)) - 1).alias("noops"),
     )
     move = F.col("_first.transition")
@@ -271,8 +275,8 @@ def settle_reservations(reservations: DataFrame, transitions: DataFrame) -> Data
     )
 
 
-def expired(reservations: DataFrame, now: Column, limit: int | None = 200) -> DataFrame:
-    """Holds past their time, oldest first; the sweeper takes ``limit`` a pass."""
+def expired(reservations: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """Holds past their time; with ``limit`` only so many, the oldest first."""
     late = reservations.filter((F.col("state") == "held") & (F.col("expires_at") < now))
     if limit is None:
         return late

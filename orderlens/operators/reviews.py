@@ -31,7 +31,7 @@ def enqueue(
     """New review items: one per held order that has none yet."""
     fresh = held.join(existing.select("order_id"), "order_id", "left_anti")
     return first_per_key(fresh, ["order_id"], [F.col("received_at"), F.col("seq")]).select(
-        F.concat(F.lit("V-"), F.substring("order_id", 3, 100)).alias("review_id"),
+        F.concat(F.lit("V-"), F.col("order_id")).alias("review_id"),
         "order_id",
         F.lit("pending").alias("status"),
         "score",
@@ -43,7 +43,7 @@ def enqueue(
 def pending(
     reviews: DataFrame,
     now: Column,
-    limit: int | None = 50,
+    limit: int | None,
     oldest_first: bool = True,
     status: str = "pending",
 ) -> DataFrame:
@@ -152,8 +152,8 @@ def decision_events(applied: DataFrame) -> DataFrame:
     )
 
 
-def unsent(outbox: DataFrame, sent: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Notifications not sent yet, the oldest first."""
+def unsent(outbox: DataFrame, sent: DataFrame, limit: int | None = None) -> DataFrame:
+    """Notifications not sent yet; with ``limit`` only so many, the oldest first."""
     waiting = outbox.join(sent.select("notification_id"), "notification_id", "left_anti")
     return waiting if limit is None else waiting.orderBy("created_at", "notification_id").limit(limit)
 
@@ -199,7 +199,7 @@ def timeline(audit: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return row_numbers(audit, ["entity_id"], "t", "id", "step", hot_rows)
 
 
-def recent(audit: DataFrame, limit: int = 100, action: str | None = None) -> DataFrame:
+def recent(audit: DataFrame, limit: int, action: str | None = None) -> DataFrame:
     rows = audit if action is None else audit.filter(F.col("action") == action)
     return rows.orderBy(F.desc("t"), F.desc("id")).limit(limit)
 

@@ -143,7 +143,7 @@ def review_frame(spark, rows):
 def test_review_queue(spark):
     now = clock.ntz("1970-01-01 00:10:00")
     df = review_frame(spark, [("a", "1", "pending", 590), ("b", "2", "pending", 700), ("c", "3", "approved", 1)])
-    queue = reviews.pending(df, now).collect()
+    queue = reviews.pending(df, now, 10).collect()
     assert [(r.review_id, r.seconds_to_breach) for r in queue] == [("a", -10.0), ("b", 100.0)]
     row = reviews.stats(df, now).first()
     assert (row.pending, row.approved, row.sla_breached) == (2, 1, 1)

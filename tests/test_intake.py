@@ -91,7 +91,7 @@ def test_lag_without_a_commit_is_everything(spark):
 def test_claims(spark):
     records = spark.createDataFrame(
         [("a", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4), ("d", 5)], "event_id string, offset long"
-    )
+    ).withColumn("partition", F.lit(0))
     ledger = spark.createDataFrame(
         [("b", "accepted"), ("c", "scored"), ("d", "accepted")], "event_id string, effect string"
     )
@@ -100,6 +100,14 @@ def test_claims(spark):
     assert got == {0: "new", 1: "duplicate", 2: "resume", 3: "duplicate", 4: "duplicate", 5: "duplicate"}
     got = {r.offset: r.claim for r in delivery.classify_claims(records, ledger).collect()}
     assert (got[4], got[5]) == ("resume", "duplicate")
+    twins = spark.createDataFrame(
+        [("a", 1, 5), ("a", 0, 5)], "event_id string, partition long, offset long"
+    )
+    got = {r.partition: r.claim for r in delivery.classify_claims(twins, ledger).collect()}
+    assert got == {0: "new", 1: "duplicate"}
+    outcomes = spark.createDataFrame([("b", "scored")] * 2, "event_id string, effect string")
+    done = delivery.complete_claims(ledger, outcomes).collect()
+    assert len(done) == 3 and {r.event_id for r in done if r.changed} == {"b"}
 
 
 def test_first_delivery_is_limited_before_the_shuffle(spark):
