@@ -17,7 +17,7 @@ SIMILARITY = 0.8
 #: 1 - (1 - 0.8**3)**14 = 0.99996.
 BANDS, ROWS = 14, 3
 #: Samples that must agree before two texts are compared in full: half of all.
-#: A pair at 0.8 has fewer with probability below 0.000001 (binomial, 42 samples).
+#: A pair at 0.8 has fewer with probability 0.000003 (binomial, 42 samples).
 AGREE = BANDS * ROWS // 2
 #: Document frequencies are counted in this many buckets of words, so that the
 #: table has one size for any corpus.
