@@ -24,6 +24,8 @@ AGREE = BANDS * ROWS // 2
 WORD_BUCKETS = 1 << 16
 #: Rows of one or two 32-letter keys that may be broadcast, about 10 MB.
 BROADCAST_ROWS = 100_000
+#: Texts of a cell in the comparison between classes.
+PROBES, SLICE = 128, 1024
 _LEVELS = 1 << 12
 _BLOCK = 1 << 16
 
@@ -250,6 +252,154 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
     )
 
 
+def _classed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "key", "left").withColumn("class", F.coalesce("class", "key"))
+
+
+def _between_classes(
+    classed: DataFrame, signed: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float
+) -> DataFrame:
+    """Verified pairs that join the classes of every bucket.
+
+    The texts outside a bucket's largest class (probes) meet all texts of other
+    classes in it. Probes are dealt into blocks and the bucket's texts into
+    slices; a cell is one block beside one slice, so a cell has one size for
+    any bucket. A pair is compared in the first bucket it shares, and a probe is
+    linked once to each class.
+    """
+    counted = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
+    plan = (
+        counted.groupBy("band")
+        .agg(
+            F.max_by("class", F.struct("n", "class")).alias("_main"),
+            F.max("n").alias("_most"),
+            F.sum("n").alias("_all"),
+        )
+        .filter("_most < _all")
+        .select(
+            "band",
+            "_main",
+            F.ceil((F.col("_all") - F.col("_most")) / PROBES).cast("int").alias("_blocks"),
+            F.ceil(F.col("_all") / SLICE).cast("int").alias("_slices"),
+        )
+    )
+    rows = (
+        classed.select("band", "key", "class")
+        .join(plan, "band")
+        .withColumn("probe", F.col("class") != F.col("_main"))
+        .withColumn("_block", F.pmod(F.xxhash64("key", F.lit(1)), "_blocks").cast("int"))
+        .withColumn("_slice", F.pmod(F.xxhash64("key", F.lit(2)), "_slices").cast("int"))
+    )
+    cell = F.struct("band", "_block", "_slice").alias("cell")
+    probes = (
+        rows.filter("probe")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+        .select(cell, F.lit(0).alias("turn"), "probe", "key", "class")
+    )
+    others = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        cell, F.lit(1).alias("turn"), "probe", "key", "class"
+    )
+    tasks = int(classed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (
+        probes.unionByName(others)
+        .join(signed, "key")
+        .join(texts, "key")
+        .repartition(tasks, "cell")
+        .sortWithinPartitions("cell", "turn")
+        .select(
+            F.to_json("cell").alias("cell"), F.col("cell.band").alias("band"), "turn", "probe",
+            "key", "class", "bands", "sketch", "text",
+        )
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block = None, []
+        for part in slices(batches, 8):
+            cells, turns = part.column(0).to_pylist(), part.column(2).to_pylist()
+            edges = [
+                i for i in range(len(cells) + 1)
+                if i in (0, len(cells)) or (cells[i], turns[i]) != (cells[i - 1], turns[i - 1])
+            ]
+            for i, j in zip(edges, edges[1:]):
+                if cells[i] != current:
+                    current, block = cells[i], []
+                group = _Texts(part.slice(i, j - i), idf)
+                if turns[i] == 0:
+                    block.append((group, [set() for _ in group.keys]))
+                    continue
+                found = [
+                    link for probe, linked in block for link in group.links(probe, linked, similarity)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in found], pa.string()),
+                     pa.array([x[1] for x in found], pa.string()),
+                     pa.array([x[2] for x in found], pa.float64())],
+                    ["a", "b", "similarity"],
+                )
+
+    found = dealt.mapInArrow(meet, "a string, b string, similarity double")
+    return found.groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
+
+
+class _Texts:
+    """Texts of one cell: keys, classes, samples and weighted shingles."""
+
+    def __init__(self, part: pa.RecordBatch, idf: np.ndarray):
+        self.band = part.column(1)[0].as_py()
+        self.probe, self.keys, self.classes = (part.column(k).to_pylist() for k in (3, 4, 5))
+        self.bands = part.column(6).flatten().to_numpy().reshape(-1, BANDS)
+        self.sketch = part.column(7).flatten().to_numpy().reshape(-1, BANDS * ROWS)
+        self.texts, self.idf, self.bags = part.column(8), idf, None
+
+    def bag(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.bags is None:
+            self.bags = weighted_shingles(self.texts.to_pylist(), self.idf)
+        hashes, weights, starts = self.bags
+        return hashes[starts[i] : starts[i + 1]], weights[starts[i] : starts[i + 1]]
+
+    def links(
+        self, probes: _Texts, linked: list[set[str]], similarity: float
+    ) -> Iterator[tuple[str, str, float]]:
+        """Links of the probes to these texts; ``linked`` keeps the classes of each."""
+        for p, key in enumerate(probes.keys):
+            shared = self.bands == probes.bands[p]
+            here = self.bands[np.arange(len(shared)), shared.argmax(axis=1)] == self.band
+            agree = (self.sketch == probes.sketch[p]).sum(axis=1)
+            close = np.flatnonzero(here & (agree >= AGREE))
+            # those that agree most come first, the rest of their class is skipped
+            close, size = close[np.argsort(-agree[close], kind="stable")].tolist(), 8
+            while close:
+                open_ = [
+                    i for i in close
+                    if self.classes[i] != probes.classes[p]
+                    and self.classes[i] not in linked[p]
+                    and not (self.probe[i] and self.keys[i] < key)  # they meet the other way
+                ]
+                some, close, size = open_[:size], open_[size:], 2 * size
+                for i in self.perhaps(some, probes.bag(p), similarity):
+                    if self.classes[i] in linked[p]:
+                        continue
+                    near = jaccard(probes.bag(p), self.bag(i))
+                    if near >= similarity:
+                        linked[p].add(self.classes[i])
+                        yield min(key, self.keys[i]), max(key, self.keys[i]), near
+
+    def perhaps(
+        self, some: list[int], bag: tuple[np.ndarray, np.ndarray], similarity: float
+    ) -> list[int]:
+        """Those of the texts that are as similar, but for rounding."""
+        if not some:
+            return []
+        bags = [self.bag(i) for i in some]
+        hashes, weights = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
+        starts = np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])])[:-1]
+        at = np.minimum(np.searchsorted(bag[0], hashes), len(bag[0]) - 1)
+        both = np.where(bag[0][at] == hashes, np.minimum(bag[1][at], weights), 0)
+        both, total = np.add.reduceat(both, starts), np.add.reduceat(weights, starts)
+        either = total + bag[1].sum() - both
+        return [i for i, near in zip(some, both / either) if near >= similarity - 1e-9]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``key, class`` for every end of an edge: the smallest key it reaches.
 
@@ -290,10 +440,12 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 
     Texts equal up to blanks are one text. In every bucket of every band each
     text meets the bucket's leaders: the smallest key and two by the order of a
-    hash. Where a bucket still spans more than one class, members meet leaders
-    of other classes, round by round, until a round finds no link. Only pairs
-    that agree in half of their samples are compared in full. So a group of n
-    near copies costs about n comparisons, not n squared.
+    hash. Where a bucket then spans more than one class, members meet its hub,
+    the text with the most links so far. What is left outside the largest class
+    of a bucket meets every text of other classes in it (``_between_classes``),
+    so no link between classes is missed. Only pairs that agree in half of
+    their samples are compared in full. A group of n near copies costs about n
+    comparisons, and n more for each text that does not join it.
     """
     idf = inverse_frequencies(docs)
     signed = written(
@@ -327,34 +479,33 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         "near-texts",
     )
     links = written(_verified(pairs, texts, idf, similarity), "near-links")
-    tested, turn = pairs, 0
-    while True:
-        labels = components(links)
-        turn += 1
-        classed = members.join(labels, "key", "left").withColumn(
-            "class", F.coalesce("class", "key")
-        )
-        lead = (
-            classed.groupBy("band")
-            .agg(*ends(turn), F.min("class").alias("_low"), F.max("class").alias("_high"))
-            .filter("_low <> _high")
-        )
-        known = labels.select(F.col("key").alias("_lead"), F.col("class").alias("_lead_class"))
-        apart = (
-            classed.join(lead, "band")
-            .withColumn("lead", F.explode(F.array("x", "y")))
-            .filter(_agree("sketch", "lead.sketch"))
-            .withColumn("_lead", F.col("lead.key"))
-            .join(known, "_lead", "left")
-            .filter("coalesce(_lead_class, _lead) <> class")
-        )
-        pairs = written(_candidates(apart).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return links, labels
-        found = written(_verified(pairs, texts, idf, similarity), "near-links")
-        if found.isEmpty():
-            return links, labels
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
+    labels = components(links)
+    degree = (
+        links.select(F.explode(F.array("a", "b")).alias("key"))
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("degree"))
+    )
+    classed = _classed(members, labels).join(degree, "key", "left")
+    hub = F.max_by(
+        F.struct("key", "sketch", "class"),
+        F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("key")),
+    )
+    lead = (
+        classed.groupBy("band")
+        .agg(hub.alias("lead"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+        .filter("_low <> _high")
+    )
+    apart = classed.join(lead, "band").filter("lead.class <> class")
+    pairs = written(_candidates(apart).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(_verified(pairs, texts, idf, similarity), "near-links"))
+    labels = components(links)
+    rest = written(
+        _between_classes(_classed(members, labels), signed, texts, idf, similarity), "near-links"
+    )
+    if rest.isEmpty():
+        return links, labels
+    links = links.unionByName(rest)
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
