@@ -25,9 +25,12 @@ FORMS = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 
-#: An identifier is a word with a digit or an at sign that is no base match.
-TOKEN = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-#: Code points on either side in which the neighbouring word is sought.
+#: An identifier is a word that is no base match and has a digit, an at sign, or
+#: a dot, underscore or open bracket between letters.
+TOKEN = (
+    r"[^\x20\x09-\x0D]*(?:[0-9@]|(?<=\p{L})[._(\[{<](?=\p{L}))[^\x20\x09-\x0D]*"
+)
+#: Code points on either side in which the neighbouring word is sought first.
 REACH = 80
 #: Matches whose places are summed at a time.
 CHUNK = 256
@@ -35,7 +38,13 @@ CHUNK = 256
 SUPPORT = 3
 #: How much of a context's identifiers must be known for it to be trusted.
 TRUST = 0.8
-ROUNDS = 3
+#: What a word of any shape must have to be of a kind: an inner mark, digits.
+PLAUSIBLE = {
+    "email": r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]",
+    "ip": r"[0-9].*[.:]|[.:].*[0-9]",
+    "card": r"(?:[0-9][^0-9]*+){3}",
+    "phone": r"(?:[0-9][^0-9]*+){3}",
+}
 
 
 def _digits(match: Column) -> Column:
@@ -70,8 +79,8 @@ def _matches(text: Column, form: str, contexts: bool = False) -> Column:
     """All matches of a form with their places, in code points.
 
     Splitting and extracting walk the same matches, so the pieces between them
-    and their own lengths give the places, and with ``contexts`` also the words
-    that stand before and after each match.
+    and their own lengths give the places, and with ``contexts`` also the hashes
+    of the words that stand before and after each match (null where none does).
     """
     kind = "s:int,e:int,m:string" + (",before:string,after:string" if contexts else "")
 
@@ -79,16 +88,24 @@ def _matches(text: Column, form: str, contexts: bool = False) -> Column:
         n = F.size(found)
 
         def pair(m: Column, b: Column) -> Column:
-            before = [F.substring(b, -REACH, REACH).alias("before")] if contexts else []
-            return F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("n"), *before)
+            return F.struct(m.alias("m"), F.length(b).alias("gap"), F.length(m).alias("n"))
 
         out = F.zip_with(found, F.slice(between, F.lit(1), n), pair)
         if contexts:
-            out = F.zip_with(
-                out,
+            # the neighbour is in the piece between, or is a match itself
+            none = F.array(F.lit(""))
+            earlier = F.zip_with(
+                F.slice(between, F.lit(1), n),
+                F.slice(F.concat(none, found), F.lit(1), n),
+                lambda b, m: _hashed(F.coalesce(*_last_word(b), m)),
+            )
+            later = F.zip_with(
                 F.slice(between, F.lit(2), n),
-                lambda p, b: p.withField("after", F.substring(b, 1, REACH)),
+                F.slice(F.concat(F.slice(found, F.lit(2), n), none), F.lit(1), n),
+                lambda b, m: _hashed(F.coalesce(*_first_word(b), m)),
             )
+            out = F.zip_with(out, earlier, lambda p, w: p.withField("before", w))
+            out = F.zip_with(out, later, lambda p, w: p.withField("after", w))
         return out
 
     def add(acc: Column, p: Column) -> Column:
@@ -137,6 +154,27 @@ def _matches(text: Column, form: str, contexts: bool = False) -> Column:
     )
 
 
+def _word_or_null(text: Column, form: str) -> Column:
+    word = F.regexp_extract(text, form, 1)
+    return F.when(word != "", word)
+
+
+def _last_word(piece: Column) -> list[Column]:
+    """The whole word that ends a piece, sought near its end and then in all of it."""
+    return [
+        _word_or_null(F.substring(piece, -REACH, REACH), r"[\x20\x09-\x0D]([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"),
+        _word_or_null(piece, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"),
+    ]
+
+
+def _first_word(piece: Column) -> list[Column]:
+    return [_word_or_null(piece, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]++)")]
+
+
+def _hashed(word: Column) -> Column:
+    return F.when(word != "", F.md5(F.lower(word).cast("binary")))
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, with the value computed once for all its uses."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -182,13 +220,36 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, r"[0-9]+", "9"), r"\p{L}+", "a")
 
 
+def _patterns(item: Column, before: Column, after: Column) -> Column:
+    """What may tell the kind of a word, each on its own: the word before it, the
+    word after it, how it begins and ends up to a mark, and all of its place with
+    its shape."""
+    begins = F.regexp_extract(item, r"^([^\p{L}\p{N}]*[\p{L}\p{N}]*[^\p{L}\p{N}]+)", 1)
+    ends = F.regexp_extract(
+        item, r"(?:(?<=[\p{L}\p{N}])|^)([^\p{L}\p{N}]++[\p{L}\p{N}]++)[^\p{L}\p{N}]*+$", 1
+    )
+    place = F.when(
+        before.isNotNull() | after.isNotNull(),
+        F.concat_ws("\u0001", F.coalesce(before, F.lit("")), F.coalesce(after, F.lit("")), _shape(item)),
+    )
+    parts = {
+        "b": before,
+        "a": after,
+        "p": F.when(begins != "", F.lower(begins)),
+        "s": F.when(ends != "", F.lower(ends)),
+        "w": place,
+    }
+    marked = [F.md5(F.concat(F.lit(f"{name}:"), part).cast("binary")) for name, part in parts.items()]
+    return F.filter(F.array(*marked), lambda c: c.isNotNull())
+
+
 def mentions(spanned: DataFrame) -> DataFrame:
-    """Words that look like identifiers, with their contexts.
+    """Words that look like identifiers, with their patterns.
 
     Returns ``text_key, s, e, item, k`` (kind, null if no base match lies in the
-    word) and ``context``: the words before and after, unless they look like
-    identifiers themselves, and the shape. A base match that holds blanks
-    counts for each word in it.
+    word) and ``contexts``, the hashes of its ``_patterns``. The item of a word
+    that holds a part of a base match is the whole match, so a match with blanks
+    is one item with the patterns of all its words.
     """
     word = rf"(?:(?<=^)|(?<=[\x20\x09-\x0D])){TOKEN}"
     found = spanned.select(
@@ -196,54 +257,71 @@ def mentions(spanned: DataFrame) -> DataFrame:
         F.col("_base"),
         F.explode(_matches(text_or_empty(), word, contexts=True)).alias("x"),
     )
-    before = F.lower(F.regexp_extract("x.before", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-    after = F.lower(F.regexp_extract("x.after", r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
     inside = F.filter("_base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
-    item = F.col("x.m")
+    first = F.when(F.size("_in") > 0, F.element_at("_in", 1))
     return found.withColumn("_in", inside).select(
         "text_key",
         F.col("x.s").alias("s"),
         F.col("x.e").alias("e"),
-        item.alias("item"),
-        F.when(F.size("_in") > 0, F.element_at("_in", 1)["k"]).alias("k"),
-        F.md5(F.concat_ws("\u0001", before, after, _shape(item)).cast("binary")).alias("context"),
+        F.coalesce(first["m"], F.col("x.m")).alias("item"),
+        first["k"].alias("k"),
+        _patterns(F.col("x.m"), F.col("x.before"), F.col("x.after")).alias("contexts"),
     )
 
 
-def learned(found: DataFrame, support: int, trust: float, rounds: int) -> DataFrame:
-    """Items accepted by bootstrapping over the graph of contexts and items.
+def _plausible(item: Column, k: Column) -> Column:
+    """The weak check of a word's own shape."""
+    fits = F.lit(False)
+    for i, kind in enumerate(KINDS):
+        fits = F.when(k == i, item.rlike(PLAUSIBLE[kind])).otherwise(fits)
+    return fits
+
 
-    Items inside base matches are the seeds, of score 1. A context's score for a
-    kind is the mean score of its different items, if it has ``support`` of
-    them; an item's is the best of its contexts'. Contexts that reach ``trust``
-    accept their items, which are seeds of the next round. All steps are
-    aggregations over different (context, item) pairs, so copies count once.
+def learned(found: DataFrame, support: int, trust: float) -> DataFrame:
+    """Items accepted by bootstrapping over the graph of patterns and items.
+
+    Items inside base matches are the seeds, of score 1. A pattern's score for a
+    kind is the mean score of its different items (0 for those not known), if it
+    has ``support`` of them; an item's is the best of its patterns'. Patterns
+    that reach ``trust`` accept their items that are plausible for the kind,
+    which are seeds of the next round, until a round accepts none; each round
+    but the last takes one item at least, so they end. All steps are
+    aggregations over different (pattern, item) pairs, so copies count once.
     Returns ``item, k`` of items outside the seeds.
     """
     edges = written(
-        found.groupBy("context", "item").agg(F.min("k").alias("k")), "pii-edges"
+        found.select(F.explode("contexts").alias("context"), "item", "k")
+        .groupBy("context", "item")
+        .agg(F.min("k").alias("k")),
+        "pii-edges",
     )
-    width = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    # a context without any seed cannot start; one with a single item never counts
-    edges = written(edges.join(width, "context"), "pii-edges")
     seeds = edges.filter("k is not null").groupBy("item").agg(F.min("k").alias("k")).withColumn(
         "score", F.lit(1.0)
     )
-    known = written(seeds, "pii-known")
-    for _ in range(rounds):
+    fresh = known = written(seeds, "pii-known")
+    # a pattern with fewer items never counts
+    width = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+    edges = written(edges.drop("k").join(width, "context"), "pii-edges")
+    sums = None
+    while True:
+        gained = (
+            edges.join(fresh, "item").groupBy("context", "k", "n").agg(F.sum("score").alias("got"))
+        )
+        if sums is not None:
+            gained = (
+                sums.unionByName(gained).groupBy("context", "k", "n").agg(F.sum("got").alias("got"))
+            )
+        sums = written(gained, "pii-sums")
         scored = (
-            edges.drop("k")
-            .join(known, "item")
-            .groupBy("context", "k")
-            .agg((F.sum("score") / F.max("n")).alias("score"))
+            sums.withColumn("score", F.col("got") / F.col("n"))
             .filter(F.col("score") >= trust)
             .groupBy("context")
             .agg(F.max(F.struct("score", "k")).alias("b"))
             .select("context", "b.score", "b.k")
         )
         grown = (
-            edges.drop("k")
-            .join(scored, "context")
+            edges.join(scored, "context")
+            .filter(_plausible(F.col("item"), F.col("k")))
             .groupBy("item")
             .agg(F.max(F.struct("score", "k")).alias("b"))
             .select("item", "b.k", "b.score")
@@ -255,9 +333,7 @@ def learned(found: DataFrame, support: int, trust: float, rounds: int) -> DataFr
     return known.join(seeds.select("item"), "item", "left_anti").select("item", "k")
 
 
-def find_pii(
-    docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS
-) -> DataFrame:
+def find_pii(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
     """Personal data in each document.
 
     Base forms are matched per kind, leftmost and not overlapping; those that
@@ -278,7 +354,7 @@ def find_pii(
     more = (
         found.filter("k is null")
         .drop("k")
-        .join(learned(found, support, trust, rounds), "item")
+        .join(learned(found, support, trust), "item")
         .groupBy("text_key")
         .agg(
             F.collect_set(

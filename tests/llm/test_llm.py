@@ -332,6 +332,39 @@ def test_pii(spark):
     assert (last.n_ip, last.n_found, last.spans) == (0, 1, "ip:10:19")
 
 
+def test_pii_of_other_shapes(spark):
+    rng = random.Random(9)
+    far = words(rng, 60).replace(" ", "")  # a neighbour of more than 80 letters
+    texts = [f"{words(rng, 2)} mail u{i}@m{i}.example {words(rng, 2)}" for i in range(20)]
+    texts += [f"dial +49 30 {1234567 + 7 * i} {words(rng, 1)}" for i in range(9)]
+    texts += [f"{far} u{i}@far{i}.example" for i in range(20, 24)]
+    odd = ["mail user@localhost", "x mail name(at)mail.com y", "dial 0301234567 z", f"{far} who[at]home"]
+    texts += odd + ["chapter 12 has 3 parts", f"q{far[1:]} not[at]home", "mail 5 letters"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {texts[r.doc_id]: r for r in pii.find_pii(df).collect()}
+    for text, span in zip(odd, ("email:5:19", "email:7:23", "phone:5:15", f"email:{len(far) + 1}:{len(far) + 12}")):
+        assert (out[text].n_found, out[text].spans) == (1, span), text
+    for text in ("chapter 12 has 3 parts", f"q{far[1:]} not[at]home", "mail 5 letters"):
+        assert out[text].n_found == 0, text
+
+
+def test_pii_runs_until_nothing_is_fresh(spark):
+    from pyspark.sql import functions as F
+
+    # pattern i holds items of links i and i + 1: link i + 1 is known a round after i
+    rows = [("c0", f"seed{j}@x.y", 0) for j in range(36)]
+    for i in range(7):
+        rows += [(f"c{i}", f"w{i}-{j}@lan", None) for j in range(4)]
+        if i:
+            rows += [(f"c{i}", f"w{i - 1}-{j}@lan", None) for j in range(4)]
+            rows += [(f"c{i}", f"seed{j}@x.y", 0) for j in range(31)]
+    found = spark.createDataFrame(rows, "context string, item string, k int").select(
+        F.array("context").alias("contexts"), "item", "k"
+    )
+    got = {r.item for r in pii.learned(found, 3, 0.8).collect()}
+    assert got == {f"w{i}-{j}@lan" for i in range(7) for j in range(4)}
+
+
 def test_pipeline(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline
