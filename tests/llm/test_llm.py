@@ -163,6 +163,30 @@ def test_license_notices(spark):
     assert {r.start_word for r in found.filter("doc_id = 1").collect()} == {50}
 
 
+def test_licenses_in_comments(spark):
+    def wrapped(notice, mark):
+        each = notice.split()
+        return "\n".join(f"{mark} " + " ".join(each[i : i + 9]) for i in range(0, len(each), 9))
+
+    headers = [n for n in license_scan.NOTICES if n.endswith(("header", "permission")) or n in ("BSD", "MPL-2.0")]
+    marks = ["#", "//", " *", "--"]
+    rows = [(i, wrapped(license_scan.NOTICES[n], marks[i % 4])) for i, n in enumerate(headers)]
+    texts = ["GPL-2.0 text", "MIT text", "ISC text", "Unlicense text", "LGPL-2.1 text"]
+    rows += [(100 + i, "x " * 90 + wrapped(license_scan.NOTICES[n], "#")) for i, n in enumerate(texts)]
+    rows += [(200, "# Released under MIT License"), (201, "Released under the new license"),
+             (202, "/* SPDX-License-Identifier: MIT OR Apache-2.0 */"), (203, "Released under the XYZ License.")]
+    got = defaultdict(set)
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    for i, n in enumerate(headers):
+        assert n in got[i], n
+    assert not got[headers.index("LGPL-2.1 header")] & {"GPL-2.0 header", "LGPL-3.0 header"}
+    for i, n in enumerate(texts):
+        assert n in got[100 + i], n
+    assert got[200] == {"MIT released line"} and not got[201] and not got[203]
+    assert got[202] == {"SPDX MIT OR Apache-2.0"}
+
+
 def test_fingerprints(docs):
     out = fingerprints.fingerprint_edits(docs).collect()
     rows = [(i, t or "") for i, t, *_ in rows_of()]
