@@ -154,6 +154,7 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM stk LEFT JOIN g USING (warehouse_id, sku)""",
 )
 def ledger_replay(spark, sf_dir):
+    """Cells with a stock row; ``ledger_refusals`` has the movements of the rest."""
     zero = F.lit(0).cast("bigint")
     cells = adapter.stock(spark).withColumns(
         {"on_hand": F.col("available"), "reserved": zero, "version": zero}
@@ -161,6 +162,22 @@ def ledger_replay(spark, sf_dir):
     return inventory.replay_ledger(cells, movements(spark, sf_dir))
 
 
+@query(
+    "ledger_refusals",
+    """SELECT m.warehouse_id, m.sku, m.kind, m.quantity, m.t, m.seq
+       FROM (SELECT 'WH-' || lpad(CAST(1 + seq % 12 AS VARCHAR), 2, '0') AS warehouse_id, sku, kind, quantity,
+               t + 300 * c AS t, seq * 3 + c AS seq
+             FROM ln, range(0, 3) r(c), LATERAL (SELECT CASE c WHEN 0 THEN 'reserve'
+               WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'commit' WHEN seq % 3 = 0 THEN 'release' END
+               ELSE CASE WHEN seq % 61 = 0 THEN 'release' END END AS kind) k WHERE kind IS NOT NULL) m
+       WHERE NOT EXISTS (SELECT 1 FROM stk s WHERE s.warehouse_id = m.warehouse_id AND s.sku = m.sku)""",
+)
+def ledger_refusals(spark, sf_dir):
+    return inventory.refused_movements(adapter.stock(spark), movements(spark, sf_dir)).select(
+        "warehouse_id", "sku", "kind", "quantity", "t", "seq"
+    )
+
+
 def holds_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hold; the even ones carry a snapshot of their lines."""
     snapshot = (

@@ -183,7 +183,8 @@ def replay_ledger(
     ``breaches`` counts the moments at which the running reserved or available
     amount is below zero. ``movements``: ``warehouse_id, sku, kind, quantity,
     t, seq``; ``stock``: ``warehouse_id, sku, on_hand, reserved, available,
-    version``.
+    version``. Movements of cells without a stock row change nothing here and
+    are what ``refused_movements`` returns.
     """
     keys = ["warehouse_id", "sku"]
     opening = stock.select(
@@ -219,6 +220,14 @@ def replay_ledger(
     )
 
 
+def refused_movements(stock: DataFrame, movements: DataFrame) -> DataFrame:
+    """The movements of cells without a stock row: there is nothing to guard or
+    change, so each of them is refused. With those that ``replay_ledger`` counts
+    as versions they are all movements."""
+    cells = stock.select("warehouse_id", "sku")
+    return movements.join(cells, ["warehouse_id", "sku"], "left_anti")
+
+
 def create_reservations(
     granted: DataFrame, lines: DataFrame, ttl_seconds: int = schemas.RESERVATION_TTL_SECONDS
 ) -> DataFrame:

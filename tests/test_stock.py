@@ -126,6 +126,22 @@ def test_ledger_cycles(spark, hot_rows):
     assert (got["S"].breaches, got["T"].breaches) == (0, 1)
 
 
+def test_movements_without_a_stock_row_are_refused(spark):
+    stock = spark.createDataFrame(
+        [("W", "S", 10, 0, 10, 0)],
+        "warehouse_id string, sku string, on_hand long, reserved long, available long, version long",
+    )
+    moves = [("W", "S", "reserve", 2, 1, 1), ("W", "gone", "reserve", 1, 2, 2),
+             ("V", "S", "commit", 3, 3, 3), ("W", None, "release", 1, 4, 4)]
+    df = spark.createDataFrame(
+        moves, "warehouse_id string, sku string, kind string, quantity int, t long, seq long"
+    )
+    refused = inventory.refused_movements(stock, df)
+    assert sorted(r.seq for r in refused.collect()) == [2, 3, 4]
+    applied = inventory.replay_ledger(stock, df).agg({"version": "sum"}).first()[0]
+    assert applied + refused.count() == len(moves)
+
+
 def test_first_transition_settles_a_hold(spark):
     holds = spark.createDataFrame([("R", "O", "W")], "reservation_id string, order_id string, warehouse_id string")
     moves = spark.createDataFrame(
