@@ -4,8 +4,9 @@ A window is one task per key. That is the right plan for ordinary keys and a
 dead end for a hot one, so a hot key is cut into consecutive slices of its own
 order: each slice is windowed on its own and starts from the total of the
 slices before it. Which keys are hot is measured first, with one aggregation
-over the key and position columns. Without hot keys the plan is the plain
-single-shuffle window.
+over the key and position columns. Cuts are rows of the order itself, compared
+in the types of its columns. Without hot keys nothing is cut and the plan is
+the plain single-shuffle window.
 """
 
 from __future__ import annotations
@@ -15,19 +16,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.plans.storage import pinned
+
 HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 20_000
 SLICES_PER_QUOTA = 8
+#: Sampled rows from one cut to the next, so that slices are of about one size.
+SAMPLES_PER_SLICE = 64
+#: Steps of the search for a slice: more cuts of one key than any table has.
+_STEPS = [1 << i for i in range(24, -1, -1)]
 
 
 @dataclass(frozen=True)
 class Slices:
     """Where hot keys are cut.
 
-    ``levels`` holds at most two tables of at most ``MAX_HOT_GROUPS`` rows
-    each: first slices by position, then slices of the slices that are still
-    too large (by the tie column where the slice is a single position). They
-    are local rows, so every branch of a plan and every retry cuts alike.
+    ``levels`` is empty or holds one table with a row per hot key: its cuts,
+    ``(position, tie)`` in order, ``SLICES_PER_QUOTA`` of them for ``HOT_ROWS``
+    rows. It is written once, so every branch of a plan and every retry cuts
+    alike.
     """
 
     keys: tuple[str, ...]
@@ -48,36 +54,26 @@ class Slices:
     def apply(self, df: DataFrame, position: str, tie: str) -> DataFrame:
         """Add the slice columns; ordinary keys get slice 0."""
         out = df
-        on = list(self.keys)
         for name, table in zip(self.columns, self.levels):
-            # a table has at most MAX_HOT_GROUPS rows by construction
-            out = out.join(F.broadcast(table), on, "left").withColumn(
-                name, _slice_number(F.col(position), F.col(tie))
-            ).drop("_lo", "_hi", "_tlo", "_thi", "_parts")
-            on = [*on, name]
+            # a row per hot key, SLICES_PER_QUOTA cuts for each HOT_ROWS rows
+            out = out.join(F.broadcast(table), list(self.keys), "left").withColumn(
+                name, _slice_number(F.struct(F.col(position).alias("p"), F.col(tie).alias("t")))
+            ).drop("_cuts")
         return out
 
 
-def _slice_number(position: Column, tie: Column) -> Column:
-    parts = F.col("_parts")
+def _slice_number(at: Column) -> Column:
+    """One more than the cuts up to and with a row, by binary search."""
+    cuts = F.col("_cuts")
 
-    def cut(value: Column, lo: Column, hi: Column) -> Column:
-        width = F.greatest((hi - lo) / parts, F.lit(1e-9))
-        number = F.floor((value.cast("double") - lo) / width).cast("bigint")
-        return F.greatest(F.lit(0), F.least(number, parts))
+    def step(passed: Column, width: Column) -> Column:
+        further = passed + width
+        return F.when(
+            (further <= F.size(cuts)) & (F.get(cuts, further - 1) <= at), further
+        ).otherwise(passed)
 
-    at = position.cast("double")
-    inside = F.when(
-        F.col("_lo") == F.col("_hi"), cut(tie, F.col("_tlo"), F.col("_thi"))
-    ).otherwise(cut(position, F.col("_lo"), F.col("_hi")))
-    # rows outside the measured range keep their order at either end
-    return (
-        F.when(parts.isNull(), F.lit(0))
-        .when(at < F.col("_lo"), F.lit(1))
-        .when(at > F.col("_hi"), parts + 3)
-        .otherwise(inside + 2)
-        .cast("bigint")
-    )
+    passed = F.aggregate(F.array(*[F.lit(w) for w in _STEPS]), F.lit(0), step)
+    return F.when(cuts.isNull(), F.lit(0)).otherwise(passed + 1).cast("bigint")
 
 
 def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
@@ -97,39 +93,31 @@ def measure_slices(
 
     ``df`` needs only the key, position and tie columns and may be a superset
     of the rows that are windowed later: the cuts change the plan, never the
-    result. At most ``MAX_HOT_GROUPS`` rows come to the driver; a group beyond
-    that rank is smaller than one ``MAX_HOT_GROUPS``-th of the table.
+    result. Cuts are quantiles of ``(position, tie)`` among rows sampled by hash,
+    so a skewed position is cut as evenly as any; only rows equal in both stay
+    together. A group with a null key stays one window.
     """
     if not has_hot_key(df, keys, hot_rows):
         return Slices(tuple(keys))
-    levels: list[DataFrame] = []
-    current = df.select(*keys, position, tie)
-    found = Slices(tuple(keys))
-    for _ in range(2):
-        group = found.group
-        stats = (
-            current.groupBy(*group)
-            .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.min(position).cast("double").alias("_lo"),
-                F.max(position).cast("double").alias("_hi"),
-                F.min(tie).cast("double").alias("_tlo"),
-                F.max(tie).cast("double").alias("_thi"),
-            )
-            .filter(F.col("_n") > hot_rows)
-            .withColumn("_parts", F.ceil(F.col("_n") * SLICES_PER_QUOTA / hot_rows))
+    share = min(1.0, SLICES_PER_QUOTA * SAMPLES_PER_SLICE / hot_rows)
+    every = max(1, int(hot_rows * share / SLICES_PER_QUOTA))
+    rows = df.select(*keys, F.struct(F.col(position).alias("p"), F.col(tie).alias("t")).alias("_at"))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    drawn = F.pmod(F.xxhash64(*keys, "_at"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+    cuts = (
+        rows.filter(drawn)
+        .join(F.broadcast(hot.select(*keys)), keys)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list("_at")).alias("_all"))
+        .select(
+            *keys,
+            F.transform(
+                F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / every).cast("int")),
+                lambda i: F.get("_all", i * every),
+            ).alias("_cuts"),
         )
-        top = stats.orderBy(F.desc("_n"), *group).limit(MAX_HOT_GROUPS).drop("_n")
-        rows = top.collect()
-        if not rows:
-            break
-        levels.append(df.sparkSession.createDataFrame(rows, top.schema))
-        found = Slices(tuple(keys), tuple(levels))
-        hot_only = df.select(*keys, position, tie).join(
-            F.broadcast(levels[0].select(*keys)), keys, "left_semi"
-        )
-        current = found.apply(hot_only, position, tie)
-    return found
+    )
+    return Slices(tuple(keys), (pinned(cuts),))
 
 
 def running_sums(
@@ -145,7 +133,8 @@ def running_sums(
 ) -> DataFrame:
     """Add a running sum for each measure, per key, in (position, tie) order.
 
-    Both are numeric and together fix a row's place within its key.
+    Both are of any types that have an order, and together fix a row's place
+    within its key.
     """
     slices = slices or measure_slices(df, keys, position, tie, hot_rows)
     last = 0 if inclusive else -1

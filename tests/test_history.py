@@ -112,6 +112,31 @@ def test_row_numbers(spark, hot_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("hot_rows", [20, 10_000])
+def test_row_numbers_with_string_ids_and_skewed_positions(spark, hot_rows):
+    rng = random.Random(4)
+    data = [(rng.choice("aab"), rng.choice([None, 1.0, 2.0, 2.0**rng.randrange(60)]), f"e-{i:x}") for i in range(600)]
+    df = spark.createDataFrame(data, "k string, p double, i string")
+    got = {r.i: r.rn for r in row_numbers(df, ["k"], "p", "i", hot_rows=hot_rows).collect()}
+    want = {}
+    for key in "ab":
+        own = sorted((-1 if p is None else p, i) for k, p, i in data if k == key)
+        want.update({i: n + 1 for n, (_, i) in enumerate(own)})
+    assert got == want
+    cut = measure_slices(df, ["k"], "p", "i", hot_rows)
+    sizes = cut.apply(df, "p", "i").groupBy(*cut.group).count().collect()
+    assert max(r["count"] for r in sizes) <= hot_rows
+
+
+def test_effects_of_a_hot_order_with_string_ids(spark):
+    from orderlens.operators import delivery
+
+    rows = [("O-1", f"evt-{i * 7 % 50:02d}", i // 10) for i in range(50)]
+    df = spark.createDataFrame(rows, "order_id string, event_id string, t long")
+    got = {r.event_id: r.step for r in delivery.effects_in_order(df, "t", hot_rows=5).collect()}
+    assert got == {e: n + 1 for n, (_, e) in enumerate(sorted((t, e) for _, e, t in rows))}
+
+
 def test_velocity_counts_earlier_orders_only(spark):
     orders = [("C", 60 * i, i, 1000, "411111") for i in range(4)]
     got = run(spark, orders, [("x", 0, 0)], 1_000_000)
