@@ -131,27 +131,30 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, kept_grams: int = KEPT_GRAMS) -> Model:
-    """Count n-grams of labelled documents, at most ``sample_docs`` per language.
+    """Count n-grams of labelled documents, at most ``sample_docs`` texts per language.
 
-    The sample is every document whose hash lies below the share that
-    ``sample_docs`` is of its language. What comes back to the driver is
-    ``kept_grams`` rows per language.
+    The sample are the different texts of a language that come first by hash, each
+    once: copies neither crowd others out nor count again, and no language is
+    without a text. What comes back to the driver is ``kept_grams`` rows per
+    language.
     """
-    labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.xxhash64("text")
-    # the hash below which about sample_docs of a language lie
+    labelled = docs.filter(
+        ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    ).withColumn("_place", F.xxhash64("text"))
+    # the hash up to which the sample of a language goes
+    first = Window.partitionBy("lang").orderBy("_place")
     edges = (
-        labelled.select("lang", place.alias("place"))
+        labelled.select("lang", "_place")
+        .distinct()
+        .withColumn("_n", F.row_number().over(first))
+        .filter(F.col("_n") <= sample_docs)
         .groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn(
-            "edge",
-            F.lit(-(2.0**63))
-            + F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n")) * F.lit(2.0**64),
-        )
+        .agg(F.max("_place").alias("_edge"))
     )
-    sample = labelled.join(written(edges.select("lang", "edge"), "edges"), "lang").filter(
-        place.cast("double") <= F.col("edge")
+    sample = (
+        labelled.join(written(edges, "edges"), "lang")
+        .filter(F.col("_place") <= F.col("_edge"))
+        .dropDuplicates(["lang", "_place"])
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

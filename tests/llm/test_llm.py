@@ -256,6 +256,23 @@ def test_language(spark):
     assert kept == set(out) - {200, 201}
 
 
+def test_copies_do_not_crowd_a_language_out(spark):
+    rows = [(i, f"{chr(97 + i % 8)}word " * 3, f"l{i % 8}") for i in range(400)]
+    rows += [(1000 + i, f"zz{'klmnopqrst'[i]} only", "l0") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, sample_docs=1)
+    assert model.languages == tuple(f"l{i}" for i in range(8))
+    once = language.train(df.dropDuplicates(["lang", "text"]).withColumn("doc_id", no_id()))
+    every = language.train(df.withColumn("doc_id", no_id()))
+    assert np.array_equal(once.keys, every.keys) and np.array_equal(once.scores, every.scores)
+
+
+def no_id():
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast("long")
+
+
 def test_near_duplicates(docs):
     out = near_dedup.near_duplicates(docs).collect()
     assert len(out) == len(rows_of())
