@@ -518,13 +518,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     table gives no rows; columns other than ``doc_id`` and ``text`` are not read.
 
     Returns ``doc_id, class_id`` (smallest id of the class), ``class_size``
-    (documents), ``links`` (different texts its text is linked to).
+    (documents), ``links_found`` (links of its text that were verified while
+    classes were joined: enough to span the class, not all texts similar to it).
     """
     links, labels = near_links(docs, similarity)
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("key"))
         .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("links"))
+        .agg(F.count(F.lit(1)).alias("links_found"))
     )
     known = written(labels.join(degree, "key", "left"), "classes")
     rows = docs.select(F.col("doc_id").alias("row_doc_id"), _copy_key().alias("key"))
@@ -532,7 +533,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         rows.join(known, "key", "left").select(
             "row_doc_id",
             F.coalesce("class", "key").alias("class"),
-            F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
+            F.coalesce("links_found", F.lit(0)).cast("bigint").alias("links_found"),
         ),
         "near-rows",
     )
@@ -540,7 +541,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         F.min("row_doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")
     )
     return classed.join(sizes, "class").select(
-        F.col("row_doc_id").alias("doc_id"), "class_id", "class_size", "links"
+        F.col("row_doc_id").alias("doc_id"), "class_id", "class_size", "links_found"
     )
 
 

@@ -287,6 +287,13 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and kept.count() == 43
 
 
+def test_links_found_span_their_class(docs):
+    out = near_dedup.near_duplicates(docs)
+    assert out.columns == ["doc_id", "class_id", "class_size", "links_found"]
+    found = {r.doc_id: r.links_found for r in out.collect()}
+    assert found[43] >= 1 and found[44] >= 1 and found[5] == 0
+
+
 def test_packing(docs):
     lengths = (16, 64, 256)
     out = packing.pack(docs, lengths, pack_rows=20).collect()
