@@ -423,3 +423,67 @@ def test_pipeline(spark):
         kept = stage(spark, docs, "/root/testdata/sf0.001")
         assert kept.columns == docs.columns
     assert 0 < out.select("doc_id").distinct().count() <= docs.count()
+
+
+def pipeline_by_hand(rows):
+    """Language, exact dedup, near-dedup and mixing over the fixture below, plainly:
+    (id, words) by how often it is packed."""
+    known = [r for r in rows if r[1] and re.search("[a-z]", r[1])]
+    same = defaultdict(list)
+    for r in known:
+        same[re.sub(r"\s", "", r[1])].append(r)
+    left = [min(own, key=lambda r: r[0]) for own in same.values()]
+
+    def shingles(text):
+        each = text.split()
+        return {tuple(each[i : i + 5]) for i in range(max(1, len(each) - 4))}
+
+    classes = []
+    for r in left:
+        own = shingles(r[1])
+        near = [c for c in classes if any(len(own & s) >= 0.8 * len(own | s) for _, s in c)]
+        classes = [c for c in classes if c not in near] + [sum(near, []) + [(r, own)]]
+    left = [
+        min((r for r, _ in c), key=lambda r: hashlib.md5(" ".join(r[1].split()).encode()).hexdigest())
+        for c in classes
+    ]
+    size = {r[0]: len(r[1].split()) for r in left}
+    sources = sorted({r[3] for r in left})
+    total = {s: sum(size[r[0]] for r in left if r[3] == s) for s in sources}
+    weight = dict(zip(sources, (5, 2, 1)))
+    low, high = 0.0, 10.0 * sum(total.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        short = sum(min(2 * total[s], weight[s] * level) for s in sources) < 1.5 * sum(total.values())
+        low, high = (level, high) if short else (low, level)
+    want = Counter()
+    for s in sources:
+        target = min(2 * total[s], weight[s] * high)
+        times = int(target / total[s] + 1e-9)
+        budget = round(target - times * total[s])
+        own = [r for r in left if r[3] == s]
+        own.sort(key=lambda r: hashlib.md5(f"{r[0]}|{r[3]}|{r[1]}".encode()).hexdigest()[:15])
+        for r in own:
+            n = size[r[0]]
+            want[r[0], n] += times + (budget > 0 and 2 * budget >= n)
+            budget = max(0, budget - n)
+    return +want
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [[i, words(rng, rng.randint(20, 60)), "en", f"s{i % 3}"] for i in range(30)]
+    rows += [[100 + i, rows[i][1], "en", f"s{i % 2}"] for i in range(5)]
+    for i in range(4):
+        each = words(rng, 300).split()
+        rows.append([200 + i, " ".join(each), "en", "s0"])
+        each[150] = "changed"
+        rows.append([300 + i, " ".join(each), "en", "s0"])
+    rows += [[400, None, "en", "s0"], [401, "12 34 !?", "en", "s1"], [402, "", "en", "s2"]]
+    table = [(*r, len(r[1] or "")) for r in rows]
+    spark.createDataFrame(table, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_words) for r in out) == pipeline_by_hand(rows)
+    assert all(r.bin is not None and r.start == 0 for r in out)
