@@ -141,13 +141,20 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, kept_grams: int = KEP
     labelled = docs.filter(
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     ).withColumn("_place", F.xxhash64("text"))
-    # the hash up to which the sample of a language goes
+    # hashes below which a few more than sample_docs texts of a language lie (ten
+    # deviations and 50), then the hash up to which its sample goes
+    texts = written(labelled.select("lang", "_place").distinct(), "places")
+    enough = float(sample_docs + 10 * sample_docs**0.5 + 50)
+    share = F.least(F.lit(1.0), F.lit(enough) / F.col("_n")) * F.lit(2.0**64)
+    low = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(
+        "lang", (F.lit(-(2.0**63)) + share).alias("_low")
+    )
     first = Window.partitionBy("lang").orderBy("_place")
     edges = (
-        labelled.select("lang", "_place")
-        .distinct()
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= sample_docs)
+        texts.join(F.broadcast(low), "lang")  # a row per language
+        .filter(F.col("_place").cast("double") <= F.col("_low"))
+        .withColumn("_rank", F.row_number().over(first))
+        .filter(F.col("_rank") <= sample_docs)
         .groupBy("lang")
         .agg(F.max("_place").alias("_edge"))
     )
