@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderlens.llm import (
+    chat_format,
     exact_dedup,
     fingerprints,
     language,
@@ -18,7 +20,7 @@ from orderlens.llm import (
     sharding,
     suffix_dedup,
 )
-from orderlens.llm.common import documents
+from orderlens.llm.common import conversations, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +134,45 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def control_chat(spark: SparkSession) -> DataFrame:
+    """Conversation -7, whose texts are control strings of the template."""
+    return spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = conversations(spark, sf_dir).select("conv_id", "turn", "role", "text")
+    return chat_format.digest(chat_format.format_chats(chats.unionByName(control_chat(spark))))
+
+
+_CONTROL = r"[<\[]\\*(s>|/s>|INST\]|/INST\]|ROLE\]|TEXT\]|/TEXT\]|TURN\])"
+_ESCAPED = "(length({0}) + len(regexp_extract_all({0}, '" + _CONTROL + "')))"
+OP11_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL
+           SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]'
+           FROM (SELECT unnest(range(2)) AS i)),
+t AS (SELECT *, lag(role) OVER w IS DISTINCT FROM role OR row_number() OVER w = 1 AS first,
+             row_number() OVER w AS place
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({_ESCAPED.format('text')} + CASE
+           WHEN NOT first THEN 6
+           WHEN role = 'user' THEN 13
+           WHEN role = 'assistant' THEN 7
+           ELSE 19 + {_ESCAPED.format('role')} END)::BIGINT AS formatted_chars,
+       sum(first::INTEGER)::BIGINT AS n_blocks
+FROM t GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -143,10 +184,12 @@ QUERIES: dict[str, Query] = {
     "op8_pack": op8_pack,
     "op9_shards": op9_shards,
     "op10_pii": op10_pii,
+    "op11_chat_format": op11_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op9_shards": OP9_SQL,
+    "op11_chat_format": OP11_SQL,
 }
