@@ -19,8 +19,9 @@ from orderlens.llm import (
     pii,
     sharding,
     suffix_dedup,
+    whitening,
 )
-from orderlens.llm.common import conversations, documents
+from orderlens.llm.common import conversations, documents, embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -173,6 +174,10 @@ FROM t GROUP BY conv_id
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -185,6 +190,7 @@ QUERIES: dict[str, Query] = {
     "op9_shards": op9_shards,
     "op10_pii": op10_pii,
     "op11_chat_format": op11_chat_format,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
