@@ -17,6 +17,7 @@ from orderlens.llm import (
     near_dedup,
     packing,
     pii,
+    repair,
     sharding,
     suffix_dedup,
     whitening,
@@ -178,6 +179,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(embeddings(spark, sf_dir))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = conversations(spark, sf_dir)
+    return repair.repair(repair.damaged(chats), every=chats)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -191,6 +197,7 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op11_chat_format": op11_chat_format,
     "op12_whitening": op12_whitening,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {
