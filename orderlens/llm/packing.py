@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,12 +15,56 @@ LENGTHS = (512, 1024, 2048, 4096)
 #: Pieces that one packing task takes.
 PACK_ROWS = 20_000
 #: Words at which attention over a sequence costs as much as all else.
-ATTENTION = 32_768
+ATTENTION = 16_384
+#: What every sequence costs besides, in words: launches, padding, bookkeeping.
+OVERHEAD = 256
 
 
 def sequence_cost(length: int) -> float:
-    """What a sequence costs: its words, and attention between them."""
-    return length * (1 + length / ATTENTION)
+    """What a sequence costs: an overhead, its words, and attention between them."""
+    return OVERHEAD + length * (1 + length / ATTENTION)
+
+
+def _filling(room: int, counts: dict[int, int], present: int) -> int:
+    """The words that the largest fitting sizes left put into ``room``.
+
+    ``counts`` has how many of each size are left, ``present`` their bits.
+    """
+    filled, taken = 0, {}
+    while room:
+        fits = present & ((1 << (room + 1)) - 1)
+        if not fits:
+            return filled
+        size = fits.bit_length() - 1
+        left = counts[size] - taken.get(size, 0)
+        n = min(left, room // size)
+        if n == left:
+            present ^= 1 << size
+        taken[size] = taken.get(size, 0) + n
+        filled += n * size
+        room -= n * size
+    return filled
+
+
+def cheapest_length(
+    size: int, lengths: Sequence[int], counts: dict[int, int], present: int
+) -> int:
+    """The length to open for a piece: of least cost per word it can be filled with.
+
+    Each length is filled with the pieces that are left, largest first, and
+    counted at the length it then shrinks to. A long sequence wins where what is
+    left fills it, as it shares the overhead; a short one where it does not, or
+    where attention costs more. The longer one on a tie.
+    """
+    best, price = 0, float("inf")
+    for length in lengths:
+        if length >= size:
+            words = size + _filling(length - size, counts, present)
+            final = next(c for c in lengths if c >= words)
+            cost = sequence_cost(final) / words
+            if cost <= price:
+                best, price = length, cost
+    return best
 
 
 def best_fit(
@@ -29,16 +73,20 @@ def best_fit(
     """Pack sizes, given in falling order, none above the longest length.
 
     Each goes to the open bin that it leaves fullest. Where none has room, the
-    length is opened that costs least per word it can be filled with. In the
-    end each bin shrinks to the shortest length that holds its contents.
-    Returns the bin and the offset of each size, and each bin's length.
+    length of ``cheapest_length`` is opened. In the end each bin shrinks to the
+    shortest length that holds its contents. Returns the bin and the offset of
+    each size, and each bin's length.
     """
     lengths = sorted(lengths)
     bin_of, offset, room, used = [], [], [], []
     open_bins: dict[int, list[int]] = {}
     rooms = 0  # bit i is set if some bin has room for i
-    rest = list(accumulate(reversed(sizes)))[::-1]
-    for i, size in enumerate(sizes):
+    counts = Counter(sizes)
+    present = sum(1 << size for size in counts)
+    for size in sizes:
+        counts[size] -= 1
+        if not counts[size]:
+            present ^= 1 << size
         fits = rooms >> size
         if fits:
             left = size + (fits & -fits).bit_length() - 1
@@ -46,12 +94,9 @@ def best_fit(
             if not open_bins[left]:
                 rooms ^= 1 << left
         else:
-            length = min(
-                (c for c in lengths if c >= size),
-                key=lambda c: (sequence_cost(c) / min(c, rest[i]), -c),
-            )
-            chosen, left = len(room), length
-            room.append(length)
+            left = cheapest_length(size, lengths, counts, present)
+            chosen = len(room)
+            room.append(left)
             used.append(0)
         bin_of.append(chosen)
         offset.append(used[chosen])
