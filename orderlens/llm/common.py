@@ -41,6 +41,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns beside it can have any name.
+
+    ``select("row.*")`` gives the columns back.
+    """
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def row_order(df: DataFrame) -> Column:
+    """A hash of all columns that Spark can hash, to choose one of several rows alike."""
+    hashed = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*hashed)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -86,11 +100,17 @@ SLICE_BYTES = 4 << 20
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], *texts: int, size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that column ``text`` has about ``size`` bytes, one row at least."""
+    """Cut batches so that the text columns together have about ``size`` bytes,
+    one row at least."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        lengths = sum(
+            pc.fill_null(pc.binary_length(batch.column(text)), 0)
+            .cast(pa.int64())
+            .to_numpy(zero_copy_only=False)
+            for text in texts
+        )
         starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         for i, j in blocks(starts, size):
             yield batch.slice(i, j - i)

@@ -6,11 +6,18 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm import extendible
-from orderlens.llm.common import BLANKS, CODE_BITS, written
+from orderlens.llm.common import (
+    BLANKS,
+    CODE_BITS,
+    row_order,
+    text_or_empty,
+    whole_row,
+    written,
+)
 
 #: Bytes of text in one bucket of the index.
 BUCKET_BYTES = 32 << 20
@@ -184,23 +191,31 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    Of rows that also agree in id and length the one of the smallest hash of all
+    columns stays. A text is moved once; rows meet the index by text, length and
+    id, so copies of one text are spread and meet no more than their id does.
+    An empty table gives no rows.
+    """
     _, index = text_index(docs, bucket_bytes)
-    best = index.select(F.col("sha").alias("_sha"), F.col("n_chars").alias("_most"), "best_id")
-    normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
-    one = Window.partitionBy("_sha").orderBy("_text")
+    keys = ["sha", "chars", "id"]
+
+    def id_key(name: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null")).alias("id")
+
+    best = index.select("sha", F.col("n_chars").alias("chars"), id_key("best_id"))
+    normal = F.regexp_replace(text_or_empty(), r"[\x20\x09-\x0D]+", "")
+    rows = docs.select(
+        whole_row(docs),
+        F.sha2(normal.cast("binary"), 256).alias("sha"),
+        F.char_length(text_or_empty()).cast("bigint").alias("chars"),
+        id_key("doc_id"),
+        row_order(docs).alias("tie"),
+    )
     return (
-        docs.withColumns(
-            {
-                "_text": F.coalesce("text", F.lit("")),
-                "_sha": F.sha2(normal.cast("binary"), 256),
-            }
-        )
-        .join(best, "_sha")
-        .filter(
-            F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.char_length("_text") == F.col("_most"))
-        )
-        .withColumn("_row", F.row_number().over(one))
-        .filter("_row = 1")
-        .select(*docs.columns)
+        rows.join(best, keys)
+        .withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("tie")))
+        .filter("place = 1")
+        .select("row.*")
     )

@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from orderlens.llm.common import text_or_empty
 
@@ -196,12 +197,15 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     equal ids by the hash of the text; the last document takes from the first.
     Texts are moved once, by range of ids; terms, samples and comparisons stay
     in that partitioning. Null counts as an empty text; repeated rows count as
-    documents; a table of one document is its own next. An empty table gives
+    documents; a table of one document is its own next. Ids are
+    integers; others are refused, as they have another order. An empty table gives
     no rows; columns other than ``doc_id`` and ``text`` are not read.
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("doc_id must be an integer")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     rows = in_ranges(rows).withColumn("_tie", F.md5(F.col("text").cast("binary")))
     order = Window.partitionBy("part").orderBy(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,11 +26,13 @@ KEPT_GRAMS = 20_000
 SWITCH = 8.0
 #: A language must have written this share of its letters in a script.
 SCRIPT_SHARE = 0.001
-#: Letters of a word that count; the rest of a longer word is scored in turn.
+#: A longer word is cut into words of so many letters and marks, each scored.
 WORD_LETTERS = 24
+#: The same in scripts that put no blanks between words.
+RUN_LETTERS = 4
 
-#: Bytes of text labelled at a time.
-SLICE = 12 << 20
+#: Different words scored at a time.
+SCORED = 1 << 15
 
 # fixed values: first and last code point of each script's letters, from the
 # public Unicode charts
@@ -49,7 +52,22 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)],
 }
-_WORD = re.compile(r"[^\W\d_]+")
+# fixed values: scripts without blanks between words (Lao, Myanmar, Khmer, too)
+UNSPACED = [
+    *SCRIPTS["han"], *SCRIPTS["kana"], *SCRIPTS["thai"],
+    (0xE80, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF),
+]
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points, in order, as ranges of a character class."""
+    out, start = [], None
+    for here, after in zip(points, [*points[1:], None]):
+        start = here if start is None else start
+        if after != here + 1:
+            out.append(f"\\U{start:08x}-\\U{here:08x}")
+            start = None
+    return "".join(out)
 
 
 def grams(word: str) -> list[str]:
@@ -74,6 +92,43 @@ def points_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def patterns() -> tuple[re.Pattern, np.ndarray]:
+    """A letter (categories L) and the letters and marks (M) after it, cut as said
+    above; and for each code point whether ``_PLAIN`` may be wrong about it."""
+    letters, marks, numbers = [], [], []
+    for point in range(0x110000):
+        kind = unicodedata.category(chr(point))
+        if kind[0] in "LM":
+            (letters if kind[0] == "L" else marks).append(point)
+        elif kind in ("No", "Nl"):
+            numbers.append(point)
+    run = {p for low, high in UNSPACED for p in range(low, high + 1)}
+    spaced, unspaced = ([p for p in letters if (p in run) is u] for u in (False, True))
+    mark = _ranges(marks)
+    odd = np.zeros(0x110000, bool)
+    odd[[*marks, *numbers, *unspaced]] = True
+    return (
+        re.compile(
+            f"[{_ranges(spaced)}][{_ranges(spaced)}{mark}]{{0,{WORD_LETTERS - 1}}}"
+            f"|[{_ranges(unspaced)}][{_ranges(unspaced)}{mark}]{{0,{RUN_LETTERS - 1}}}"
+        ),
+        odd,
+    )
+
+
+_WORD, _ODD = patterns()
+#: The same words, found faster, where no word is long and no character odd.
+_PLAIN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    if text.isascii() or not _ODD[points_of(text)].any():
+        words = _PLAIN.findall(text)
+        if not words or max(map(len, words)) <= WORD_LETTERS:
+            return words
+    return _WORD.findall(text)
+
+
 def gram_key(gram: str) -> int:
     """Up to three code points of 21 bits each."""
     return sum(ord(c) << (21 * i) for i, c in enumerate(gram))
@@ -93,7 +148,7 @@ class Model:
     scripts: np.ndarray
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Mean log probability of each word's n-grams, times its letters; very
+        """Mean log probability of each word's n-grams, times its letters and marks; very
         low for languages not written in any script of the word."""
         if not words or not self.languages:
             return np.zeros((len(words), len(self.languages)))
@@ -114,7 +169,7 @@ class Model:
                 own[space[1:] - 1] = 0
             total += np.add.reduceat(own, begin, axis=0)[: len(words)]
         letters = sizes - 1
-        total *= (np.minimum(letters, WORD_LETTERS) / (3 * sizes - 1))[:, None]
+        total *= (letters / (3 * sizes - 1))[:, None]
         low = np.minimum(text, len(_SCRIPTS) - 1).astype(np.int64)
         used = _SCRIPTS[low]
         used[space] = 0
@@ -140,7 +195,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, kept_grams: int = KEP
     """
     labelled = docs.filter(
         ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    ).withColumn("_place", F.xxhash64("text"))
+    ).select("lang", "text", F.xxhash64("text").alias("_place"))
     # hashes below which a few more than sample_docs texts of a language lie (ten
     # deviations and 50), then the hash up to which its sample goes
     texts = written(labelled.select("lang", "_place").distinct(), "places")
@@ -168,7 +223,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, kept_grams: int = KEP
         words: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text.lower()))
         found: Counter = Counter()
         for lang, counted in words.items():
             for word, n in counted.items():
@@ -265,10 +320,14 @@ def label_words(texts: list[str | None], model: Model) -> tuple[list[list[str]],
     """The words of the texts, where each text's begin, and their languages."""
     known: defaultdict[str, int] = defaultdict()
     known.default_factory = known.__len__
-    words = [_WORD.findall(t or "") for t in texts]
-    ids = np.array(list(map(known.__getitem__, chain.from_iterable(words))), np.int64)
+    words = [words_of(t or "") for t in texts]
+    ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64)
+    known.default_factory = None  # else the words refer to themselves and stay in memory
+    different = list(known)
+    scores = [model.score(different[i : i + SCORED]) for i in range(0, len(different), SCORED)]
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    return words, starts, viterbi(model.score(list(known))[ids], starts)
+    scores = np.concatenate(scores or [model.score([])])
+    return words, starts, viterbi(scores[ids], starts)
 
 
 def letters_by_language(texts: list[str | None], model: Model) -> np.ndarray:
@@ -295,7 +354,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, SLICE):
+        for batch in slices(batches, 1):
             letters = letters_by_language(batch.column(1).to_pylist(), model)
             every = letters.sum(axis=1)
             best = letters.argmax(axis=1)
@@ -363,17 +422,22 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 def with_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents, whole, whose language is found and has at least ``least``
-    of the letters."""
+    of the letters.
+
+    Null texts and texts without a letter go. Where nothing is labelled no language
+    can be told from another, and every document with a letter stays. Repeated rows
+    stay or go alike; an empty table gives no rows.
+    """
     model = train(docs)
-    names = list(model.languages)
+    known = bool(model.languages)
 
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at, SLICE):
+        for batch in slices(batches, at):
             letters = letters_by_language(batch.column(at).to_pylist(), model)
             every = letters.sum(axis=1)
-            ok = (every > 0) & bool(names) & (letters.max(axis=1) >= least * every)
+            ok = (every > 0) & ((not known) | (letters.max(axis=1) >= least * every))
             yield batch.filter(pa.array(ok))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import CODE_BITS, code_of, word_count, written
+from orderlens.llm.common import CODE_BITS, code_of, whole_row, word_count, written
 
 STEP = 20
 
@@ -185,14 +185,16 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, whole."""
+    """The mix itself: each document as many times as it is taken, whole, with all
+    its columns. Rows that agree in id, source and text are taken alike; an empty
+    table gives no rows."""
     taken = mix(docs, split_edge=False, **options)
     copies = taken.filter("taken > 0").select(
-        "code", (F.col("taken") / F.col("size")).cast("int").alias("_times")
-    ).groupBy("code").agg(F.max("_times").alias("_times"))
+        "code", (F.col("taken") / F.col("size")).cast("int").alias("times")
+    ).groupBy("code").agg(F.max("times").alias("times"))
     return (
-        docs.withColumn("code", code_of("doc_id", "source", "text"))
+        docs.select(whole_row(docs), code_of("doc_id", "source", "text").alias("code"))
         .join(copies, "code")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*docs.columns)
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .select("row.*")
     )

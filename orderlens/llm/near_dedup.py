@@ -6,10 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import mixed, shingle_hashes, slices, word_hashes, written
+from orderlens.llm.common import (
+    mixed,
+    row_order,
+    shingle_hashes,
+    slices,
+    whole_row,
+    word_hashes,
+    written,
+)
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -221,7 +229,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
     """The pairs (a, b) whose texts are as similar as asked."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 3):
+        for part in slices(batches, 2, 3):
             a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
             different: dict[str, str] = {}
             different.update(zip(a, part.column(2).to_pylist()))
@@ -546,11 +554,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with all columns: the first copy of the text
-    with the smallest key."""
+    """One document of each class, with all columns.
+
+    The text with the smallest key stays, of its copies the one of the smallest
+    id (null last), then of the smallest hash of all columns, so reruns agree. Texts
+    without words are one class. An empty table gives no rows.
+    """
     _, labels = near_links(docs, similarity)
     others = labels.filter("key <> class").select("key")
-    kept = docs.withColumn("_key", _copy_key()).join(
-        others.withColumnRenamed("key", "_key"), "_key", "left_anti"
+    rows = docs.select(
+        whole_row(docs), _copy_key().alias("key"), F.col("doc_id").alias("id"), row_order(docs).alias("tie")
+    )
+    first = Window.partitionBy("key").orderBy(F.col("id").asc_nulls_last(), "tie")
+    return (
+        rows.join(others, "key", "left_anti")
+        .withColumn("place", F.row_number().over(first))
+        .filter("place = 1")
+        .select("row.*")
     )
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm import extendible
-from orderlens.llm.common import code_of, text_or_empty, written
+from orderlens.llm.common import code_of, text_or_empty, whole_row, written
 
 
 def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
@@ -42,21 +42,25 @@ def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Write whole rows, each shard in a folder of its own below ``path``."""
-    coded = docs.withColumns(
-        {
-            "code": code_of("doc_id", "text"),
-            "n_bytes": F.octet_length(text_or_empty()).cast("bigint"),
-        }
+def write_shards(docs: DataFrame, limit: int, path: str, folder: str = "shard") -> None:
+    """Write whole rows, each shard in a folder of its own below ``path``.
+
+    ``folder`` names the folders and must not be a column. An empty table writes
+    no shard.
+    """
+    if folder in docs.columns:
+        raise ValueError(f"the table has a column {folder}; name the folders otherwise")
+    coded = docs.select(
+        whole_row(docs),
+        code_of("doc_id", "text").alias("code"),
+        F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"),
     )
-    directory = extendible.build(coded, limit, size="n_bytes")
-    shard = F.concat_ws("-", F.col("depth"), F.col("prefix"))
+    directory = extendible.build(coded.select("code", "n_bytes"), limit, size="n_bytes")
+    shard = F.concat_ws("-", F.col("depth"), F.col("prefix")).alias(folder)
     (
         directory.find(coded)
-        .withColumn("shard", shard)
-        .drop("code", "n_bytes", "depth", "prefix")
-        .repartition("shard")
-        .write.partitionBy("shard")
+        .select("row.*", shard)
+        .repartition(folder)
+        .write.partitionBy(folder)
         .parquet(path)
     )

@@ -227,7 +227,7 @@ def _thinned(bodies: DataFrame, width: int) -> DataFrame:
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 19):
+        for batch in slices(batches, 2, size=1 << 19):
             rows = []
             for anchor, digest, body in zip(*(c.to_pylist() for c in batch.columns)):
                 for i in range(len(body) - width + 1):

@@ -1,6 +1,7 @@
 """The document operators against brute force on small tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.llm import (
     exact_dedup,
@@ -256,6 +258,107 @@ def test_language(spark):
     assert kept == set(out) - {200, 201}
 
 
+def test_letters_of_every_script(spark):
+    words_ = language.words_of
+    assert words_("½ ² Ⅳ 12 _ ?!") == []
+    assert words_("नमस्ते हिन्दी") == ["नमस्ते", "हिन्दी"]
+    assert words_("日本語テキスト漢字") == ["日本語テ", "キスト漢", "字"]
+    assert words_("b" * 60) == ["b" * 24, "b" * 24, "b" * 12]
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choices("abé ½²_ः日字x̂ก1.\n", k=rng.randint(0, 60))) + "q" * rng.choice([0, 0, 30])
+        assert words_(text) == language._WORD.findall(text)
+    rows = [(1, "½ ² ③", "xx"), (2, "अआइ " * 20, "hi"), (3, "the and " * 20, "en"), (4, "ा ि", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df.withColumn("doc_id", no_id()))
+    assert set(model.languages) == {"hi", "en"}
+    found = {r.row_doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    assert found == {1: "und", 2: "hi", 3: "en", 4: "und"}
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(8)
+    lengths = [0, 1, 5, 3, 0, 4]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    for _ in range(40):
+        scores = rng.normal(0, 3, (starts[-1], 3))
+        path = language.viterbi(scores, starts, 2.0)
+        for i, j in zip(starts, starts[1:]):
+            def worth(p):
+                return scores[np.arange(i, j), list(p)].sum() - 2.0 * sum(a != b for a, b in zip(p, p[1:]))
+
+            best = max((worth(p) for p in itertools.product(range(3), repeat=int(j - i))))
+            assert worth(tuple(path[i:j])) == pytest.approx(best)
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    rows = [(1, "some words", None), (2, "12", None), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in language.with_known_language(df).collect()] == [1]
+    assert {r.lang_pred for r in language.predict_languages(df).collect()} == {"und"}
+
+
+HELPERS = (
+    "row", "code", "times", "sha", "chars", "id", "tie", "place", "key", "best_id", "_most", "_sha", "_row",
+    "_text", "_times", "_copy", "_edge", "_place", "_low", "_n", "_rank", "n_bytes", "depth", "prefix", "_code",
+    "_size", "n_chars_", "class", "_key",
+)
+
+
+def test_helper_names_as_columns(spark, tmp_path):
+    """Whole rows come back with their own values, whatever their columns are called."""
+    rng = random.Random(4)
+    base = [words(rng, 60) for _ in range(12)]
+    rows = [(i, base[i % 12], "en" if i % 2 else "fr", f"s{i % 2}", i) for i in range(30)]
+    rows += [(30, base[0].replace(" ", "  "), "en", "s0", 30), (None, base[1], "en", None, 31)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars_", F.col("n_chars"))
+    df = df.withColumns({c: F.concat(F.lit(c), F.col("n_chars")) for c in HELPERS if c != "n_chars_"})
+    for operator in (
+        mixing.mixed_documents, exact_dedup.without_copies, language.with_known_language, near_dedup.one_of_each
+    ):
+        out = operator(df)
+        assert out.columns == df.columns, operator.__name__
+        got = out.collect()
+        assert got
+        for r in got:
+            assert rows[r.n_chars][:2] == (r.doc_id, r.text)
+            assert all(r[c] == f"{c}{r.n_chars}" for c in HELPERS if c != "n_chars_")
+        again = operator(df.repartition(5)).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, again)), operator.__name__
+    kept = exact_dedup.without_copies(df).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(1, 12), 30]  # the longest of its copies, then the smallest id
+    once = near_dedup.one_of_each(df).collect()
+    assert sorted(r.doc_id for r in once) == list(range(12))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(df, 3_000, path)
+    back = spark.read.parquet(path)
+    assert set(back.columns) == {*df.columns, "shard"}
+    assert Counter(map(tuple, back.select(*df.columns).collect())) == Counter(map(tuple, df.collect()))
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) <= 3_000
+    with pytest.raises(ValueError):
+        sharding.write_shards(back, 3_000, path + "2")
+    with pytest.raises(ValueError):
+        fingerprints.fingerprint_edits(df.withColumn("doc_id", F.lit("a")))
+
+
+def test_two_long_texts_in_one_batch_of_pairs(spark):
+    """Pairs are cut by both of their texts."""
+    import pyarrow as pa
+
+    from orderlens.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["x" * 90, "y", None, "z"]), pa.array(["a", "b" * 90, "c", "d" * 20])], ["a", "b"]
+    )
+    assert [p.num_rows for p in slices([batch], 0, 1, size=100)] == [1, 2, 1]
+    rng = random.Random(9)
+    long = words(rng, 200_000)
+    rows = [(i, long + f" end{i}", "en", "s", 0) for i in range(4)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.class_id for r in out} == {0}
+
+
 def test_copies_do_not_crowd_a_language_out(spark):
     rows = [(i, f"{chr(97 + i % 8)}word " * 3, f"l{i % 8}") for i in range(400)]
     rows += [(1000 + i, f"zz{'klmnopqrst'[i]} only", "l0") for i in range(10)]
@@ -318,6 +421,68 @@ def test_packing(docs):
     assert Counter(map(tuple, packing.pack(docs, lengths, 20).collect())) == Counter(map(tuple, out))
 
 
+def total_cost(lengths):
+    return sum(packing.sequence_cost(c) for c in lengths)
+
+
+def cheapest_packing(sizes, lengths):
+    """The least total cost over every way to share the sizes among sequences."""
+    def ways(rest):
+        if not rest:
+            yield []
+            return
+        head, *tail = rest
+        for k in range(len(tail) + 1):
+            for others in itertools.combinations(range(len(tail)), k):
+                words_ = head + sum(tail[i] for i in others)
+                if words_ <= max(lengths):
+                    for more in ways([tail[i] for i in range(len(tail)) if i not in others]):
+                        yield [min(c for c in lengths if c >= words_), *more]
+
+    return min(total_cost(w) for w in ways(list(sizes)))
+
+
+def test_lengths_are_chosen_jointly():
+    lengths = (512, 1024, 2048, 4096)
+    # a piece of 300 words alone takes the smallest, with enough others a longer one
+    assert packing.best_fit([300], lengths)[2] == [512]
+    bins, _, final = packing.best_fit([300] * 40, lengths)
+    assert max(final) > 512 and max(Counter(bins).values()) > 1
+    # attention over the longest costs more than the overhead it shares
+    bins, _, final = packing.best_fit([1000] * 2 + [20] * 2, lengths)
+    assert final == [2048] and set(bins) == {0}
+    rng = random.Random(6)
+    for _ in range(20):
+        sizes = sorted((rng.randint(1, 4096) for _ in range(400)), reverse=True)
+        bins, offsets, final = packing.best_fit(sizes, lengths)
+        used = Counter()
+        for b, o, s in zip(bins, offsets, sizes):
+            assert o == used[b]
+            used[b] += s
+        assert all(used[b] <= c for b, c in enumerate(final))
+        assert all(c == min(x for x in lengths if x >= used[b]) for b, c in enumerate(final))
+        # no worse than only the longest length
+        assert total_cost(final) <= total_cost(packing.best_fit(sizes, (4096,))[2])
+    ratios = []
+    for _ in range(60):
+        sizes = sorted((rng.choice([rng.randint(1, 600), rng.randint(1, 4096)]) for _ in range(7)), reverse=True)
+        ratios.append(total_cost(packing.best_fit(sizes, lengths)[2]) / cheapest_packing(sizes, lengths))
+    assert min(ratios) >= 1 - 1e-12 and max(ratios) < 1.2 and sum(ratios) / len(ratios) < 1.04
+
+
+def test_a_task_packs_as_best_fit_does(docs):
+    """The table against a plain call on the pieces of each task."""
+    lengths = (16, 64, 256)
+    out = packing.pack(docs, lengths, pack_rows=20).filter("bin is not null").collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.bin.split("-")[0]].append(r)
+    for own in by.values():
+        sizes = sorted((r.n_words for r in own), reverse=True)
+        _, _, final = packing.best_fit(sizes, lengths)
+        assert Counter(final) == Counter({r.bin: r.bin_length for r in own}.values())
+
+
 def test_sharding(docs):
     limit = 600
     out = sharding.assign_shards(docs, limit).collect()
