@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens import adapter
+from orderlens.catalog.prelude import LEDGER
 from orderlens.catalog.registry import query
+from orderlens.catalog.stock import opening_stock
 from orderlens.functions.clock import add_seconds, epoch_micros
 from orderlens.operators import history, scoring
 from orderlens.plans.storage import fresh_path
 from orderlens.streaming import events, run
 from orderlens.streaming.expiry import stream_expiry
 from orderlens.streaming.history import history_events, stream_history
+from orderlens.streaming.ledger import stream_ledger
 
 
 class _Streamed:
@@ -112,36 +115,41 @@ def stream_expiry_query(spark, sf_dir):
 
 @query(
     "stream_ledger",
-    """WITH m AS (SELECT 'WH-' || lpad(CAST(1 + seq % 12 AS VARCHAR), 2, '0') AS warehouse_id, sku, quantity AS q, kind
+    f"""WITH RECURSIVE m AS (SELECT 'WH-' || lpad(CAST(1 + seq % 12 AS VARCHAR), 2, '0') AS warehouse_id, sku,
+             quantity AS q, kind, (seq * 7919) % 43200 + 300 * c AS t, seq * 3 + c AS seq
            FROM rl, range(0, 3) r(c), LATERAL (SELECT CASE c WHEN 0 THEN 'reserve'
              WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'commit' WHEN seq % 3 = 0 THEN 'release' END
-             ELSE CASE WHEN seq % 61 = 0 THEN 'release' END END AS kind) k WHERE kind IS NOT NULL)
-       SELECT warehouse_id, sku, CAST(sum(CASE WHEN kind = 'commit' THEN -q ELSE 0 END) AS BIGINT) AS d_on_hand,
-         CAST(sum(CASE WHEN kind = 'reserve' THEN q ELSE -q END) AS BIGINT) AS d_reserved,
-         CAST(sum(CASE kind WHEN 'reserve' THEN -q WHEN 'release' THEN q ELSE 0 END) AS BIGINT) AS d_available,
-         count(*) AS movements FROM m GROUP BY warehouse_id, sku""",
+             ELSE CASE WHEN seq % 61 = 0 THEN 'release' END END AS kind) k WHERE kind IS NOT NULL), {LEDGER}
+       SELECT warehouse_id, sku, coalesce(arg_max(h, n), 0) AS on_hand, coalesce(arg_max(r, n), 0) AS reserved,
+         coalesce(arg_max(a, n), 0) AS available, max(v) AS version, max(x) AS refused
+       FROM led GROUP BY warehouse_id, sku""",
 )
-def stream_ledger(spark, sf_dir):
-    """Movements of the raw lines, each changed cell written per batch."""
+def stream_ledger_query(spark, sf_dir):
+    """Movements of the raw lines; each changed cell is written per batch."""
     lines = adapter.raw_lines(_Streamed(spark, "lineitem"), sf_dir)
-    seq = F.col("seq")
+    seq, copy = F.col("seq"), F.col("copy")
     kinds = F.array(
         F.lit("reserve"),
         F.when(seq % 2 == 0, "commit").when(seq % 3 == 0, "release"),
         F.when(seq % 61 == 0, "release"),
     )
     moves = (
-        lines.select("seq", "sku", "quantity", F.explode(kinds).alias("kind"))
+        lines.select("seq", "sku", "quantity", F.posexplode(kinds).alias("copy", "kind"))
         .filter(F.col("kind").isNotNull())
-        .withColumn("warehouse_id", adapter.warehouse_name(1 + seq % 12))
+        .select(
+            adapter.warehouse_name(1 + seq % 12).alias("warehouse_id"),
+            "sku",
+            "kind",
+            "quantity",
+            ((seq * 7919) % 43200 + 300 * copy).alias("t"),
+            (seq * 3 + copy).alias("seq"),
+        )
     )
     path = fresh_path(spark, "stream-ledger")
     run.catch_up_batches(
-        events.ledger_changes(moves),
+        stream_ledger(moves, opening_stock(spark)),
         run.batch_writer(path),
         fresh_path(spark, "stream-ledger-checkpoint"),
         mode="update",
     )
     return run.latest_rows(path, spark, ["warehouse_id", "sku"])
-
-

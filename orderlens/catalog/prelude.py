@@ -205,6 +205,23 @@ CTES: dict[str, str] = {
       GROUP BY o.seq, o.order_id, b.warehouse_id""",
 }
 
+#: The guarded ledger of movements ``m`` (``warehouse_id, sku, kind, q, t, seq``), one
+#: movement of every cell a step; ``led`` has a row per movement and one before all.
+LEDGER = """mo AS (SELECT m.*, s.available AS a0,
+           row_number() OVER (PARTITION BY m.warehouse_id, m.sku ORDER BY t, seq, kind, q) AS n
+         FROM m LEFT JOIN stk s ON s.warehouse_id = m.warehouse_id AND s.sku = m.sku),
+       led AS (
+         SELECT DISTINCT warehouse_id, sku, 0::BIGINT AS n, a0::BIGINT AS h, 0::BIGINT AS r, a0::BIGINT AS a,
+           0::BIGINT AS v, 0::BIGINT AS x, true AS ok FROM mo
+         UNION ALL
+         SELECT warehouse_id, sku, n, CASE WHEN ok AND kind = 'commit' THEN h - q ELSE h END,
+           CASE WHEN NOT ok THEN r WHEN kind = 'reserve' THEN r + q ELSE r - q END,
+           CASE WHEN NOT ok OR kind = 'commit' THEN a WHEN kind = 'reserve' THEN a - q ELSE a + q END,
+           CASE WHEN ok THEN v + 1 ELSE v END, CASE WHEN ok THEN x ELSE x + 1 END, ok
+         FROM (SELECT led.warehouse_id, led.sku, mo.n, h, r, a, v, x, kind, q,
+                 coalesce(CASE WHEN kind = 'reserve' THEN a >= q ELSE a0 IS NOT NULL AND r >= q END, false) AS ok
+               FROM led JOIN mo ON mo.warehouse_id = led.warehouse_id AND mo.sku = led.sku AND mo.n = led.n + 1))"""
+
 
 def oracle(statement: str) -> str:
     """A statement with the table expressions above in front of it."""

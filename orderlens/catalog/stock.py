@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from orderlens import adapter
 from orderlens.catalog import risk
 from orderlens.catalog.intake import order_status
+from orderlens.catalog.prelude import LEDGER
 from orderlens.catalog.registry import query
 from orderlens.functions.clock import ntz
-from orderlens.operators import allocation, flow, inventory, orders, scoring
+from orderlens.operators import allocation, flow, inventory, ledger, orders, scoring
 from orderlens.plans.storage import pinned
 from orderlens.sources import log
 
@@ -133,47 +134,45 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "ledger_replay",
-    """WITH m AS (SELECT 'WH-' || lpad(CAST(1 + seq % 12 AS VARCHAR), 2, '0') AS warehouse_id, sku, kind,
+_MOVES = """m AS (SELECT 'WH-' || lpad(CAST(1 + seq % 12 AS VARCHAR), 2, '0') AS warehouse_id, sku, kind,
              quantity AS q, t + 300 * c AS t, seq * 3 + c AS seq
            FROM ln, range(0, 3) r(c), LATERAL (SELECT CASE c WHEN 0 THEN 'reserve'
              WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'commit' WHEN seq % 3 = 0 THEN 'release' END
-             ELSE CASE WHEN seq % 61 = 0 THEN 'release' END END AS kind) k WHERE kind IS NOT NULL),
-       d AS (SELECT *, CASE WHEN kind = 'commit' THEN -q ELSE 0 END AS dh,
-               CASE WHEN kind = 'reserve' THEN q ELSE -q END AS dr,
-               CASE kind WHEN 'reserve' THEN -q WHEN 'release' THEN q ELSE 0 END AS da FROM m),
-       w AS (SELECT d.*, sum(dr) OVER o AS r, available + sum(da) OVER o AS a
-             FROM d JOIN stk USING (warehouse_id, sku)
-             WINDOW o AS (PARTITION BY warehouse_id, sku ORDER BY t, seq)),
-       g AS (SELECT warehouse_id, sku, sum(dh) AS dh, sum(dr) AS dr, sum(da) AS da, count(*) AS n,
-               count(*) FILTER (r < 0 OR a < 0) AS b FROM w GROUP BY 1, 2)
-       SELECT warehouse_id, sku, CAST(available + coalesce(dh, 0) AS BIGINT) AS on_hand,
-         CAST(coalesce(dr, 0) AS BIGINT) AS reserved, CAST(available + coalesce(da, 0) AS BIGINT) AS available,
-         coalesce(n, 0) AS version, coalesce(b, 0) AS breaches
-       FROM stk LEFT JOIN g USING (warehouse_id, sku)""",
-)
-def ledger_replay(spark, sf_dir):
-    """Cells with a stock row; ``ledger_refusals`` has the movements of the rest."""
+             ELSE CASE WHEN seq % 61 = 0 THEN 'release' END END AS kind) k WHERE kind IS NOT NULL)"""
+
+
+def opening_stock(spark: SparkSession) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    cells = adapter.stock(spark).withColumns(
+    return adapter.stock(spark).withColumns(
         {"on_hand": F.col("available"), "reserved": zero, "version": zero}
     )
-    return inventory.replay_ledger(cells, movements(spark, sf_dir))
+
+
+@query(
+    "ledger_replay",
+    f"""WITH RECURSIVE {_MOVES}, {LEDGER},
+       g AS (SELECT warehouse_id, sku, arg_max(h, n) AS h, arg_max(r, n) AS r, arg_max(a, n) AS a,
+               max(v) AS v, max(x) AS x FROM led GROUP BY warehouse_id, sku)
+       SELECT warehouse_id, sku, CAST(coalesce(h, available) AS BIGINT) AS on_hand,
+         coalesce(r, 0) AS reserved, CAST(coalesce(a, available) AS BIGINT) AS available,
+         coalesce(v, 0) AS version, coalesce(x, 0) AS refused
+       FROM stk LEFT JOIN g USING (warehouse_id, sku)""",
+)
+def ledger_replay(spark, sf_dir):
+    """Stock cells after the movements that their guards let through."""
+    return ledger.replay_ledger(opening_stock(spark), movements(spark, sf_dir))
 
 
 @query(
     "ledger_refusals",
-    """SELECT m.warehouse_id, m.sku, m.kind, m.quantity, m.t, m.seq
-       FROM (SELECT 'WH-' || lpad(CAST(1 + seq % 12 AS VARCHAR), 2, '0') AS warehouse_id, sku, kind, quantity,
-               t + 300 * c AS t, seq * 3 + c AS seq
-             FROM ln, range(0, 3) r(c), LATERAL (SELECT CASE c WHEN 0 THEN 'reserve'
-               WHEN 1 THEN CASE WHEN seq % 2 = 0 THEN 'commit' WHEN seq % 3 = 0 THEN 'release' END
-               ELSE CASE WHEN seq % 61 = 0 THEN 'release' END END AS kind) k WHERE kind IS NOT NULL) m
-       WHERE NOT EXISTS (SELECT 1 FROM stk s WHERE s.warehouse_id = m.warehouse_id AND s.sku = m.sku)""",
+    f"""WITH RECURSIVE {_MOVES}, {LEDGER}
+       SELECT mo.warehouse_id, mo.sku, mo.kind, mo.q AS quantity, mo.t, mo.seq
+       FROM mo JOIN led ON mo.warehouse_id = led.warehouse_id AND mo.sku = led.sku AND mo.n = led.n
+       WHERE NOT led.ok""",
 )
 def ledger_refusals(spark, sf_dir):
-    return inventory.refused_movements(adapter.stock(spark), movements(spark, sf_dir)).select(
+    """Movements that changed nothing: not covered, or of a cell without stock."""
+    return ledger.refused_movements(opening_stock(spark), movements(spark, sf_dir)).select(
         "warehouse_id", "sku", "kind", "quantity", "t", "seq"
     )
 

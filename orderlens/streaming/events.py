@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.clock import as_instant
 from orderlens.operators import allocation
-from orderlens.operators.inventory import ledger_effects
 
 
 def with_event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -34,18 +33,6 @@ def windowed_counts(stream: DataFrame, window: str, labels: list[str]) -> DataFr
     )
 
 
-def ledger_changes(movements: DataFrame) -> DataFrame:
-    """Running change of every stock cell, as Spark's own aggregation state."""
-    return (
-        ledger_effects(movements)
-        .groupBy("warehouse_id", "sku")
-        .agg(
-            *[F.sum(f"d_{n}").alias(f"d_{n}") for n in ("on_hand", "reserved", "available")],
-            F.count(F.lit(1)).alias("movements"),
-        )
-    )
-
-
 def allocation_writer(opening_stock: DataFrame, path: str):
     """Allocate each micro-batch against the stock the one before it left.
 

@@ -78,3 +78,26 @@ def allocate(stock, orders, live_picks=False):
                 left[(w, s)] -= q
         out[order_id] = (w, ok)
     return out, left
+
+
+def ledger(stock, moves):
+    """stock rows and (warehouse, sku, kind, quantity, t, seq). Returns cells and applied seqs."""
+    cells = {(w, s): [h, r, a, v] for w, s, h, r, a, v in stock}
+    applied = set()
+    for w, s, kind, q, _, seq in sorted(moves, key=lambda m: (m[4], m[5])):
+        own = cells.get((w, s))
+        if own is None or q is None or q < 1:
+            continue
+        at, taken = (2, own[2]) if kind == "reserve" else (1, own[1])
+        if kind not in ("reserve", "release", "commit") or taken < q:
+            continue
+        own[at] -= q
+        if kind == "reserve":
+            own[1] += q
+        elif kind == "release":
+            own[2] += q
+        else:
+            own[0] -= q
+        own[3] += 1
+        applied.add(seq)
+    return {k: tuple(v) for k, v in cells.items()}, applied

@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators import allocation, inventory
+from orderlens.operators import allocation, inventory, ledger
 from orderlens.sources import tables
 from tests import models
 
@@ -108,38 +109,67 @@ def test_all_or_nothing_and_most_headroom(spark):
     assert out["O-3"].reason == "no warehouse holds these items"
 
 
-@pytest.mark.parametrize("hot_rows", [3, 1000])
+CELLS = "warehouse_id string, sku string, on_hand long, reserved long, available long, version long"
+MOVES = "warehouse_id string, sku string, kind string, quantity int, t long, seq long"
+
+
+@pytest.mark.parametrize("hot_rows", [8, 1000])
 def test_ledger_cycles(spark, hot_rows):
-    stock = spark.createDataFrame(
-        [("W", "S", 10, 0, 10, 0), ("W", "T", 1, 0, 1, 0)],
-        "warehouse_id string, sku string, on_hand long, reserved long, available long, version long",
-    )
+    stock = spark.createDataFrame([("W", "S", 10, 0, 10, 0), ("W", "T", 1, 0, 1, 0)], CELLS)
     moves = []
     for i in range(5):
         moves += [("W", "S", "reserve", 2, 10 * i, 2 * i), ("W", "S", "commit", 2, 10 * i + 1, 2 * i + 1)]
     moves.append(("W", "T", "release", 1, 0, 99))
-    df = spark.createDataFrame(
-        moves, "warehouse_id string, sku string, kind string, quantity int, t long, seq long"
-    )
-    got = {r.sku: r for r in inventory.replay_ledger(stock, df, hot_rows).collect()}
+    df = spark.createDataFrame(moves, MOVES)
+    got = {r.sku: r for r in ledger.replay_ledger(stock, df, hot_rows).collect()}
     assert (got["S"].on_hand, got["S"].reserved, got["S"].available, got["S"].version) == (0, 0, 0, 10)
-    assert (got["S"].breaches, got["T"].breaches) == (0, 1)
+    assert (got["S"].refused, got["T"].refused) == (0, 1)
+    assert (got["T"].reserved, got["T"].available) == (0, 1)
+
+
+def some_movements(seed, n=600):
+    """Mostly of one cell; some of cells without stock, some that no guard can let through."""
+    rng = random.Random(seed)
+    cells = [("W", "S")] * 8 + [("W", "T"), ("V", "S"), ("V", "gone"), (None, "S"), ("W", None)]
+    rows = []
+    for i in range(n):
+        kind = rng.choice(["reserve", "reserve", "commit", "release", "release", "lost"])
+        quantity = rng.choice([1, 1, 2, 3, 5, 8, 0, -1, None] if i % 9 == 0 else [1, 2, 3, 5, 8])
+        rows.append((*rng.choice(cells), kind, quantity, rng.randint(0, n // 3), i))
+    return rows
+
+
+OPENING = [("W", "S", 60, 7, 53, 4), ("W", "T", 3, 0, 3, 0), ("V", "S", 20, 20, 0, 1), ("X", "S", 5, 0, 5, 0)]
+
+
+@pytest.mark.parametrize("hot_rows", [200, 100_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_guards_against_a_sequential_ledger(spark, seed, hot_rows):
+    rows = some_movements(seed)
+    stock = spark.createDataFrame(OPENING, CELLS)
+    df = spark.createDataFrame(rows, MOVES).withColumn("note", F.concat(F.lit("n"), "seq")).repartition(3)
+    cells, applied = models.ledger(OPENING, rows)
+    moves = ledger.guarded_moves(stock, df, hot_rows)
+    assert moves.columns == [*df.columns, "applied"]
+    got = moves.collect()
+    assert len(got) == len(rows) and all(r.note == f"n{r.seq}" for r in got)
+    assert {r.seq for r in got if r.applied} == applied
+    refused = Counter((r[0], r[1]) for r in rows if r[5] not in applied)
+    out = {(r[0], r[1]): tuple(r)[2:] for r in ledger.replay_ledger(stock, df, hot_rows).collect()}
+    assert out == {cell: (*state, refused[cell]) for cell, state in cells.items()}
 
 
 def test_movements_without_a_stock_row_are_refused(spark):
-    stock = spark.createDataFrame(
-        [("W", "S", 10, 0, 10, 0)],
-        "warehouse_id string, sku string, on_hand long, reserved long, available long, version long",
-    )
+    stock = spark.createDataFrame([("W", "S", 10, 0, 10, 0)], CELLS)
     moves = [("W", "S", "reserve", 2, 1, 1), ("W", "gone", "reserve", 1, 2, 2),
              ("V", "S", "commit", 3, 3, 3), ("W", None, "release", 1, 4, 4)]
-    df = spark.createDataFrame(
-        moves, "warehouse_id string, sku string, kind string, quantity int, t long, seq long"
-    )
-    refused = inventory.refused_movements(stock, df)
+    df = spark.createDataFrame(moves, MOVES)
+    refused = ledger.refused_movements(stock, df)
     assert sorted(r.seq for r in refused.collect()) == [2, 3, 4]
-    applied = inventory.replay_ledger(stock, df).agg({"version": "sum"}).first()[0]
+    applied = ledger.replay_ledger(stock, df).agg({"version": "sum"}).first()[0]
     assert applied + refused.count() == len(moves)
+    nothing = spark.createDataFrame([], MOVES)
+    assert [tuple(r) for r in ledger.replay_ledger(stock, nothing).collect()] == [("W", "S", 10, 0, 10, 0, 0)]
 
 
 def test_first_transition_settles_a_hold(spark):
