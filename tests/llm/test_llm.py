@@ -469,7 +469,7 @@ def test_lengths_are_chosen_jointly():
     for _ in range(60):
         sizes = sorted((rng.choice([rng.randint(1, 600), rng.randint(1, 4096)]) for _ in range(7)), reverse=True)
         ratios.append(total_cost(packing.best_fit(sizes, lengths)[2]) / cheapest_packing(sizes, lengths))
-    assert min(ratios) >= 1 - 1e-12 and max(ratios) < 1.2 and sum(ratios) / len(ratios) < 1.04
+    assert min(ratios) >= 1 - 1e-12 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.03, (min(ratios), max(ratios), sum(ratios) / len(ratios))
 
 
 def test_a_task_packs_as_best_fit_does(docs):
