@@ -272,7 +272,7 @@ def latency_bucket_percentiles(spark, sf_dir):
 )
 def latency_percentiles(spark, sf_dir):
     return metrics.nearest_rank(
-        adapter.requests(spark, sf_dir), "latency_ms", "seq", _FRACTIONS, ["outcome"]
+        adapter.requests(spark, sf_dir), "latency_ms", _FRACTIONS, ["outcome"]
     ).withColumn("mean", F.round("mean", 6))
 
 

@@ -43,6 +43,29 @@ def reserve_orders_snapshot(spark, sf_dir):
     ).select("order_id", "warehouse_id", "reserved", "reason")
 
 
+@query(
+    "order_shortfalls",
+    """SELECT a.order_id, a.warehouse_id, l.sku, l.quantity, a.reason
+       FROM alloc a JOIN ln l USING (order_id)
+       LEFT JOIN stk s ON s.warehouse_id = a.warehouse_id AND s.sku = l.sku
+       WHERE a.reason IS NOT NULL AND coalesce(s.available, -1) < l.quantity""",
+)
+def order_shortfalls(spark, sf_dir):
+    """The lines of refused orders that fell short, as their events list them."""
+    lines = adapter.lines(spark, sf_dir)
+    outcomes = inventory.reserve_from_snapshot(lines, adapter.stock(spark))
+    none = adapter.reservations(spark, sf_dir).select(
+        "reservation_id", "order_id", "warehouse_id", F.lit("held").alias("state"), "expires_at"
+    ).limit(0)
+    made = inventory.inventory_events(none, outcomes, lines)
+    told = log.decode_payload(made, "inventory.shortfall").select(
+        "body.order_id", "body.warehouse_id", "body.reason", F.inline("body.requested")
+    )
+    return told.select(
+        "order_id", F.nullif("warehouse_id", F.lit("none")).alias("warehouse_id"), "sku", "quantity", "reason"
+    )
+
+
 @query(
     "reserve_fold",
     """WITH RECURSIVE r AS (

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens import schemas
 from orderlens.functions.clock import add_seconds
+from orderlens.operators.ledger import guarded_moves
 from orderlens.plans.running import HOT_ROWS, first_per_key, row_numbers
 from orderlens.plans.single import one_row
 
@@ -61,7 +61,9 @@ def pick_warehouse(lines: DataFrame, stock: DataFrame) -> DataFrame:
 def reserve_from_snapshot(lines: DataFrame, stock: DataFrame) -> DataFrame:
     """Each order against the given stock, as if it were the only one.
 
-    One row per order: ``warehouse_id, reserved, reason, short_lines``.
+    One row per order: ``warehouse_id, reserved, reason, short_lines`` and
+    ``shortfalls``, the lines that the warehouse does not cover; all lines where
+    there is no warehouse.
     """
     placed = place_lines(lines, stock).join(
         stock.select("warehouse_id", "sku", "available"), ["warehouse_id", "sku"], "left"
@@ -69,7 +71,11 @@ def reserve_from_snapshot(lines: DataFrame, stock: DataFrame) -> DataFrame:
     short = F.coalesce(F.col("available"), F.lit(-1)) < F.col("quantity")
     return (
         placed.groupBy("order_id", "warehouse_id")
-        .agg(F.sum(short.cast("bigint")).alias("short_lines"))
+        .agg(
+            F.sum(short.cast("bigint")).alias("short_lines"),
+            # at most a line per SKU
+            F.array_sort(F.collect_list(F.when(short, F.struct("sku", "quantity")))).alias("shortfalls"),
+        )
         .withColumn("reserved", F.col("warehouse_id").isNotNull() & (F.col("short_lines") == 0))
         .withColumn(
             "reason",
@@ -99,53 +105,25 @@ def refusal_attribution(lines: DataFrame, outcomes: DataFrame, stock: DataFrame)
     return own.unionByName(spread)
 
 
-_ADMISSION = "warehouse_id string, sku string, seq long, quantity int, admitted boolean"
-
-
-def _admit_in_turn(requests: pd.DataFrame) -> pd.DataFrame:
-    """Grant each request of one stock cell in turn while units last."""
-    requests = requests.sort_values(["t", "seq"], kind="stable")
-    left = int(requests["available"].iloc[0])
-    granted = []
-    for quantity in requests["quantity"].tolist():
-        ok = left >= quantity
-        left -= quantity if ok else 0
-        granted.append(ok)
-    return requests.assign(admitted=granted)[
-        ["warehouse_id", "sku", "seq", "quantity", "admitted"]
-    ]
-
-
 def reserve_in_order(
     requests: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Admit single-SKU requests in arrival order while stock covers them.
 
-    Stock only falls, so once a quantity is refused it stays refused: the
-    admitted requests of one quantity are a prefix of them, of at most
-    ``available / quantity`` rows. All later ones are refused without being
-    looked at, and what one task sees depends on the stock of one cell, not on
-    how many requests it attracts. ``requests``: ``warehouse_id, sku, seq,
-    quantity, t``.
+    The ledger with reserves only: a refused request takes nothing. A cell is
+    walked with one number in memory, and a hot one in slices side by side; as
+    stock only falls, later slices soon start alike. ``requests``:
+    ``warehouse_id, sku, seq, quantity, t``; a quantity below one is refused.
     """
-    cells = requests.join(
-        stock.select("warehouse_id", "sku", "available"), ["warehouse_id", "sku"], "left"
-    )
-    cells = cells.withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
-    # one quantity can be granted at most floor(available / quantity) times
-    ranked = row_numbers(cells, ["warehouse_id", "sku", "quantity"], "t", "seq", "_turn", hot_rows)
-    candidate = F.col("_turn") * F.col("quantity") <= F.col("available")
-    folded = ranked.filter(candidate).groupBy("warehouse_id", "sku").applyInPandas(
-        _admit_in_turn, _ADMISSION
-    )
-    refused = ranked.filter(~candidate).select(
+    cells = stock.select("warehouse_id", "sku", "available", F.lit(0).alias("reserved"))
+    asked = requests.select("warehouse_id", "sku", "seq", "quantity", "t", F.lit("reserve").alias("kind"))
+    return guarded_moves(cells, asked, hot_rows).select(
         "warehouse_id",
         "sku",
         F.col("seq").cast("bigint").alias("seq"),
         F.col("quantity").cast("int").alias("quantity"),
-        F.lit(False).alias("admitted"),
+        F.col("applied").alias("admitted"),
     )
-    return folded.unionByName(refused)
 
 
 def admit_units(requests: DataFrame, stock: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -253,16 +231,12 @@ def total_available(stock: DataFrame, sku: str) -> DataFrame:
     )
 
 
-def shortfall_lines(requested: Column, short: Column) -> Column:
-    """What a shortfall event lists: the lines that fell short, else all."""
-    return F.when(F.size(short) > 0, short).otherwise(requested)
-
-
 def inventory_events(settled: DataFrame, outcomes: DataFrame, lines: DataFrame) -> DataFrame:
     """The four kinds of inventory event as ``event_type, order_id, payload``.
 
     ``settled`` are holds with a final state and ``expires_at``; ``outcomes``
-    are refusals with a reason.
+    are orders with a ``reason`` where refused and their ``shortfalls``, which a
+    shortfall event lists.
     """
     per_order = lines.groupBy("order_id").agg(
         F.array_sort(F.collect_list(F.struct("sku", "quantity"))).alias("lines")
@@ -285,8 +259,7 @@ def inventory_events(settled: DataFrame, outcomes: DataFrame, lines: DataFrame)
         .otherwise(F.to_json(F.struct(*base)))
         .alias("payload"),
     )
-    empty = F.array().cast("array<struct<sku:string,quantity:int>>")
-    refused = outcomes.filter(F.col("reason").isNotNull()).join(per_order, "order_id", "left")
+    refused = outcomes.filter(F.col("reason").isNotNull())
     short = refused.select(
         F.lit("inventory.shortfall").alias("event_type"),
         "order_id",
@@ -294,7 +267,7 @@ def inventory_events(settled: DataFrame, outcomes: DataFrame, lines: DataFrame)
             F.struct(
                 "order_id",
                 F.coalesce("warehouse_id", F.lit("none")).alias("warehouse_id"),
-                shortfall_lines(F.col("lines"), empty).alias("requested"),
+                F.col("shortfalls").alias("requested"),
                 "reason",
             )
         ).alias("payload"),

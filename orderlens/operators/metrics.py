@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens import schemas
 from orderlens.functions.clock import MICROS, epoch_micros, epoch_seconds
-from orderlens.plans.running import HOT_ROWS, row_numbers
+from orderlens.plans.storage import pinned
 
 SCORE_BUCKETS = tuple(round(0.05 * i, 2) for i in range(1, 21))
 GUARD = 0.001
+#: Stretches that a level of ``nearest_rank`` cuts the values into, and how many
+#: values it looks up at the end.
+CUTS = 64
+KEPT_SAMPLES = 10_000
 
 
 def counters(events: DataFrame, labels: list[str]) -> DataFrame:
@@ -105,34 +111,96 @@ def interpolated_quantiles(
 def nearest_rank(
     samples: DataFrame,
     value: str,
-    tie: str,
     fractions: dict[str, float],
     labels: list[str],
-    hot_rows: int = HOT_ROWS,
+    kept: int = KEPT_SAMPLES,
 ) -> DataFrame:
-    """Exact percentiles by rank, half to even, per label.
+    """Exact percentiles by rank, half to even, per label; null values are no samples.
+
+    Nothing is sorted. Each level cuts the values that may still hold a rank at
+    quantiles of a sketch, counts the stretches between cuts and goes on inside
+    the one that holds the rank; cuts count apart, so a value of any number of
+    copies ends the search. What is left of ``kept`` values or fewer is looked up.
+    A level is two partial aggregations, whatever share of the samples a label has.
 
-    A label may hold any share of the samples: ranking slices it by value.
+    Returns the labels, a column per fraction, ``count, max, mean``.
     """
-    sizes = samples.groupBy(*labels).agg(
-        F.count(F.lit(1)).alias("count"), F.max(value).alias("max"), F.avg(value).alias("mean")
+    rows = samples.select(*labels, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = pinned(
+        rows.groupBy(*labels).agg(
+            F.count(F.lit(1)).alias("count"),
+            F.max("_v").alias("max"),
+            F.avg("_v").alias("mean"),
+            F.min("_v").alias("_min"),
+        )
+    )
+    rank = F.bround(F.col("_f") * F.col("count"), 0)
+    names = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(f)).alias("_f")) for n, f in fractions.items()])
+    # a row per label and fraction: the rank within the values from _low to _high
+    search = sizes.select("*", F.inline(names)).select(
+        *labels,
+        "_name",
+        F.greatest(F.lit(1), F.least(F.col("count"), rank)).cast("bigint").alias("_rank"),
+        F.col("_min").alias("_low"),
+        F.col("max").alias("_high"),
+        F.col("count").alias("_inside"),
     )
-    targets = {
-        name: F.greatest(F.lit(1), F.least(F.col("count"), F.bround(F.lit(f) * F.col("count"), 0)))
-        for name, f in fractions.items()
-    }
-    ranked = row_numbers(samples, labels, value, tie, "_rank", hot_rows).select(
-        *labels, value, "_rank"
+    whose = [*labels, "_name"]
+    found = []
+
+    def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in names], F.lit(True))
+
+    def within(search: DataFrame) -> DataFrame:
+        joined = rows.alias("r").join(search.alias("s"), same(rows, search, labels))
+        return joined.filter((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))).select(
+            "s.*", "_v"
+        )
+
+    while True:
+        equal, few = F.col("_low") == F.col("_high"), F.col("_inside") <= kept
+        found.append(search.filter(equal).select(*whose, F.col("_low").alias("_value")))
+        found.append(
+            within(search.filter(~equal & few))
+            .groupBy(*whose, "_rank")
+            .agg(F.sort_array(F.collect_list("_v")).alias("_all"))  # ``kept`` values at most
+            .select(*whose, F.get("_all", (F.col("_rank") - 1).cast("int")).alias("_value"))
+        )
+        search = search.filter(~equal & ~few)
+        if search.isEmpty():
+            break
+        shares = [i / CUTS for i in range(CUTS + 1)]
+        cuts = within(search).groupBy(*search.columns).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("_v", shares, 100 * CUTS))).alias("_cuts")
+        )
+        # the stretches between cuts are even, the cuts themselves odd
+        below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        place = 2 * below + F.array_contains("_cuts", F.col("_v")).cast("int")
+        counted = (
+            within(pinned(cuts))
+            .withColumn("_place", place)
+            .groupBy(*whose, "_rank", "_place")
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        )
+        upto = F.sum("_n").over(Window.partitionBy(*whose).orderBy("_place"))  # 2 * CUTS rows
+        search = pinned(
+            counted.withColumn("_upto", upto)
+            .filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+            .select(
+                *whose,
+                (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"),
+                "_low",
+                "_high",
+                F.col("_n").alias("_inside"),
+            )
+        )
+    every = reduce(DataFrame.unionByName, found)
+    wide = every.groupBy(*labels).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in fractions]
     )
-    # one row per label, so this side is as small as the label set
-    hit = ranked.join(sizes.select(*labels, "count"), labels)
-    picked = hit.groupBy(*labels).agg(
-        *[
-            F.max(F.when(F.col("_rank") == target, F.col(value))).alias(name)
-            for name, target in targets.items()
-        ]
+    return wide.join(sizes.drop("_min"), same(wide, sizes, labels)).select(
+        *[wide[c] for c in labels], *fractions, "count", "max", "mean"
     )
-    return picked.join(sizes, labels)
 
 
 def rates(events: DataFrame, labels: list[str], window_seconds: int = 60) -> DataFrame:

@@ -22,6 +22,9 @@ HOT_ROWS = 1_000_000
 SLICES_PER_QUOTA = 8
 #: Sampled rows from one cut to the next, so that slices are of about one size.
 SAMPLES_PER_SLICE = 64
+#: Cuts of all keys together, and with them the rows of a table of cuts and of its
+#: samples. Larger tables get longer slices instead of more cuts.
+MOST_CUTS = 1 << 14
 #: Steps of the search for a slice: more cuts of one key than any table has.
 _STEPS = [1 << i for i in range(24, -1, -1)]
 
@@ -32,7 +35,7 @@ class Slices:
 
     ``levels`` is empty or holds one table with a row per hot key: its cuts,
     ``(position, tie)`` in order, ``SLICES_PER_QUOTA`` of them for ``HOT_ROWS``
-    rows. It is written once, so every branch of a plan and every retry cuts
+    rows, ``MOST_CUTS`` in all. It is written once, so every branch of a plan and every retry cuts
     alike.
     """
 
@@ -55,7 +58,7 @@ class Slices:
         """Add the slice columns; ordinary keys get slice 0."""
         out = df
         for name, table in zip(self.columns, self.levels):
-            # a row per hot key, SLICES_PER_QUOTA cuts for each HOT_ROWS rows
+            # a row per hot key, about MOST_CUTS cuts in all
             out = out.join(F.broadcast(table), list(self.keys), "left").withColumn(
                 name, _slice_number(F.struct(F.col(position).alias("p"), F.col(tie).alias("t")))
             ).drop("_cuts")
@@ -78,8 +81,19 @@ def _slice_number(at: Column) -> Column:
 
 def has_hot_key(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
     """Whether any key has more than ``hot_rows`` rows; reads the keys only."""
+    return _hot_quota(df, keys, hot_rows) is not None
+
+
+def _hot_quota(df: DataFrame, keys: list[str], hot_rows: int) -> int | None:
+    """Rows above which a key is cut, None where no key has as many.
+
+    ``hot_rows``, or more where the whole table at that size would need more
+    than ``MOST_CUTS`` cuts.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (counts.agg(F.max("_n")).first()[0] or 0) > hot_rows
+    most, every = counts.agg(F.max("_n"), F.sum("_n")).first()
+    quota = max(hot_rows, -(-(every or 0) * SLICES_PER_QUOTA // MOST_CUTS))
+    return quota if (most or 0) > quota else None
 
 
 def measure_slices(
@@ -87,7 +101,7 @@ def measure_slices(
     keys: list[str],
     position: str,
     tie: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> Slices:
     """Find the hot groups of ``keys`` and decide how to cut them.
 
@@ -97,7 +111,8 @@ def measure_slices(
     so a skewed position is cut as evenly as any; only rows equal in both stay
     together. A group with a null key stays one window.
     """
-    if not has_hot_key(df, keys, hot_rows):
+    hot_rows = _hot_quota(df, keys, hot_rows)
+    if hot_rows is None:
         return Slices(tuple(keys))
     share = min(1.0, SLICES_PER_QUOTA * SAMPLES_PER_SLICE / hot_rows)
     every = max(1, int(hot_rows * share / SLICES_PER_QUOTA))

@@ -102,15 +102,28 @@ def test_a_rank_beyond_the_last_bound_gives_the_last_bound(spark):
     assert (row.observations, row.q) == (0, 0.0)
 
 
-@pytest.mark.parametrize("hot_rows", [7, 10_000])
-@pytest.mark.parametrize("n", [1, 2, 10, 101])
-def test_nearest_rank(spark, n, hot_rows):
-    rng = random.Random(n)
-    values = sorted(rng.choice([1.5, 2.5, rng.random() * 100]) for _ in range(n))
-    fractions = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    row = metrics.nearest_rank(samples(spark, values), "ms", "i", fractions, ["label"], hot_rows).first()
-    for name, f in fractions.items():
-        assert row[name] == values[min(n - 1, max(0, round(f * n) - 1))]
+@pytest.mark.parametrize("kept", [1, 5, 10_000])
+def test_nearest_rank(spark, kept):
+    rng = random.Random(kept)
+    by = {
+        name: [rng.choice([1.5, 2.5, rng.random() * 100, -rng.random() * 10**9]) for _ in range(n)]
+        for name, n in (("a", 1), ("b", 2), ("c", 10), ("d", 1501), (None, 40))
+    }
+    by["same"] = [7.0] * 30
+    by["steep"] = [2.0**i for i in range(-300, 300)]
+    rows = [(name, v) for name, values in by.items() for v in values]
+    rows += [("d", None), ("none", None)]
+    df = spark.createDataFrame(rows, "label string, ms double").repartition(3)
+    fractions = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    got = metrics.nearest_rank(df, "ms", fractions, ["label"], kept)
+    assert got.columns == ["label", *fractions, "count", "max", "mean"]
+    got = {r.label: r for r in got.collect()}
+    assert set(got) == set(by)
+    for name, values in by.items():
+        values, n = sorted(values), len(values)
+        assert (got[name]["count"], got[name]["max"]) == (n, values[-1])
+        for column, f in fractions.items():
+            assert got[name][column] == values[min(n - 1, max(0, round(f * n) - 1))], (name, column)
 
 
 def test_alerts_need_unbroken_windows(spark):

@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens import adapter
 from orderlens.catalog import QUERIES
 from orderlens.catalog.risk import with_history
+from orderlens.plans import running
 
 SF_DIR = "/root/testdata/sf0.001"
 # they run jobs of their own while they are built
@@ -76,3 +78,24 @@ def test_hot_keys_change_no_result(spark, monkeypatch, name):
     sliced = QUERIES[name](spark, SF_DIR)
     assert "_slice" in sliced._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, sliced.collect()), key=repr) == sorted(map(tuple, kept), key=repr)
+
+
+def test_percentiles_sort_nothing(spark):
+    plan = plan_of(QUERIES["latency_percentiles"](spark, SF_DIR))
+    assert "Window" not in plan and "Sort [" not in plan.split("SortAggregate")[0]
+
+
+def test_cuts_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(running, "MOST_CUTS", 32)
+    for n in (5_000, 40_000):
+        df = spark.range(n).select(
+            F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 900)).alias("k"),
+            (F.col("id") * 7 % 1000).alias("t"),
+            "id",
+        )
+        slices = running.measure_slices(df, ["k"], "t", "id", 100)
+        cuts = [len(r["_cuts"]) for r in slices.levels[0].collect()]
+        assert sum(cuts) <= 2 * 32
+        numbered = running.row_numbers(df, ["k"], "t", "id", hot_rows=100)
+        hot = [r.rn for r in numbered.filter("k = 'hot'").orderBy("t", "id").collect()]
+        assert hot == list(range(1, len(hot) + 1))
