@@ -36,16 +36,17 @@ def step(kind: str, quantity: int | None, reserved: int, available: int) -> tupl
 
 
 def _walk(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted movements with ``applied``, or with ``ends`` what each slice leaves.
+    """Sorted movements with ``applied``, or with ``ends`` what each slice changes.
 
     The first five columns are cell, slice, kind and quantity, the last two the
     amounts a slice starts with.
     """
     at: tuple | None = None
     reserved = available = 0
+    first = (0, 0)
 
     def left(rows: list[tuple]) -> pa.RecordBatch:
-        names = ["warehouse_id", "sku", "slice", "r1", "a1"]
+        names = ["warehouse_id", "sku", "slice", "dr", "da"]
         return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=_LEFT)
 
     for batch in batches:
@@ -54,8 +55,8 @@ def _walk(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBa
         for warehouse, sku, part, kind, quantity, r0, a0 in zip(*columns):
             if (warehouse, sku, part) != at:
                 if at is not None:
-                    done.append((*at, reserved, available))
-                at, reserved, available = (warehouse, sku, part), r0, a0
+                    done.append((*at, reserved - first[0], available - first[1]))
+                at, first, reserved, available = (warehouse, sku, part), (r0, a0), r0, a0
             after = step(kind, quantity, reserved, available)
             applied.append(after is not None)
             reserved, available = after or (reserved, available)
@@ -67,11 +68,11 @@ def _walk(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBa
                 [*kept.columns, pa.array(applied)], [*kept.schema.names, "applied"]
             )
     if ends and at is not None:
-        yield left([(*at, reserved, available)])
+        yield left([(*at, reserved - first[0], available - first[1])])
 
 
 _LEFT = pa.schema(
-    [("warehouse_id", pa.string()), ("sku", pa.string()), ("slice", pa.int64()), ("r1", pa.int64()), ("a1", pa.int64())]
+    [("warehouse_id", pa.string()), ("sku", pa.string()), ("slice", pa.int64()), ("dr", pa.int64()), ("da", pa.int64())]
 )
 
 
@@ -87,45 +88,44 @@ def _in_order(moves: DataFrame) -> DataFrame:
 def _starts(hot: DataFrame, opening: DataFrame) -> DataFrame:
     """``CELL, slice, r0, a0``: what each slice of the hot cells starts with.
 
-    The first guess has no refusals. Then every slice is walked, and those whose
-    start is not what the slice before leaves are walked again from that. A
-    round makes at least the first wrong slice right; once a cell is sold out, all
-    its later slices are right at once. Each round is a small written table.
+    A slice starts with the opening amounts and what the slices before it change.
+    The first guess of that has no refusals. Then every slice is walked from its
+    guess, and those whose start moves by what others were found to change
+    are walked again. A round makes at least the first wrong slice right, and
+    every stretch of slices that change the same from either start at once: all
+    of a cell that is sold out, all of one that refuses nothing. Each round is a
+    small written table.
     """
     q = F.col("quantity").cast("bigint")
     change = hot.groupBy(*CELL, "slice").agg(
         F.sum(F.when(F.col("kind") == "reserve", q).otherwise(-q)).alias("dr"),
         F.sum(F.when(F.col("kind") == "reserve", -q).when(F.col("kind") == "release", q).otherwise(0)).alias("da"),
     )
-    turn = Window.partitionBy(*CELL).orderBy("slice")
-    past = turn.rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(*CELL).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
 
-    def guess(start: str, moved: str) -> Column:
-        return F.greatest(F.lit(0), F.col(start) + F.coalesce(F.sum(moved).over(past), F.lit(0)))
+    def started(changes: DataFrame) -> DataFrame:
+        def amount(start: str, moved: str) -> Column:
+            return F.greatest(F.lit(0), F.col(start) + F.coalesce(F.sum(moved).over(past), F.lit(0)))
 
-    starts = pinned(
-        change.join(opening, CELL).select(*CELL, "slice", guess("r0", "dr").alias("r0"), guess("a0", "da").alias("a0"))
-    )
-    wrong, ends = starts, None
-    while True:
-        walked = pinned(
-            _in_order(hot.join(wrong, [*CELL, "slice"])).mapInArrow(
-                lambda batches: _walk(batches, True),
-                "warehouse_id string, sku string, slice bigint, r1 bigint, a1 bigint",
-            )
+        available = amount("a0", "da")
+        # units only leave a cell, so no more are reserved than the rest
+        reserved = F.least(amount("r0", "dr"), F.greatest(F.lit(0), F.col("r0") + F.col("a0") - available))
+        return pinned(
+            changes.join(opening, CELL).select(*CELL, "slice", reserved.alias("r0"), available.alias("a0"))
         )
-        if ends is not None:
-            walked = walked.unionByName(ends.join(wrong, [*CELL, "slice"], "left_anti"))
-        ends = pinned(walked)
-        proper = pinned(
-            ends.join(opening, CELL).select(
-                *CELL,
-                "slice",
-                F.coalesce(F.lag("r1").over(turn), F.col("r0")).alias("r0"),
-                F.coalesce(F.lag("a1").over(turn), F.col("a0")).alias("a0"),
-            )
+
+    starts = started(change)
+    wrong, found = starts, None
+    while True:
+        walked = _in_order(hot.join(wrong, [*CELL, "slice"])).mapInArrow(
+            lambda batches: _walk(batches, True),
+            "warehouse_id string, sku string, slice bigint, dr bigint, da bigint",
         )
-        wrong = proper.join(starts, [*CELL, "slice", "r0", "a0"], "left_anti")
+        if found is not None:
+            walked = walked.unionByName(found.join(wrong, [*CELL, "slice"], "left_anti"))
+        found = pinned(walked)
+        proper = started(found)
+        wrong = pinned(proper.join(starts, [*CELL, "slice", "r0", "a0"], "left_anti"))
         starts = proper
         if wrong.isEmpty():
             return starts
