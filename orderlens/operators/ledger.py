@@ -20,6 +20,8 @@ from orderlens.plans.running import HOT_ROWS, Slices, measure_slices
 from orderlens.plans.storage import pinned
 
 CELL = ["warehouse_id", "sku"]
+#: Parts over which the movements of a cell without stock are dealt.
+SPREAD = 1024
 
 
 def step(kind: str, quantity: int | None, reserved: int, available: int) -> tuple[int, int] | None:
@@ -39,7 +41,7 @@ def _walk(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBa
     """Sorted movements with ``applied``, or with ``ends`` what each slice changes.
 
     The first five columns are cell, slice, kind and quantity, the last two the
-    amounts a slice starts with.
+    amounts a slice starts with, null for a cell without stock.
     """
     at: tuple | None = None
     reserved = available = 0
@@ -54,10 +56,10 @@ def _walk(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBa
         applied, done = [], []
         for warehouse, sku, part, kind, quantity, r0, a0 in zip(*columns):
             if (warehouse, sku, part) != at:
-                if at is not None:
+                if ends and at is not None:
                     done.append((*at, reserved - first[0], available - first[1]))
                 at, first, reserved, available = (warehouse, sku, part), (r0, a0), r0, a0
-            after = step(kind, quantity, reserved, available)
+            after = None if r0 is None else step(kind, quantity, reserved, available)
             applied.append(after is not None)
             reserved, available = after or (reserved, available)
         if ends:
@@ -145,22 +147,25 @@ def guarded_moves(stock: DataFrame, movements: DataFrame, hot_rows: int = HOT_RO
         F.coalesce("reserved", F.lit(0)).cast("bigint").alias("r0"),
         F.coalesce("available", F.lit(0)).cast("bigint").alias("a0"),
     )
-    known = movements.join(opening, CELL)
-    slices: Slices = measure_slices(known, CELL, "t", "seq", hot_rows)
+    every = movements.join(opening, CELL, "left")
+    stocked = F.col("r0").isNotNull()
+    # nothing depends on the order where there is no stock, so those rows are spread
+    spread = F.pmod(F.xxhash64("t", "seq"), F.lit(SPREAD))
+    slices: Slices = measure_slices(every.filter(stocked), CELL, "t", "seq", hot_rows)
     if slices.any:
-        staged = pinned(slices.apply(known, "t", "seq").withColumnRenamed("_slice1", "slice"))
-        hot = staged.filter("slice > 0").drop("r0", "a0")
-        known = staged.filter("slice = 0").unionByName(
+        staged = pinned(slices.apply(every, "t", "seq").withColumnRenamed("_slice1", "slice"))
+        hot = staged.filter(stocked & (F.col("slice") > 0)).drop("r0", "a0")
+        cold = staged.filter(~stocked | (F.col("slice") == 0))
+        known = cold.withColumn("slice", F.when(stocked, 0).otherwise(spread)).unionByName(
             hot.join(_starts(hot, opening), [*CELL, "slice"])
         )
     else:
-        known = known.withColumn("slice", F.lit(0).cast("bigint"))
+        known = every.withColumn("slice", F.when(stocked, 0).otherwise(spread))
     ordered = _in_order(known)
     kept = [f for f in ordered.schema.fields if f.name not in ("r0", "a0")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     walked = ordered.mapInArrow(lambda batches: _walk(batches, False), f"{fields}, applied boolean")
-    nowhere = movements.join(opening, CELL, "left_anti").withColumn("applied", F.lit(False))
-    return walked.select(*columns, "applied").unionByName(nowhere)
+    return walked.select(*columns, "applied")
 
 
 def changes(moves: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ GUARD = 0.001
 #: Stretches that a level of ``nearest_rank`` cuts the values into, and how many
 #: values it looks up at the end.
 CUTS = 64
-KEPT_SAMPLES = 10_000
+KEPT_SAMPLES = 100_000
 
 
 def counters(events: DataFrame, labels: list[str]) -> DataFrame:
