@@ -222,6 +222,30 @@ LEDGER = """mo AS (SELECT m.*, s.available AS a0,
                  coalesce(CASE WHEN kind = 'reserve' THEN a >= q ELSE a0 IS NOT NULL AND r >= q END, false) AS ok
                FROM led JOIN mo ON mo.warehouse_id = led.warehouse_id AND mo.sku = led.sku AND mo.n = led.n + 1))"""
 
+#: Orders ``asking`` (``order_id``) one after another, each picking from what the ones before
+#: it left. ``a`` holds the units of all cells, 12 to a SKU, -1 where there is none.
+TURNS = """ord AS MATERIALIZED (SELECT order_id, row_number() OVER (ORDER BY t, seq) AS n, l FROM (
+           SELECT order_id, min(t) AS t, min(seq) AS seq,
+             list({'s': CAST(right(sku, 2) AS INTEGER) * 12, 'q': quantity}) AS l
+           FROM ln SEMI JOIN asking USING (order_id) GROUP BY order_id)),
+       turn AS (
+         SELECT 0::BIGINT AS n, (SELECT list(coalesce(available, -1) ORDER BY sku_no, wh)
+             FROM range(0, 24) s(sku_no), range(1, 13) w(wh) LEFT JOIN stk
+               ON right(sku, 2) = lpad(CAST(sku_no AS VARCHAR), 2, '0') AND right(warehouse_id, 2) = lpad(CAST(wh AS VARCHAR), 2, '0')) AS a,
+           NULL::VARCHAR AS order_id, NULL::BIGINT AS w, false AS ok
+         UNION ALL
+         SELECT n, CASE WHEN ok THEN list_transform(a, lambda x, i: x - coalesce(list_sum(list_transform(
+               list_filter(l, lambda e: e.s + w = i), lambda e: e.q)), 0)::BIGINT) ELSE a END, order_id, w, ok
+         FROM (SELECT *, w IS NOT NULL AND len(list_filter(l, lambda e: a[e.s + w] < e.q)) = 0 AS ok
+               FROM (SELECT ord.n, turn.a, ord.order_id, ord.l, list_min(list_transform(
+                         list_filter(l, lambda e: list_max(a[e.s + 1:e.s + 12]) >= e.q),
+                         lambda e: {'m': e.q - list_max(a[e.s + 1:e.s + 12]),
+                           'w': list_position(a[e.s + 1:e.s + 12], list_max(a[e.s + 1:e.s + 12]))})).w::BIGINT AS w
+                     FROM turn JOIN ord ON ord.n = turn.n + 1)))
+       , won AS (SELECT order_id, 'WH-' || lpad(CAST(w AS VARCHAR), 2, '0') AS warehouse_id, ok AS reserved,
+           CASE WHEN w IS NULL THEN 'no warehouse holds these items' WHEN NOT ok THEN 'insufficient stock' END AS reason
+         FROM turn WHERE n > 0)"""
+
 
 def oracle(statement: str) -> str:
     """A statement with the table expressions above in front of it."""

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from orderlens import adapter
 from orderlens.catalog import risk
 from orderlens.catalog.intake import order_status
-from orderlens.catalog.prelude import LEDGER
+from orderlens.catalog.prelude import LEDGER, TURNS
 from orderlens.catalog.registry import query
 from orderlens.functions.clock import ntz
-from orderlens.operators import allocation, flow, inventory, ledger, orders, scoring
+from orderlens.operators import allocation, flow, inventory, ledger, orders, scoring, turns
 from orderlens.plans.storage import pinned
 from orderlens.sources import log
 
@@ -105,6 +105,16 @@ def reserve_orders_fold(spark, sf_dir):
     return allocation.allocate(adapter.timed_lines(spark, sf_dir), adapter.stock(spark))
 
 
+@query(
+    "reserve_orders_live",
+    f"""WITH RECURSIVE asking AS (SELECT DISTINCT order_id FROM ln), {TURNS}
+        SELECT order_id, warehouse_id, reserved, reason FROM won""",
+)
+def reserve_orders_live(spark, sf_dir):
+    """Exact allocation in arrival order with picks at each order's turn."""
+    return turns.allocate_in_turn(adapter.timed_lines(spark, sf_dir), adapter.stock(spark))
+
+
 @query(
     "refusal_attribution",
     """WITH firsts AS (SELECT order_id, min(sku) AS sku FROM ln GROUP BY order_id)
@@ -518,6 +528,21 @@ def approve_or_hold(spark, sf_dir):
     ).select("order_id", "band", "status", "hold_reason")
 
 
+APPROVED_IN_TURN = f"""WITH RECURSIVE asking AS (SELECT order_id FROM rt WHERE action = 'approve'), {TURNS}
+  SELECT rt.order_id, band, CASE WHEN won.reserved THEN 'reserved' ELSE 'scored' END AS status,
+    CASE WHEN action = 'review' THEN route_reason WHEN NOT won.reserved THEN 'stock unavailable: ' || won.reason END AS hold_reason,
+    CASE WHEN action = 'approve' THEN warehouse_id END AS warehouse_id
+  FROM rt LEFT JOIN won USING (order_id)"""
+
+
+@query("approve_in_turn", APPROVED_IN_TURN)
+def approve_in_turn(spark, sf_dir):
+    """Approved orders compete for the stock in arrival order; nothing is oversold."""
+    return flow.outcome_in_turn(
+        pinned(risk.routed(spark, sf_dir)), adapter.timed_lines(spark, sf_dir), adapter.stock(spark)
+    ).select("order_id", "band", "status", "hold_reason", "warehouse_id")
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.decide(
         adapter.deliveries(spark, sf_dir),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators import delivery, inventory, scoring
+from orderlens.operators import delivery, inventory, scoring, turns
 from orderlens.plans.single import one_row
 
 STOCK_HOLD = "stock unavailable: "
@@ -34,7 +34,23 @@ def outcome(routed: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
     """
     # against a snapshot orders do not compete, so all are tried and only the
     # approved ones use the answer: the scores are computed once
-    granted = inventory.reserve_from_snapshot(lines, stock).select(
+    return _with_stock(routed, inventory.reserve_from_snapshot(lines, stock))
+
+
+def outcome_in_turn(routed: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """The same where approved orders compete: each gets its stock at its turn.
+
+    ``lines`` also has ``t, seq``. What is reserved never exceeds the stock. An
+    order in ``routed`` several times is allocated once. ``routed`` is read twice
+    and should be pinned.
+    """
+    asked = routed.filter(F.col("action") == "approve").select("order_id").distinct()
+    competing = lines.join(asked, "order_id", "left_semi")
+    return _with_stock(routed, turns.allocate_in_turn(competing, stock))
+
+
+def _with_stock(routed: DataFrame, outcomes: DataFrame) -> DataFrame:
+    granted = outcomes.select(
         "order_id",
         F.col("warehouse_id").alias("_at"),
         F.col("reserved").alias("_ok"),

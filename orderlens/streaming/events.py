@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.clock import as_instant
-from orderlens.operators import allocation
+from orderlens.operators import allocation, flow
+from orderlens.plans.storage import pinned
 
 
 def with_event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -56,3 +57,32 @@ def allocation_writer(opening_stock: DataFrame, path: str):
         )
 
     return write
+
+
+def decision_writer(opening_stock: DataFrame, path: str):
+    """Approve or hold each micro-batch with the stock the one before it left.
+
+    Rows are routed orders, each once, with ``t, seq`` and ``items`` (``sku,
+    quantity``). Orders take their stock in turn, so decisions do not depend on
+    where batches are cut as long as they come in order. A batch has two parts,
+    ``decisions`` and ``stock``. It counts once its stock is written, as the next
+    one starts from that; a repeated batch starts from the same stock and
+    replaces both parts.
+    """
+
+    def write(routed: DataFrame, batch_id: int) -> None:
+        spark = routed.sparkSession
+        stock = (
+            spark.read.parquet(f"{path}/stock/batch={batch_id - 1}") if batch_id > 0 else opening_stock
+        )
+        orders = pinned(routed)
+        lines = orders.select("order_id", "t", "seq", F.inline("items"))
+        folder = f"{path}/decisions/batch={batch_id}"
+        flow.outcome_in_turn(orders.drop("items"), lines, stock).write.mode("overwrite").parquet(folder)
+        won = F.col("status") == "reserved"
+        granted = spark.read.parquet(folder).select("order_id", "warehouse_id", won.alias("reserved"))
+        allocation.remaining_stock(stock, lines, granted).write.mode("overwrite").parquet(
+            f"{path}/stock/batch={batch_id}"
+        )
+
+    return write

@@ -12,7 +12,9 @@ from orderlens.plans import running
 
 SF_DIR = "/root/testdata/sf0.001"
 # they run jobs of their own while they are built
-EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"reserve_orders_fold", "order_batch_outputs"}
+EAGER = {n for n in QUERIES if n.startswith("stream_")} | {
+    "reserve_orders_fold", "order_batch_outputs", "reserve_orders_live", "approve_in_turn"
+}
 
 
 def plan_of(df) -> str:
