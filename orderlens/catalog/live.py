@@ -14,7 +14,7 @@ from orderlens.operators import history, scoring
 from orderlens.plans.storage import fresh_path
 from orderlens.streaming import events, run
 from orderlens.streaming.expiry import stream_expiry
-from orderlens.streaming.history import history_events, stream_history
+from orderlens.streaming.history import history_events, stream_history, stream_history_in_order
 from orderlens.streaming.ledger import stream_ledger
 
 
@@ -58,6 +58,38 @@ def stream_score(spark, sf_dir):
     return scored.select("order_id", F.round("score", 6).alias("score"), "band")
 
 
+@query(
+    "stream_history_ordered",
+    """SELECT order_id, prior_orders, prior_cents, prior_bin_orders, bin_is_new, velocity_count,
+         prior_chargeback_count, false AS late
+       FROM hist WHERE t < (SELECT max(t) - 600 FROM (SELECT t FROM so UNION ALL SELECT t FROM cbk))""",
+)
+def stream_history_ordered(spark, sf_dir):
+    """Orders that the watermark has passed, each after all older ones; a stream
+    keeps the last ten minutes waiting."""
+    orders = adapter.order_arrivals(_Streamed(spark, "orders"), sf_dir)
+    has_lines = adapter.baskets(spark, sf_dir).select("seq", F.lit(True).alias("has_lines"))
+    past = stream_history_in_order(
+        history_events(
+            orders.join(has_lines, "seq", "left"),
+            F.col("has_lines"),
+            F.col("seq") % 50 == 0,
+            add_seconds(F.col("received_at"), 3600),
+        ),
+        "10 minutes",
+    )
+    return run.catch_up(past, "stream-history-ordered").select(
+        F.concat(F.lit("O-"), F.col("seq").cast("string")).alias("order_id"),
+        "prior_orders",
+        "prior_cents",
+        "prior_bin_orders",
+        "bin_is_new",
+        "velocity_count",
+        "prior_chargeback_count",
+        "late",
+    )
+
+
 @query("stream_dedup", "SELECT event_id, 1 AS kept FROM dlv GROUP BY event_id")
 def stream_dedup(spark, sf_dir):
     records = adapter.deliveries(_Streamed(spark, "orders"), sf_dir).withColumn(

@@ -2,11 +2,13 @@
 
 The state of a customer is three sums, a chargeback count, the BINs seen and
 the times inside the velocity window. Arrival order rules: rows are applied in
-time order within a micro-batch, and a late order counts what is there.
+time order within a micro-batch, and a late order counts what is there. Where the
+order of time must rule, rows wait for the watermark (``OrderedHistory``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -37,13 +39,20 @@ class CustomerHistory(StatefulProcessor):
         self.bins = handle.getMapState("bins", "bin string", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._advance(sorted((r.us, r.kind, r.seq, r.cents, r.bin) for r in rows))
+
+    def _advance(self, rows: list[tuple], **flags: bool) -> Iterator[Row]:
+        """Apply sorted rows to the state, and emit each order's view before it.
+
+        The times seen stay sorted, so a row finds its window by bisection, and
+        what has left the window is dropped once per call.
+        """
         held = self.sums.get()
         orders, cents, squares, bin_orders, chargebacks, recent = held or (0, 0, "0", 0, 0, [])
         squares, recent = int(squares), list(recent)
         # each BIN of the batch is looked up in the state at most once
         known: dict[str, bool] = {}
-        batch = sorted((r.us, r.kind, r.seq, r.cents, r.bin) for r in rows)
-        for us, kind, seq, amount, bin_ in batch:
+        for us, kind, seq, amount, bin_ in rows:
             if kind == 1:
                 chargebacks += 1 if orders else 0
                 continue
@@ -56,8 +65,9 @@ class CustomerHistory(StatefulProcessor):
                 prior_cents_sq=float(squares),
                 prior_bin_orders=bin_orders,
                 bin_is_new=bool(bin_) and not known[bin_],
-                velocity_count=sum(1 for seen in recent if seen >= us - self.window),
+                velocity_count=len(recent) - bisect_left(recent, us - self.window),
                 prior_chargeback_count=chargebacks,
+                **flags,
             )
             orders, cents, squares = orders + 1, cents + amount, squares + amount**2
             if bin_:
@@ -65,14 +75,69 @@ class CustomerHistory(StatefulProcessor):
                 if not known[bin_]:
                     self.bins.updateValue((bin_,), (True,))
                     known[bin_] = True
-            recent = [seen for seen in [*recent, us] if seen >= us - self.window]
+            insort(recent, us)
         if orders or held:
-            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks, recent))
+            gone = bisect_left(recent, recent[-1] - self.window) if recent else 0
+            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks, recent[gone:]))
 
     def close(self) -> None:
         pass
 
 
+class OrderedHistory(CustomerHistory):
+    """The same in time order: rows wait until the watermark has passed them.
+
+    Whatever batch a row comes in, it is applied after every older row that comes
+    within the watermark's delay. A row that is older than one already applied
+    cannot be put in order any more. It is applied at once, and emitted with
+    ``late``. One timer per customer wakes the oldest waiting row.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        row = "us long, kind long, seq long, cents long, bin string"
+        self.waiting = handle.getListState("waiting", row)
+        self.front = handle.getValueState("front", "us long, kind long, seq long")
+        self.alarm = handle.getValueState("alarm", "at_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        front = self.front.get()
+        late, early = [], []
+        for r in rows:
+            row = (r.us, r.kind, r.seq, r.cents, r.bin)
+            (late if front and row[:3] < tuple(front) else early).append(row)
+        if late:
+            yield from self._advance(sorted(late), late=True)
+        if early:
+            self.waiting.appendList(early)
+            self._wake(min(early)[0])
+
+    def _wake(self, us: int) -> None:
+        """Wait for the first millisecond that is wholly after this time."""
+        at, alarm = us // 1000 + 1, self.alarm.get()
+        if alarm and alarm[0] <= at:
+            return
+        if alarm:
+            self.handle.deleteTimer(alarm[0])
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ripe = bisect_left(rows, (passed * 1000,))
+        self.alarm.clear()
+        if ripe:
+            yield from self._advance(rows[:ripe], late=False)
+            self.front.update(rows[ripe - 1][:3])
+        if rows[ripe:]:
+            self.waiting.put(rows[ripe:])
+            self._wake(rows[ripe][0])
+        else:
+            self.waiting.clear()
+
+
 def history_events(
     orders: DataFrame, is_scored: Column, charged_back: Column, charged_at: Column
 ) -> DataFrame:
@@ -101,3 +166,23 @@ def stream_history(events: DataFrame, window_seconds: int = schemas.VELOCITY_SEC
         outputMode="Append",
         timeMode="None",
     )
+
+
+def stream_history_in_order(
+    events: DataFrame, delay: str, window_seconds: int = schemas.VELOCITY_SECONDS
+) -> DataFrame:
+    """The same as in one batch for every row that comes within ``delay``.
+
+    An order is emitted when the watermark has passed it, with ``late`` false. One
+    that comes behind a row of its customer that was already applied counts what
+    is there and has ``late`` true; none is dropped. State holds a customer's rows
+    of the last ``delay``.
+    """
+    timed = events.withColumn("_event_time", F.timestamp_micros("us")).withWatermark("_event_time", delay)
+    # without its time column the state does not drop what is behind the watermark
+    return timed.drop("_event_time").groupBy("customer_id").transformWithState(
+        statefulProcessor=OrderedHistory(window_seconds),
+        outputStructType=f"{_OUT}, late boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.clock import add_seconds, from_epoch_seconds
 from orderlens.operators import history
 from orderlens.streaming import events, run
-from orderlens.streaming.history import history_events, stream_history
+from orderlens.streaming.history import history_events, stream_history, stream_history_in_order
 from orderlens.streaming.ledger import stream_ledger
 from tests import models
 from tests.test_stock import CELLS, MOVES, OPENING, some_movements
@@ -92,6 +92,51 @@ def test_a_late_order_counts_what_has_arrived(spark, tmp_path):
     assert rows[2][0] == 1 and rows[2][4] == 1
 
 
+def ordered(spark, tmp_path):
+    source = run.file_stream(spark, str(tmp_path / "in"), "*.parquet", 1)
+    past = stream_history_in_order(
+        history_events(
+            source, F.lit(True), F.col("seq") % 4 == 0, add_seconds(F.col("received_at"), 50)
+        ),
+        "500 seconds",
+    )
+    return run.catch_up(past, "t", str(tmp_path / "out"), str(tmp_path / "check"))
+
+
+def test_orders_out_of_order_are_counted_in_order(spark, tmp_path):
+    """Rows shuffled by less than the delay, over files and a restart, equal one batch."""
+    orders = some_orders()
+    rng = random.Random(9)
+    shuffled = sorted(orders, key=lambda o: o[1] + rng.randrange(400))
+    assert shuffled != orders
+    write_orders(spark, str(tmp_path / "in"), shuffled[:35], 2)
+    ordered(spark, tmp_path)
+    write_orders(spark, str(tmp_path / "in"), shuffled[35:], 2)
+    # one row far ahead lets the watermark pass all the others
+    write_orders(spark, str(tmp_path / "in"), [("Z", 90_000, 999, 1, "")], 1)
+    rows = ordered(spark, tmp_path).collect()
+    backs = [(c, t + 50, seq) for c, t, seq, _, _ in orders if seq % 4 == 0]
+    assert as_tuples(rows) == models.history(orders, backs)
+    assert not any(r.late for r in rows)
+
+
+def test_an_order_behind_the_watermark_is_kept_and_flagged(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    write_orders(spark, folder, [("A", 1000, 1, 10, "1"), ("B", 5000, 2, 10, "1")], 1)
+    assert [r.seq for r in ordered(spark, tmp_path).collect()] == [1]
+    # behind the watermark: A has counted a newer order, C has counted none
+    write_orders(spark, folder, [("A", 900, 3, 10, "1"), ("C", 900, 5, 10, "1"), ("C", 800, 6, 10, "1")], 1)
+    write_orders(spark, folder, [("B", 9000, 7, 10, "1")], 1)
+    rows = {r.seq: r for r in ordered(spark, tmp_path).collect()}
+    assert {s: (r.prior_orders, r.late) for s, r in rows.items()} == {
+        1: (0, False),
+        2: (0, False),
+        3: (1, True),
+        5: (1, False),
+        6: (0, False),
+    }
+
+
 def test_redelivery_in_a_later_batch_has_no_effect(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.range(10).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(folder)
