@@ -100,6 +100,25 @@ def stream_dedup(spark, sf_dir):
     return written.groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("kept"))
 
 
+@query(
+    "stream_effects_once",
+    """SELECT customer_id, count(DISTINCT event_id) AS effects, count(*) AS deliveries
+       FROM dlv GROUP BY customer_id""",
+)
+def stream_effects_once(spark, sf_dir):
+    """What each customer's events did, beside how often they were delivered."""
+    records = adapter.deliveries(_Streamed(spark, "orders"), sf_dir).select("event_id", "customer_id")
+    path = fresh_path(spark, "stream-effects")
+    run.apply_once(
+        records, "event_id", run.batch_writer(path), fresh_path(spark, "stream-effects-checkpoint")
+    )
+    did = spark.read.parquet(path).groupBy("customer_id").agg(F.count(F.lit(1)).alias("effects"))
+    came = (
+        adapter.deliveries(spark, sf_dir).groupBy("customer_id").agg(F.count(F.lit(1)).alias("deliveries"))
+    )
+    return came.join(did, "customer_id")
+
+
 @query(
     "stream_rates",
     """SELECT outcome, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS increase FROM req

@@ -93,7 +93,9 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 def effect_once_writer(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """Like ``batch_writer``, and leaves out keys an earlier batch has written.
 
-    Redelivered events have no second effect however late they come.
+    Redelivered events have no second effect however late they come. Reads the
+    ids of all earlier batches; a stream of its own is better off with
+    ``apply_once``.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
@@ -108,6 +110,60 @@ def effect_once_writer(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+#: RocksDB writes the changes of a batch, not whole files of state, before it ends.
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
+
+def apply_once(
+    stream: DataFrame,
+    key: str,
+    write: Callable[[DataFrame, int], None],
+    checkpoint: str,
+) -> list[dict]:
+    """Hand each key to ``write`` once, however late or often it comes again.
+
+    The keys seen are state, looked up one by one: a batch reads and writes as
+    much as it has rows, not what was applied before it. Only a task that takes a
+    partition of state over loads that partition. ``write`` must replace what an
+    earlier try of the same batch wrote (``batch_writer`` does); keys of a batch
+    that failed count as unseen when it is repeated. Without a key a row is
+    dropped, since nobody could tell it from a copy. Returns what each batch read
+    and kept.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_CHANGELOG, None)
+    spark.conf.set(_CHANGELOG, "true")
+    try:
+        with rocksdb_state(spark):
+            query = (
+                stream.filter(F.col(key).isNotNull())
+                .dropDuplicates([key])
+                .writeStream.outputMode("append")
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True)
+                .foreachBatch(write)
+                .start()
+            )
+            query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_CHANGELOG)
+        else:
+            spark.conf.set(_CHANGELOG, before)
+    return [
+        {
+            "batch": p["batchId"],
+            "rows": p["numInputRows"],
+            "fresh": sum(o["numRowsUpdated"] for o in p["stateOperators"]),
+            "seen": sum(o["numRowsTotal"] for o in p["stateOperators"]),
+            "state_bytes_read": sum(
+                o["customMetrics"].get("rocksdbTotalBytesRead", 0) for o in p["stateOperators"]
+            ),
+        }
+        for p in query.recentProgress
+    ]
+
+
 def latest_rows(path: str, spark: SparkSession, keys: list[str]) -> DataFrame:
     """The newest row of each key over all batch folders."""
     return first_per_key(spark.read.parquet(path), keys, [F.desc("batch")]).drop("batch")

@@ -155,6 +155,47 @@ def test_redelivery_in_a_later_batch_has_no_effect(spark, tmp_path):
     assert ids == list(range(15))
 
 
+def add_ids(spark, folder, ids):
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_effects_once_over_a_failure_and_a_restart(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    good = run.batch_writer(out)
+
+    def dies(df, batch_id):
+        good(df, batch_id)
+        raise RuntimeError("killed after writing")
+
+    def go(write):
+        return run.apply_once(run.file_stream(spark, folder, "*.parquet", 1), "event_id", write, check)
+
+    add_ids(spark, folder, [*range(10), 3, None])
+    go(good)
+    add_ids(spark, folder, range(5, 15))
+    with pytest.raises(Exception, match="killed"):
+        go(dies)
+    go(good)
+    add_ids(spark, folder, range(20))
+    go(good)
+    ids = sorted(r.event_id for r in spark.read.parquet(out).collect())
+    assert ids == list(range(20))
+
+
+def test_a_batch_does_not_read_what_was_applied_before(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    read = []
+    for start, count in ((0, 500), (1000, 40_000), (100_000, 500)):
+        # every batch redelivers a hundred ids of its own
+        add_ids(spark, folder, [*range(start, start + count), *range(start, start + 100)])
+        source = run.file_stream(spark, folder, "*.parquet", 1)
+        done = run.apply_once(source, "event_id", run.batch_writer(out), check)
+        read.append(next(b for b in done if b["rows"]))
+    small, _, after = read
+    assert (small["fresh"], after["fresh"], after["seen"]) == (500, 500, 41_000)
+    assert after["state_bytes_read"] <= 2 * small["state_bytes_read"] + 10_000
+
+
 @pytest.mark.parametrize("delay_between", [30, 300])
 def test_copies_inside_the_watermark_are_dropped(spark, tmp_path, delay_between):
     folder = str(tmp_path / "in")
