@@ -76,12 +76,10 @@ def with_history(
     own = own.withColumn("_bin_first", F.row_number().over(bin_window) == 1)
     zero = F.lit(0)
     if slices.any:
+        own = own.join(_first_slices(local, slices), [*slices.group, "_bin"], "left")
         own = own.join(_before_slice(local, slices), slices.group, "left")
         before = {name: F.coalesce(F.col(f"_b_{name}"), zero) for name in _SUMS}
-        bin_first = F.col("_bin_first") & (
-            F.col("_b_new_bins").isNull() & (F.col("_slice1") == 0)
-            | F.coalesce(F.array_contains("_b_new_bins", F.col("_bin")), F.lit(False))
-        )
+        bin_first = F.col("_bin_first") & ((F.col("_slice1") == 0) | F.col("_b_new_bin").isNotNull())
         chargeback_count = before["counted"] + F.when(
             before["orders"] > 0, F.col("_l_chargebacks")
         ).otherwise(F.col("_l_counted"))
@@ -242,7 +240,7 @@ def _before_slice(local: DataFrame, slices: Slices) -> DataFrame:
         "_counted",
         F.when(F.col("_b_orders") > 0, F.col("chargebacks")).otherwise(F.col("counted_here")),
     )
-    before = before.select(
+    return before.select(
         *slices.group,
         "_b_orders",
         *[
@@ -251,15 +249,22 @@ def _before_slice(local: DataFrame, slices: Slices) -> DataFrame:
         ],
         earlier(F.col("_counted")).alias("_b_counted"),
     )
-    # the slice in which each BIN of a hot customer appears first
-    bins = (
-        hot.filter(F.col("_bin").isNotNull())
+
+
+def _first_slices(local: DataFrame, slices: Slices) -> DataFrame:
+    """The slice in which each BIN of a hot customer appears first, a row a BIN:
+    a customer may have any number of them."""
+    return (
+        local.filter((F.col("_slice1") > 0) & F.col("_bin").isNotNull())
         .groupBy("customer_id", "_bin")
         .agg(F.min(F.struct(*slices.columns)).alias("_at"))
-        .groupBy("customer_id", *[F.col(f"_at.{c}").alias(c) for c in slices.columns])
-        .agg(F.collect_list("_bin").alias("_b_new_bins"))
+        .select(
+            "customer_id",
+            "_bin",
+            *[F.col(f"_at.{c}").alias(c) for c in slices.columns],
+            F.lit(True).alias("_b_new_bin"),
+        )
     )
-    return before.join(bins, slices.group, "left")
 
 
 def basket_feature(distinct_skus: Column, total_quantity: Column) -> Column:
