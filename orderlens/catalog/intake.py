@@ -8,7 +8,10 @@ from orderlens import adapter
 from orderlens.catalog.registry import query
 from orderlens.functions.clock import from_epoch_seconds
 from orderlens.operators import delivery, validation
+from orderlens.plans.storage import fresh_path
 from orderlens.sources import log, tables
+from orderlens.sources.topic import Topic
+from orderlens.streaming.run import batch_writer
 
 START = adapter.START
 _AT = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds({})"
@@ -102,6 +105,46 @@ def lag_by_group(spark, sf_dir):
     )
 
 
+def _topic(spark, sf_dir):
+    """The delivered events as a topic of two appends, cut at one time."""
+    topic = Topic(spark, fresh_path(spark, "topic"), "order-events")
+    records = adapter.deliveries(spark, sf_dir).drop("topic")
+    topic.append(records.filter(F.col("t") < 20000), "t", "tie")
+    return topic, records.filter(F.col("t") >= 20000)
+
+
+@query(
+    "log_subscribe",
+    'SELECT partition, "offset", event_id, event_type FROM olog',
+)
+def log_subscribe(spark, sf_dir):
+    """What a group handled that stopped, came back after more was appended, and
+    went on from its committed offsets."""
+    topic, more = _topic(spark, sf_dir)
+    path = fresh_path(spark, "subscribed")
+    topic.consume("order-processor", batch_writer(path), limit=20_000, batches=1)
+    topic.append(more, "t", "tie")
+    topic.consume("order-processor", batch_writer(path), limit=20_000)
+    return spark.read.parquet(path).select("partition", "offset", "event_id", "event_type")
+
+
+@query(
+    "log_subscribe_lag",
+    """SELECT g AS consumer_group, topic, CAST(count(*) FILTER (g = 'idle' OR t >= 20000) AS BIGINT) AS lag
+       FROM olog, (VALUES ('order-processor'), ('idle')) v(g) GROUP BY ALL""",
+)
+def log_subscribe_lag(spark, sf_dir):
+    """One group caught up before the second append, the other never began."""
+    topic, more = _topic(spark, sf_dir)
+    topic.consume("order-processor", lambda records, number: None)
+    topic.append(more, "t", "tie")
+    groups = spark.createDataFrame(
+        [("order-processor", topic.name), ("idle", topic.name)], "consumer_group string, topic string"
+    )
+    committed = topic.committed_offsets("order-processor", "idle")
+    return log.group_lag(topic.end_offsets(), committed, groups)
+
+
 def envelopes(spark, sf_dir):
     """Delivered events as envelope columns and their JSON text."""
     base = adapter.deliveries(spark, sf_dir).withColumns(

@@ -174,12 +174,16 @@ def end_offsets(log: DataFrame) -> DataFrame:
     return log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end_offset"))
 
 
-def partition_lag(ends: DataFrame, commits: DataFrame) -> DataFrame:
+def partition_lag(
+    ends: DataFrame, commits: DataFrame, groups: DataFrame | None = None
+) -> DataFrame:
     """Per group and partition, records not yet committed; no commit counts as 0.
 
-    ``commits`` is ``consumer_group, topic, partition, committed``.
+    ``commits`` is ``consumer_group, topic, partition, committed``. ``groups``
+    (``consumer_group, topic``) names those that may not have committed at all.
     """
-    groups = commits.select("consumer_group", "topic").distinct()
+    if groups is None:
+        groups = commits.select("consumer_group", "topic").distinct()
     return (
         ends.join(groups, "topic")
         .join(commits, ["consumer_group", "topic", "partition"], "left")
@@ -194,9 +198,9 @@ def partition_lag(ends: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def group_lag(ends: DataFrame, commits: DataFrame) -> DataFrame:
+def group_lag(ends: DataFrame, commits: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     return (
-        partition_lag(ends, commits)
+        partition_lag(ends, commits, groups)
         .groupBy("consumer_group", "topic")
         .agg(F.sum("lag").alias("lag"))
     )

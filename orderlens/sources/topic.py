@@ -48,11 +48,16 @@ class Topic:
         """Number the records of each partition after those already there, in
         (position, tie) order, and write them. Returns the number of the append.
 
-        ``records`` has ``partition`` and any other columns but ``offset``.
+        ``records`` has ``partition`` and any other columns but ``topic`` and
+        ``offset``. Without a partition a record goes to partition 0.
         """
         number = self._last(f"{self._path}/ends", "append") + 1
         before = self.end_offsets().select("partition", F.col("end_offset").alias("_from"))
-        base = pinned(records.withColumn("topic", F.lit(self.name)))
+        base = pinned(
+            records.withColumn("topic", F.lit(self.name)).withColumn(
+                "partition", F.coalesce(F.col("partition").cast("int"), F.lit(0))
+            )
+        )
         numbered = assign_offsets(base, position, tie)
         # a row per partition of the topic
         placed = numbered.join(F.broadcast(before), "partition", "left").withColumn(
@@ -67,7 +72,9 @@ class Topic:
             .partitionBy("partition")
             .parquet(folder)
         )
-        written = self._spark.read.parquet(folder).groupBy("partition").agg(
+        # an append without records has no files to take a schema from
+        numbers = self._spark.read.schema("offset bigint, partition int").parquet(folder)
+        written = numbers.groupBy("partition").agg(
             F.min("offset").alias("start_offset"), (F.max("offset") + 1).alias("end_offset")
         )
         self._write_small(written, f"{self._path}/ends/append={number}")
