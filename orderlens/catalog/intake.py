@@ -9,7 +9,7 @@ from orderlens.catalog.registry import query
 from orderlens.functions.clock import from_epoch_seconds
 from orderlens.operators import delivery, validation
 from orderlens.plans.storage import fresh_path
-from orderlens.sources import log, tables
+from orderlens.sources import json_array, log, tables
 from orderlens.sources.topic import Topic
 from orderlens.streaming.run import batch_writer
 
@@ -235,6 +235,27 @@ def log_import(spark, sf_dir):
     )
 
 
+@query(
+    "log_import_array",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, order_id, count(*) AS copies FROM dlv GROUP BY ALL",
+)
+def log_import_array(spark, sf_dir):
+    """Exported as files of one JSON array each, envelopes and wrapped ones mixed,
+    and read back by ranges of bytes."""
+    frame = envelopes(spark, sf_dir)
+    line = F.when(F.col("tie") % 2 == 0, F.col("wire")).otherwise(_export(frame))
+    path = fresh_path(spark, "array-export")
+    json_array.write_array_files(
+        frame.select("tie", line.alias("line")), "line", "tie", path, files=16
+    )
+    return (
+        log.read_export(spark, path, "array")
+        .filter(F.col("reject_reason").isNull())
+        .groupBy("event_id", "event_type", "order_id")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+
+
 @query(
     "events_by_type",
     "SELECT event_type, count(*) AS handled FROM dlv WHERE event_type <> 'order.approved' GROUP BY ALL",

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from orderlens import schemas
 from orderlens.functions.clock import iso_utc, parse_iso_utc
 from orderlens.plans.running import HOT_ROWS, evaluated_once, row_numbers
+from orderlens.sources.json_array import read_array_texts
 
 
 def read_kafka_topic(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -135,21 +136,16 @@ def unwrap_export(records: DataFrame, value: str = "value") -> DataFrame:
 
 def read_export(spark: SparkSession, path: str, shape: str = "lines") -> DataFrame:
     """An exported log: ``lines`` (one record a line, either kind) or ``array``
-    (each file is one JSON array, which Spark cannot split)."""
+    (each file is one JSON array, which many tasks read)."""
     if shape == "lines":
         lines = spark.read.text(path)
     elif shape == "array":
-        wire = spark.read.schema(schemas.ENVELOPE).json(path, multiLine=True)
-        lines = wire.select(F.to_json(F.struct(*_raw_payload(wire))).alias("value"))
+        lines = read_array_texts(spark, path)
     else:
         raise ValueError(f"unknown export shape {shape!r}")
     return decode_envelopes(unwrap_export(lines.filter(F.trim("value") != "")))
 
 
-def _raw_payload(wire: DataFrame) -> list[Column]:
-    return [F.col(c) for c in wire.columns]
-
-
 def assign_offsets(
     records: DataFrame, position: str, tie: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
