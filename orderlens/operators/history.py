@@ -109,14 +109,28 @@ _SUMS = ("orders", "cents", "square_high", "square_low", "bins", "recent", "coun
 _LOW = 1 << 30
 
 
-# Squares are summed as two exact integers: the total does not depend on the
-# order of addition and cannot overflow before 2**33 orders of one customer.
+# Squares are summed as two exact integers, of 2**30 and of ones, so that the total
+# does not depend on the order of addition. An amount is taken apart at 2**22, as its
+# square need not fit in 64 bits: amounts are below 2**46 cents, and the sum of a
+# customer's squares below 2**93.
+def _square_parts() -> tuple[Column, Column]:
+    """The part of an amount's square above 2**44, as a multiple of 2**30, and the
+    rest."""
+    cents = F.col("_cents")
+    high, low = F.shiftright(cents, 22), cents.bitwiseAND(F.lit((1 << 22) - 1).cast("bigint"))
+    mixed = high * low * 2
+    whole = F.shiftleft(high * high, 14) + F.shiftright(mixed, 8)
+    rest = F.shiftleft(mixed.bitwiseAND(F.lit(255).cast("bigint")), 22) + low * low
+    return whole, rest
+
+
 def _square_high() -> Column:
-    return F.shiftright(F.col("_cents") * F.col("_cents"), 30)
+    whole, rest = _square_parts()
+    return whole + F.shiftright(rest, 30)
 
 
 def _square_low() -> Column:
-    return (F.col("_cents") * F.col("_cents")).bitwiseAND(F.lit(_LOW - 1).cast("bigint"))
+    return _square_parts()[1].bitwiseAND(F.lit(_LOW - 1).cast("bigint"))
 
 
 def _measure(volume: DataFrame, window_seconds: int, hot_rows: int) -> Slices:

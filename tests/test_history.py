@@ -228,3 +228,14 @@ def test_night_hours_are_utc_whatever_the_session_zone(spark):
         assert got == models.history(orders)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_squares_of_large_and_negative_amounts_are_exact(spark):
+    amounts = [-1, 0, 3, 2**31, 3_100_000_000, -3_100_000_001, 2**40 + 12345, 2**44 - 1, 7]
+    orders = [("C", i, i, cents, "") for i, cents in enumerate(amounts)]
+    for hot_rows in (1_000_000, 4):
+        o, c = frames(spark, orders, [("D", 1, 1)])
+        got = {r.seq: r.prior_cents_sq for r in history.with_history(o, c, hot_rows=hot_rows).collect()}
+        for i in range(len(amounts)):
+            exact = sum(x * x for x in amounts[:i])
+            assert got[i] == pytest.approx(float(exact), rel=1e-15)
