@@ -84,20 +84,17 @@ class Topic:
         """The offset that each partition's next record will have."""
         return (
             self._small(f"{self._path}/ends", "append")
-            .groupBy("partition")
+            .groupBy("topic", "partition")
             .agg(F.max("end_offset").alias("end_offset"))
-            .select(F.lit(self.name).alias("topic"), "partition", "end_offset")
         )
 
     def committed_offsets(self, *groups: str) -> DataFrame:
         """Up to where each group has handled each partition it has begun."""
         done = [
             self._small(f"{self._group(g)}/done", "batch")
-            .groupBy("partition")
+            .groupBy("topic", "partition")
             .agg(F.max("end_offset").alias("committed"))
-            .select(
-                F.lit(g).alias("consumer_group"), F.lit(self.name).alias("topic"), "partition", "committed"
-            )
+            .select(F.lit(g).alias("consumer_group"), "topic", "partition", "committed")
             for g in groups
         ]
         return reduce(DataFrame.unionByName, done)
@@ -185,7 +182,7 @@ class Topic:
 
     def _small(self, path: str, step: str) -> DataFrame:
         """A table of offsets; without rows before its first step."""
-        schema = f"{_RANGE}, {step} bigint"
+        schema = f"topic string, {_RANGE}, {step} bigint"
         try:
             return self._spark.read.schema(schema).parquet(path)
         except AnalysisException as e:
@@ -199,6 +196,6 @@ class Topic:
 
     def _write_small(self, rows: DataFrame, folder: str) -> None:
         # one file: it is there as a whole or not at all
-        rows.select("partition", "start_offset", "end_offset").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(folder)
+        rows.select(
+            F.lit(self.name).alias("topic"), "partition", "start_offset", "end_offset"
+        ).coalesce(1).write.mode("overwrite").parquet(folder)
