@@ -132,3 +132,21 @@ def test_decisions_of_batches_are_those_of_one_table(spark, tmp_path):
     assert got == want
     after = spark.read.parquet(f"{out}/stock/batch=2").collect()
     assert {(r.warehouse_id, r.sku): r.available for r in after} == left
+
+
+def test_orders_that_nothing_covers_leave_the_rounds(spark, monkeypatch):
+    """Once the stock is gone no order is walked, but each still has its pick."""
+    rng = random.Random(5)
+    stock = {(f"W{w}", f"s{s}"): rng.randrange(1, 9) for w in range(3) for s in range(4)}
+    stock["W2", "s3"] = 40
+    orders = {
+        f"O-{seq}": (seq // 2, seq, [(f"s{s}", rng.randrange(1, 4)) for s in rng.sample(range(4), rng.randrange(1, 4))])
+        for seq in range(400)
+    }
+    walked = []
+    plain = turns.remaining_stock
+    monkeypatch.setattr(turns, "remaining_stock", lambda *a: walked.append(1) or plain(*a))
+    got = turns.allocate_in_turn(line_frame(spark, orders), stock_frame(spark, stock), slice_lines=40, hot_rows=30)
+    assert outcomes(got) == models.allocate(stock, orders, live_picks=True)[0]
+    # about 20 slices of 40 lines
+    assert 1 < len(walked) < 10
