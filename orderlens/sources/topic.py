@@ -10,13 +10,15 @@ its own, so a step that is repeated after a failure replaces itself:
   which a group's batch goes, and that it was handled. A group's committed offset
   is the end of its last batch that was done.
 
-A topic has one writer at a time, and a group one consumer.
+A topic has one writer at a time, and a group one consumer. So a consumer reads
+these tables when it begins and when it has handled what they told, not for every
+batch: a batch costs its records and two small files, however many came before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 from urllib.parse import quote
@@ -40,6 +42,19 @@ class Batch:
     ranges: tuple[tuple[int, int, int], ...]
 
 
+@dataclass
+class _Progress:
+    """Where a consumer of a group is: the batch that is next, what it has committed
+    of each partition, and what it read of the topic: the appends that it has not
+    handled (``append, partition, from, up to``), and their records once opened."""
+
+    number: int
+    committed: dict[int, int]
+    planned: tuple[tuple[int, int, int], ...]
+    appends: list[tuple[int, int, int, int]] = field(default_factory=list)
+    opened: dict[int, DataFrame] = field(default_factory=dict)
+
+
 class Topic:
     def __init__(self, spark: SparkSession, path: str, name: str) -> None:
         self._spark, self._path, self.name = spark, path.rstrip("/"), name
@@ -106,51 +121,87 @@ class Topic:
         The batch is written down first. One that was not done is given again
         with the same number and the same records, whatever came in since.
         """
+        return self._next(group, self._progress(group), limit)
+
+    def _progress(self, group: str) -> _Progress:
         folder = self._group(group)
-        number = self._last(f"{folder}/done", "batch") + 1
-        planned = f"{folder}/planned"
-        if self._last(planned, "batch") < number:
-            begun = self.committed_offsets(group).select("partition", "committed")
-            start = F.coalesce("committed", F.lit(0))
-            end = F.col("end_offset") if limit is None else F.least("end_offset", start + limit)
-            ranges = (
-                self.end_offsets()
-                .join(begun, "partition", "left")
-                .select("partition", start.alias("start_offset"), end.alias("end_offset"))
-                .filter(F.col("start_offset") < F.col("end_offset"))
-            )
-            if ranges.isEmpty():
-                return None
-            self._write_small(ranges, f"{planned}/batch={number}")
-        rows = self._small(planned, "batch").filter(F.col("batch") == number).collect()
-        return Batch(
-            number, tuple(sorted((r.partition, r.start_offset, r.end_offset) for r in rows))
+        done = self._small(f"{folder}/done", "batch").groupBy("partition")
+        # a row per partition
+        rows = done.agg(F.max("end_offset").alias("to"), F.max("batch").alias("batch")).collect()
+        number = max((r.batch for r in rows), default=-1) + 1
+        planned = self._small(f"{folder}/planned", "batch").filter(F.col("batch") == number).collect()
+        return _Progress(
+            number,
+            {r.partition: r.to for r in rows},
+            tuple(sorted((r.partition, r.start_offset, r.end_offset) for r in planned)),
         )
 
+    def _look(self, progress: _Progress) -> None:
+        """What was appended that the group has not handled."""
+        ends = self._small(f"{self._path}/ends", "append")
+        for partition, committed in progress.committed.items():
+            ends = ends.filter((F.col("partition") != partition) | (F.col("end_offset") > committed))
+        rows = ends.select("append", "partition", "start_offset", "end_offset").collect()
+        progress.appends = sorted(tuple(r) for r in rows)
+
+    def _next(self, group: str, progress: _Progress, limit: int | None) -> Batch | None:
+        if not progress.planned:
+            ranges = self._waiting(progress, limit)
+            if not ranges:
+                self._look(progress)
+                ranges = self._waiting(progress, limit)
+            if not ranges:
+                return None
+            planned = f"{self._group(group)}/planned/batch={progress.number}"
+            self._write_small(self._ranges(ranges), planned)
+            progress.planned = tuple(ranges)
+        return Batch(progress.number, progress.planned)
+
+    @staticmethod
+    def _waiting(progress: _Progress, limit: int | None) -> list[tuple[int, int, int]]:
+        ends: dict[int, int] = {}
+        for _, partition, _, end in progress.appends:
+            ends[partition] = max(end, ends.get(partition, 0))
+        ranges = []
+        for partition, end in sorted(ends.items()):
+            start = progress.committed.get(partition, 0)
+            upto = end if limit is None else min(end, start + limit)
+            if start < upto:
+                ranges.append((partition, start, upto))
+        return ranges
+
     def read(self, batch: Batch) -> DataFrame:
         """The records of a batch. Only appends that hold some of them are opened,
         so what is read does not grow with the topic."""
-        wanted = [
+        begun = _Progress(batch.number, {p: start for p, start, _ in batch.ranges}, batch.ranges)
+        self._look(begun)
+        return self._read(batch, begun)
+
+    def _read(self, batch: Batch, progress: _Progress) -> DataFrame:
+        wanted = {p: (start, end) for p, start, end in batch.ranges}
+        held = {
+            append
+            for append, p, start, end in progress.appends
+            if p in wanted and start < wanted[p][1] and end > wanted[p][0]
+        }
+        # files are listed and their schema is read once; appends left behind are let go
+        opened = {n: df for n, df in progress.opened.items() if n in held}
+        for n in sorted(held - set(opened)):
+            # the folder is no column of the records
+            folder = f"{self._path}/records/append={n}"
+            opened[n] = self._spark.read.option("basePath", folder).parquet(folder)
+        progress.opened = opened
+        parts = [opened[n] for n in sorted(opened)]
+        records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        inside = [
             (F.col("partition") == p) & (F.col("offset") >= start) & (F.col("offset") < end)
             for p, start, end in batch.ranges
         ]
-        meets = [
-            (F.col("partition") == p) & (F.col("start_offset") < end) & (F.col("end_offset") > start)
-            for p, start, end in batch.ranges
-        ]
-        held = self._small(f"{self._path}/ends", "append").filter(reduce(or_, meets))
-        folders = [
-            f"{self._path}/records/append={r.append}"
-            for r in held.select("append").distinct().orderBy("append").collect()
-        ]
-        # the folders are no columns of the records
-        parts = [self._spark.read.option("basePath", f).parquet(f) for f in folders]
-        records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        return records.filter(reduce(or_, wanted)).withColumn("topic", F.lit(self.name))
+        return records.filter(reduce(or_, inside)).withColumn("topic", F.lit(self.name))
 
     def commit(self, group: str, batch: Batch) -> None:
         """The group has handled the batch."""
-        rows = self._spark.createDataFrame(list(batch.ranges), _RANGE)
+        rows = self._ranges(batch.ranges)
         self._write_small(rows, f"{self._group(group)}/done/batch={batch.number}")
 
     def consume(
@@ -168,12 +219,19 @@ class Topic:
         number (``streaming.run.batch_writer``) has each record once.
         """
         handled = 0
+        if batches is not None and batches < 1:
+            return handled
+        progress = self._progress(group)
+        if progress.planned:
+            self._look(progress)
         while batches is None or handled < batches:
-            batch = self.next_batch(group, limit)
+            batch = self._next(group, progress, limit)
             if batch is None:
                 break
-            handle(self.read(batch), batch.number)
+            handle(self._read(batch, progress), batch.number)
             self.commit(group, batch)
+            progress.number, progress.planned = batch.number + 1, ()
+            progress.committed |= {p: end for p, _, end in batch.ranges}
             handled += 1
         return handled
 
@@ -194,6 +252,11 @@ class Topic:
         last = self._small(path, step).agg(F.max(step)).first()[0]
         return -1 if last is None else last
 
+    def _ranges(self, ranges: Iterable[tuple[int, int, int]]) -> DataFrame:
+        # known to the planner as a table, so writing it starts no Python worker
+        rows = ", ".join(f"({p}, {start}L, {end}L)" for p, start, end in ranges)
+        return self._spark.sql(f"SELECT * FROM VALUES {rows} AS r(partition, start_offset, end_offset)")
+
     def _write_small(self, rows: DataFrame, folder: str) -> None:
         # one file: it is there as a whole or not at all
         rows.select(

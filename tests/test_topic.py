@@ -96,3 +96,20 @@ def test_new_columns_missing_partitions_and_empty_appends(spark, tmp_path):
     df = topic.read(topic.next_batch("g"))
     got = sorted((r.partition, r.offset, r.id, r.note) for r in df.collect())
     assert got == [(0, 0, 0, None), (0, 1, 3, "x")]
+
+
+def test_a_batch_does_not_read_the_offsets_of_those_before_it(spark, tmp_path, monkeypatch):
+    reads = []
+    plain = Topic._small
+    monkeypatch.setattr(Topic, "_small", lambda *a: reads.append(1) or plain(*a))
+    spent = []
+    for limit in (10, 3):
+        topic = Topic(spark, str(tmp_path / f"log-{limit}"), "orders")
+        topic.append(records(spark, range(40)), "t", "id")
+        topic.append(records(spark, range(40, 60)), "t", "id")
+        out = str(tmp_path / f"out-{limit}")
+        reads.clear()
+        assert topic.consume("g", batch_writer(out), limit=limit) == (2 if limit == 10 else 7)
+        spent.append(len(reads))
+        assert positions(spark, out) == expected(range(60))
+    assert spent[0] == spent[1]
