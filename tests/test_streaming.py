@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,31 @@ def test_guarded_ledger_in_batches(spark, tmp_path):
     for cell, r in got.items():
         state = cells.get(cell, (0, 0, 0, 0))
         assert (r.on_hand, r.reserved, r.available, r.version, r.refused) == (*state, refused[cell])
+
+
+def test_a_cell_takes_its_movements_in_columns():
+    """Parts of one micro-batch are put in order together; what is null is refused."""
+    from orderlens.streaming.ledger import GuardedLedger
+
+    class Cell:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    ledger = GuardedLedger()
+    ledger.cell = Cell()
+    opening = pd.DataFrame([("W", "x", 10, 0, 10, 0)], columns=["warehouse_id", "sku", "on_hand", "reserved", "available", "version"])
+    ledger.handleInitialState(("W", "x"), opening, None)
+    names = ["t", "seq", "kind", "quantity"]
+    parts = [
+        pd.DataFrame([(3, 3, "commit", 4.0), (2, 2, "reserve", 7.0)], columns=names),
+        pd.DataFrame([(1, 1, "reserve", 4.0), (4, 4, None, 1.0), (5, 5, "reserve", None)], columns=names),
+    ]
+    out = pd.concat(ledger.handleInputRows(("W", "x"), iter(parts), None))
+    # the second reserve is not covered once the first is applied
+    assert out.values.tolist() == [["W", "x", 6, 0, 6, 2, 3]]
+    assert ledger.cell.value == (True, 6, 0, 6, 2, 3)
