@@ -10,6 +10,8 @@ decide most orders without any sequential work:
 The rounds repeat on what is open until little is left, and a short exact fold
 per warehouse settles that rest. Every round settles at least the first open
 order of each warehouse, so the loop ends, and no order is decided by a guess.
+The first orders go first: stock only falls, so what they leave refuses most
+later orders by one look at their lines, and the rounds follow the stock.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.operators.inventory import INSUFFICIENT, NO_WAREHOUSE, place_lines
 from orderlens.plans.running import HOT_ROWS, Slices, measure_slices, running_sums
-from orderlens.plans.storage import pinned
+from orderlens.plans.storage import stored
 
 FOLD_LINES = 100_000
+#: Lines of the first orders, settled before others are looked at; then four times as many.
+FIRST_LINES = 400_000
 _CELL = ["warehouse_id", "sku"]
 _FOLDED = "warehouse_id string, order_id string, admitted boolean"
 
@@ -34,16 +38,19 @@ def _fold_open_orders(lines: pd.DataFrame) -> pd.DataFrame:
 
     ``left_before`` is what the orders settled earlier leave for the line.
     """
-    lines = lines.sort_values(["t", "seq", "sku"], kind="stable")
+    lines = lines.dropna(subset=["t", "seq", "order_id"]).sort_values(["t", "seq", "sku"], kind="stable")
     taken: dict[str, int] = {}
+    orders: dict[tuple, list[tuple]] = {}
+    columns = ("t", "seq", "order_id", "warehouse_id", "sku", "quantity", "left_before")
+    for t, seq, order_id, *want in zip(*(lines[c].tolist() for c in columns)):
+        orders.setdefault((t, seq, order_id), []).append(want)
     rows = []
-    for (_, _, order_id), own in lines.groupby(["t", "seq", "order_id"], sort=False):
-        wants = list(zip(own["sku"], own["quantity"], own["left_before"]))
-        fits = all(left - taken.get(sku, 0) >= q for sku, q, left in wants)
+    for (_, _, order_id), wants in orders.items():
+        fits = all(left - taken.get(sku, 0) >= q for _, sku, q, left in wants)
         if fits:
-            for sku, q, _ in wants:
+            for _, sku, q, _ in wants:
                 taken[sku] = taken.get(sku, 0) + q
-        rows.append((own["warehouse_id"].iloc[0], order_id, fits))
+        rows.append((wants[0][0], order_id, fits))
     return pd.DataFrame(rows, columns=["warehouse_id", "order_id", "admitted"])
 
 
@@ -70,17 +77,58 @@ def _round(lines: DataFrame, slices: Slices) -> DataFrame:
     ).drop("_now")
 
 
+def _settled(state: DataFrame, hot_rows: int, fold_lines: int) -> DataFrame:
+    """``warehouse_id, order_id, admitted`` of orders that compete for ``available``."""
+    # lines keep their place in every round, so hot cells are measured once
+    slices = measure_slices(state, _CELL, "t", "seq", hot_rows)
+    is_open = F.col("admitted").isNull()
+    # refused lines take nothing from anybody and leave the rounds
+    refused = []
+    while state.filter(is_open).count() > fold_lines:
+        after = stored(_round(state, slices), "allocate-round")
+        refused.append(after.filter(~F.col("admitted")))
+        state = after.filter(F.coalesce("admitted", F.lit(True)))
+
+    taken = F.when(F.coalesce(F.col("admitted"), F.lit(False)), F.col("quantity")).otherwise(0)
+    rest = running_sums(
+        state, _CELL, "t", "seq", {"_taken": taken.cast("bigint")}, slices=slices
+    ).filter(is_open)
+    # at most ``fold_lines`` lines are open here, checked above
+    folded = (
+        rest.withColumn("left_before", F.col("available") - F.col("_taken"))
+        .groupBy("warehouse_id")
+        .applyInPandas(_fold_open_orders, _FOLDED)
+    )
+    done = reduce(DataFrame.unionByName, refused, state.filter(~is_open))
+    return done.groupBy("warehouse_id", "order_id").agg(F.first("admitted").alias("admitted")).unionByName(folded)
+
+
+def _left_for(later: DataFrame, now: DataFrame, done: DataFrame) -> DataFrame:
+    """``later`` with what the orders of ``now`` that are admitted leave of its cells."""
+    granted = done.filter("admitted").select("warehouse_id", "order_id")
+    used = (
+        now.join(granted, ["warehouse_id", "order_id"])
+        .groupBy(*_CELL)
+        .agg(F.sum("quantity").alias("_used"))
+    )
+    return later.join(used, _CELL, "left").withColumn(
+        "available", F.col("available") - F.coalesce("_used", F.lit(0))
+    ).drop("_used")
+
+
 def allocate(
     lines: DataFrame,
     stock: DataFrame,
     *,
     hot_rows: int = HOT_ROWS,
     fold_lines: int = FOLD_LINES,
+    first_lines: int = FIRST_LINES,
 ) -> DataFrame:
     """Allocate orders in ``(t, seq)`` order, all lines or none.
 
     ``lines``: ``order_id, seq, t, sku, quantity``, one per order and SKU.
-    Returns ``order_id, warehouse_id, reserved, reason``. Never oversells.
+    Lines of an order have its ``t, seq``. Returns ``order_id, warehouse_id,
+    reserved, reason``. Never oversells.
     """
     placed = place_lines(lines, stock)
     nowhere = placed.filter(F.col("warehouse_id").isNull()).select("order_id").distinct()
@@ -97,30 +145,34 @@ def allocate(
             F.lit(None).cast("boolean").alias("admitted"),
         )
     )
-    state = pinned(competing)
-    # lines keep their place in every round, so hot cells are measured once
-    slices = measure_slices(state, _CELL, "t", "seq", hot_rows)
-    is_open = F.col("admitted").isNull()
-    # refused lines take nothing from anybody and leave the rounds
-    refused = []
-    while state.filter(is_open).count() > fold_lines:
-        after = pinned(_round(state, slices))
-        refused.append(after.filter(~F.col("admitted")))
-        state = after.filter(F.coalesce("admitted", F.lit(True)))
-
-    taken = F.when(F.coalesce(F.col("admitted"), F.lit(False)), F.col("quantity")).otherwise(0)
-    rest = running_sums(
-        state, _CELL, "t", "seq", {"_taken": taken.cast("bigint")}, slices=slices
-    ).filter(is_open)
-    # at most ``fold_lines`` lines are open here, checked above
-    folded = (
-        rest.withColumn("left_before", F.col("available") - F.col("_taken"))
-        .groupBy("warehouse_id")
-        .applyInPandas(_fold_open_orders, _FOLDED)
-    )
-    done = reduce(DataFrame.unionByName, refused, state.filter(~is_open))
-    decided = done.groupBy("warehouse_id", "order_id").agg(F.first("admitted").alias("admitted"))
-    settled = decided.unionByName(folded).select(
+    waiting = stored(competing, "allocate-lines")
+    total, share = waiting.count(), first_lines
+    decided = []
+    while True:
+        # null times go first, as in every window here
+        until = None
+        if total > share:
+            until = waiting.agg(F.percentile_approx("t", share / total, 10_000)).first()[0]
+        is_now = F.col("t").isNull() | (F.col("t") <= F.lit(until))
+        now = waiting if until is None else stored(waiting.filter(is_now), "allocate-now")
+        done = _settled(now, hot_rows, fold_lines)
+        if until is None:
+            decided.append(done)
+            break
+        done = stored(done, "allocate-settled")
+        decided.append(done)
+        later = _left_for(waiting.filter(~is_now), now, done)
+        # stock only falls: an order with a line above what is left is never granted
+        lost = F.max(F.col("quantity") > F.col("available")).over(Window.partitionBy("order_id"))
+        is_lost = F.col("order_id").isNotNull() & F.coalesce(lost, F.lit(False))
+        later = stored(later.withColumn("_lost", is_lost), "allocate-later")
+        decided.append(
+            later.filter("_lost").groupBy("warehouse_id", "order_id").agg(F.lit(False).alias("admitted"))
+        )
+        waiting = stored(later.filter("not _lost").drop("_lost"), "allocate-lines")
+        total, share = waiting.count(), share * 4
+    decided = reduce(DataFrame.unionByName, decided)
+    settled = decided.select(
         "order_id",
         "warehouse_id",
         F.col("admitted").alias("reserved"),

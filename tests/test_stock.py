@@ -79,6 +79,26 @@ def test_allocation_matches_brute_force(spark, seed, fold_lines, hot_rows):
     assert min(left.values()) >= 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_later_orders_are_refused_by_what_first_ones_leave(spark, seed, monkeypatch):
+    stock, orders = random_orders(seed, n=400)
+    walked = []
+    settled = allocation._settled
+
+    def counted(state, *args):
+        walked.append(state.count())
+        return settled(state, *args)
+
+    monkeypatch.setattr(allocation, "_settled", counted)
+    out = allocation.allocate(
+        line_frame(spark, orders), stock_frame(spark, stock), fold_lines=10, first_lines=60
+    ).collect()
+    want, _ = models.allocate(stock, orders)
+    assert {r.order_id: (r.warehouse_id, r.reserved) for r in out} == want and len(out) == len(want)
+    # the stock is gone early, so most lines never compete
+    assert len(walked) > 1 and sum(walked) < sum(len(lines) for *_, lines in orders.values()) * 0.6
+
+
 def test_batches_of_one_order_pick_live(spark):
     stock, orders = random_orders(5, n=6)
     cells = stock_frame(spark, stock)
