@@ -2,8 +2,8 @@
 
 Spark reads a file of one JSON array in one task, as a border between records can
 only be told from what stands before it. Here a file is read as text that ends at
-quotes. Those pieces are cut by Spark like lines, so a piece is never divided, and
-a backslash that escapes a quote is in the piece before it. Each split is summed up
+commas. Those pieces are cut by Spark like lines, so a piece is never divided, and
+a backslash is in one piece with the quote that it escapes. Each split is summed up
 first: whether it has an odd number of quotes, and how many brackets deeper it ends,
 for either case of its beginning. Running totals over the splits say in what state
 each begins, and a second reading cuts each into records. What a split begins or
@@ -12,7 +12,6 @@ ends inside of is put together at the end.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,7 +28,7 @@ MOST_BROADCAST = 500_000
 _SUMMARY = "file string, block bigint, flips bigint, deeper0 bigint, deeper1 bigint, array boolean"
 _PIECE = "file string, block bigint, kind int, text string"
 _WHOLE, _HEAD, _TAIL = 0, 1, 2
-_BRACKET = re.compile(r"[\[\]{}]")
+_QUOTE, _SLASH = ord('"'), ord("\\")
 
 
 def read_array_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +51,7 @@ def read_array_texts(spark: SparkSession, path: str) -> DataFrame:
                 .repartition("file", "block")
                 .sortWithinPartitions("file", "block", "at")
             )
-        placed = placed.select("file", "block", "value", "in_string", "depth", "base")
+        placed = placed.select("file", "block", "value", "in_string", "depth", "base", "last")
         found = pinned(placed.mapInArrow(_cut, _PIECE))
     whole = found.filter(F.col("kind") == _WHOLE).select(F.col("text").alias("value"))
     return whole.unionByName(_joined(found.filter(F.col("kind") != _WHOLE)))
@@ -97,7 +96,7 @@ def _same_splits(spark: SparkSession) -> Iterator[None]:
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.option("lineSep", '"')
+        spark.read.option("lineSep", ",")
         .option("recursiveFileLookup", True)
         .text(path)
         .select(
@@ -121,7 +120,8 @@ def _states(summaries: DataFrame) -> DataFrame:
         summaries.withColumn("in_string", earlier(F.col("flips")) % 2)
         .withColumn("depth", earlier(deeper))
         .withColumn("base", F.first("array").over(in_file).cast("int"))
-        .select("file", "block", "in_string", "depth", "base")
+        .withColumn("last", F.lead("block").over(in_file).isNull())
+        .select("file", "block", "in_string", "depth", "base", "last")
     )
 
 
@@ -154,23 +154,26 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBat
         yield (run.column(0)[0].as_py(), run.column(1)[0].as_py()), run
 
 
-def _counted(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each piece: whether the quote behind it is one that opens or closes a
-    string, and the brackets that it opens and closes."""
-
-    def number(array: pa.Array) -> np.ndarray:
-        return array.to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def count(sign: str) -> np.ndarray:
-        return number(pc.count_substring(values, sign))
-
-    bare = pc.binary_length(pc.utf8_rtrim(values, characters="\\"))
-    slashes = number(pc.subtract(pc.binary_length(values), bare))
-    return 1 - slashes % 2, count("{") + count("["), count("}") + count("]")
-
-
-def _in_string(flips: np.ndarray, start: int) -> np.ndarray:
-    return (start + np.cumsum(flips) - flips) % 2
+def _signs(run: pa.Array, inside: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of pieces with their commas, how many quotes open or close a
+    string, and of each bracket where it stands, whether that is in a string (for
+    pieces that begin ``inside`` one, or not), and 1 or -1 as it opens or closes."""
+    pieces = pa.ListArray.from_arrays(pa.array([0, len(run)], pa.int32()), run)
+    joined = pc.binary_join(pieces, ",")[0].as_buffer()
+    text = np.frombuffer(joined, np.uint8)
+    quotes = np.flatnonzero(text == _QUOTE)
+    slashes = np.flatnonzero(text == _SLASH)
+    if len(slashes):
+        # a quote is escaped where an odd number of backslashes ends before it
+        first = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+        length = np.diff(first, append=len(slashes))
+        ends = slashes[first + length - 1][length % 2 == 1]
+        quotes = quotes[~np.isin(quotes, ends + 1)]
+    # brackets are [ ] { }, which differ in 0x20 and in 5B, 5D
+    folded = text & 0xDF
+    brackets = np.flatnonzero((folded == 0x5B) | (folded == 0x5D))
+    in_string = (inside + np.searchsorted(quotes, brackets)) % 2
+    return text, len(quotes), brackets, in_string, 0x5C - folded[brackets].astype(np.int64)
 
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,82 +192,81 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield row()
                 here, flips, deeper = split, 0, [0, 0]
                 array = run.column(2)[0].as_py().lstrip("﻿ \t\r\n").startswith("[")
-            turn, opened, closed = _counted(run.column(2))
-            inside = _in_string(turn, flips % 2)
-            net = opened - closed
-            deeper[0] += int(net[inside == 0].sum())
-            deeper[1] += int(net[inside == 1].sum())
-            flips += int(turn.sum())
+            _, turns, _, quoted, net = _signs(run.column(2), flips % 2)
+            deeper[0] += int(net[quoted == 0].sum())
+            deeper[1] += int(net[quoted == 1].sum())
+            flips += turns
     if here is not None:
         yield row()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    here, inside, depth, base = None, 0, 0, 0
-    # the text so far of the record that is open, None outside of records
-    held: list[str] | None = None
+    here, inside, depth, base, last = None, 0, 0, 0, False
+    # the bytes so far of the record that is open, none outside of records
+    held: list[bytes] = []
     kind = _TAIL
 
-    def rows(found: list[tuple[int, str]], split: tuple[str, int]) -> pa.RecordBatch:
-        n = len(found)
+    def rows(of_kind: int, texts: pa.Array) -> pa.RecordBatch:
+        n = len(texts)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([split[0]] * n, pa.string()),
-                pa.array([split[1]] * n, pa.int64()),
-                pa.array([k for k, _ in found], pa.int32()),
-                pa.array([t for _, t in found], pa.string()),
+                pa.array([here[0]] * n, pa.string()),
+                pa.array([here[1]] * n, pa.int64()),
+                pa.array([of_kind] * n, pa.int32()),
+                texts,
             ],
             ["file", "block", "kind", "text"],
         )
 
-    def left_open() -> list[tuple[int, str]]:
-        # the last piece of a split has its quote, or the file ends with it
-        return [] if held is None else [(kind, '"'.join(held) + '"')]
+    def held_text(end: bytes = b"") -> pa.Array:
+        return pa.array([b"".join(held) + end], pa.binary()).view(pa.string())
+
+    def left_open() -> pa.RecordBatch:
+        if last:
+            # the file breaks off: no comma stands there, and a string is closed
+            held.pop()
+            return rows(kind, held_text(b"" if held and held[-1].endswith(b'"') else b'"'))
+        return rows(kind, held_text())
 
     for batch in batches:
         for split, run in _runs(batch):
             if split != here:
-                if here is not None and held is not None:
-                    yield rows(left_open(), here)
+                if here is not None and depth > base:
+                    yield left_open()
                 if run.column(3)[0].as_py() is None:
                     raise ValueError(f"{split} was cut otherwise when it was summed up")
                 here = split
-                inside, depth, base = (run.column(i)[0].as_py() for i in (3, 4, 5))
-                held, kind = ([], _HEAD) if depth > base else (None, _TAIL)
-            turn, opened, closed = _counted(run.column(2))
-            quoted = _in_string(turn, inside)
-            net = np.where(quoted == 0, opened - closed, 0)
-            before = depth + np.cumsum(net) - net
-            borders = (quoted == 0) & (
-                ((before <= base) & (opened > 0)) | ((before - closed <= base) & (closed > 0))
-            )
-            texts = run.column(2).to_pylist()
-            found: list[tuple[int, str]] = []
-            row, column = 0, 0
-            for i in np.flatnonzero(borders).tolist():
-                level = int(before[i])
-                for bracket in _BRACKET.finditer(texts[i]):
-                    if bracket.group() in "[{":
-                        if level == base and held is None:
-                            held, kind, row, column = [], _TAIL, i, bracket.start()
-                        level += 1
-                        continue
-                    level -= 1
-                    if level == base and held is not None:
-                        held += _between(texts, row, column, i, bracket.end())
-                        found.append((_HEAD if kind == _HEAD else _WHOLE, '"'.join(held)))
-                        held, kind = None, _TAIL
-            if held is not None:
-                held += _between(texts, row, column, len(texts) - 1, None)
-            inside = int(inside + turn.sum()) % 2
+                inside, depth, base, last = (run.column(i)[0].as_py() for i in (3, 4, 5, 6))
+                held, kind = [], _HEAD if depth > base else _TAIL
+            text, turns, brackets, quoted, net = _signs(run.column(2), inside)
+            brackets, net = brackets[quoted == 0], net[quoted == 0]
+            after = depth + np.cumsum(net)
+            # records are what lies deeper than their array
+            starts = brackets[(net == 1) & (after == base + 1)]
+            ends = brackets[(net == -1) & (after == base)] + 1
+            if depth > base:
+                head = text[: ends[0]] if len(ends) else text
+                held.append(head.tobytes())
+                if len(ends):
+                    yield rows(_HEAD if kind == _HEAD else _WHOLE, held_text())
+                    held, kind, ends = [], _TAIL, ends[1:]
+            if len(ends):
+                yield rows(_WHOLE, _slices(text, starts[: len(ends)], ends))
+            if len(starts) > len(ends):
+                held = [text[starts[-1] :].tobytes()]
             depth += int(net.sum())
-            if found:
-                yield rows(found, here)
-    if here is not None and held is not None:
-        yield rows(left_open(), here)
-
-
-def _between(texts: list[str], row: int, column: int, last: int, end: int | None) -> list[str]:
-    if row == last:
-        return [texts[row][column:end]]
-    return [texts[row][column:], *texts[row + 1 : last], texts[last][:end]]
+            if depth > base:
+                held.append(b",")
+            inside = (inside + turns) % 2
+    if here is not None and depth > base:
+        yield left_open()
+
+
+def _slices(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The stretches of a text as strings; they do not overlap."""
+    inner = np.zeros(len(text) + 1, np.int8)
+    inner[starts] += 1
+    inner[ends] -= 1
+    kept = text[np.cumsum(inner[:-1], dtype=np.int8) == 1]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))

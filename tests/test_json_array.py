@@ -92,3 +92,24 @@ def test_written_arrays_are_read_back(spark, tmp_path):
     assert 0 < len(files) <= 3
     assert sorted(x["id"] for f in files for x in json.loads(f)) == list(range(500))
     assert sorted(json.loads(t)["id"] for t in texts(spark, tmp_path / "out")) == list(range(500))
+
+
+def test_records_come_in_few_pieces(spark, tmp_path):
+    record = {"event_id": "1", "order_id": "O-1", "payload": {"order_id": "O-1", "customer_id": "7"}}
+    (tmp_path / "a.json").write_text(json.dumps([record] * 100))
+    # a piece costs a row twice: one a member, not one a quote
+    assert json_array._pieces(spark, str(tmp_path)).count() <= 400
+    assert [json.loads(x) for x in texts(spark, tmp_path)] == [record] * 100
+
+
+def test_many_batches_of_one_split(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    records = [*HARD, {"long": ["x" * 50, *range(40)]}] * 3
+    (tmp_path / "a.json").write_text(json.dumps(records))
+    try:
+        for size in (1, 2, 5):
+            spark.conf.set(name, size)
+            assert [json.loads(x) for x in texts(spark, tmp_path)] == records
+    finally:
+        spark.conf.set(name, before)
