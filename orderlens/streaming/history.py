@@ -1,9 +1,10 @@
 """Customer history as keyed state, so that a stream can score its orders.
 
-The state of a customer is three sums, a chargeback count, the BINs seen and
-the times inside the velocity window. Arrival order rules: rows are applied in
-time order within a micro-batch, and a late order counts what is there. Where the
-order of time must rule, rows wait for the watermark (``OrderedHistory``).
+The state of a customer is three sums, a chargeback count, the BINs seen (a map
+beyond the first few) and the times inside the velocity window. Arrival order
+rules: rows are applied in time order within a micro-batch, and a late order counts
+what is there. Where the order of time must rule, rows wait for the watermark
+(``OrderedHistory``).
 """
 
 from __future__ import annotations
@@ -18,10 +19,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from orderlens import schemas
 from orderlens.functions.clock import MICROS, epoch_micros
 
+#: A row of the processors holds the views of many orders of a customer, a list a column.
 _OUT = (
-    "seq long, prior_orders long, prior_cents long, prior_cents_sq double, "
-    "prior_bin_orders long, bin_is_new boolean, velocity_count long, prior_chargeback_count long"
+    "seq array<long>, prior_orders array<long>, prior_cents array<long>, prior_cents_sq array<double>, "
+    "prior_bin_orders array<long>, bin_is_new array<boolean>, velocity_count array<long>, "
+    "prior_chargeback_count array<long>"
 )
+_COLUMNS = [
+    "seq", "prior_orders", "prior_cents", "prior_cents_sq",
+    "prior_bin_orders", "bin_is_new", "velocity_count", "prior_chargeback_count",
+]
+_EVENT = ["us", "kind", "seq", "cents", "bin"]
+#: Most orders in one row.
+_VIEWS = 10_000
+#: BINs that stand beside the sums; further ones are entries of a map.
+_FEW_BINS = 16
 
 
 class CustomerHistory(StatefulProcessor):
@@ -34,22 +46,25 @@ class CustomerHistory(StatefulProcessor):
         self.sums = handle.getValueState(
             "sums",
             "orders long, cents long, squares string, bin_orders long, chargebacks long, "
-            "recent array<long>",
+            "recent array<long>, few_bins array<string>",
         )
         self.bins = handle.getMapState("bins", "bin string", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self._advance(sorted((r.us, r.kind, r.seq, r.cents, r.bin) for r in rows))
+        yield from self._advance(sorted(r[-len(_EVENT):] for r in rows))
 
     def _advance(self, rows: list[tuple], **flags: bool) -> Iterator[Row]:
         """Apply sorted rows to the state, and emit each order's view before it.
 
-        The times seen stay sorted, so a row finds its window by bisection, and
+        Views leave as lists of many orders, as a row or a call of the state costs
+        Python more than an order does. The times seen stay sorted, so a row finds its window by bisection, and
         what has left the window is dropped once per call.
         """
         held = self.sums.get()
-        orders, cents, squares, bin_orders, chargebacks, recent = held or (0, 0, "0", 0, 0, [])
-        squares, recent = int(squares), list(recent)
+        orders, cents, squares, bin_orders, chargebacks, recent, few = held or (0, 0, "0", 0, 0, [], [])
+        squares, recent, few = int(squares), list(recent), list(few)
+        emitted = Row(*_COLUMNS, *flags)
+        views: list[tuple] = []
         # each BIN of the batch is looked up in the state at most once
         known: dict[str, bool] = {}
         for us, kind, seq, amount, bin_ in rows:
@@ -57,28 +72,32 @@ class CustomerHistory(StatefulProcessor):
                 chargebacks += 1 if orders else 0
                 continue
             if bin_ and bin_ not in known:
-                known[bin_] = bool(held) and self.bins.containsKey((bin_,))
-            yield Row(
-                seq=seq,
-                prior_orders=orders,
-                prior_cents=cents,
-                prior_cents_sq=float(squares),
-                prior_bin_orders=bin_orders,
-                bin_is_new=bool(bin_) and not known[bin_],
-                velocity_count=len(recent) - bisect_left(recent, us - self.window),
-                prior_chargeback_count=chargebacks,
-                **flags,
+                known[bin_] = bin_ in few or (
+                    bool(held) and len(few) == _FEW_BINS and self.bins.containsKey((bin_,))
+                )
+            velocity = len(recent) - bisect_left(recent, us - self.window)
+            is_new = bool(bin_) and not known[bin_]
+            views.append(
+                (seq, orders, cents, float(squares), bin_orders, is_new, velocity, chargebacks, *flags.values())
             )
+            if len(views) == _VIEWS:
+                yield emitted(*map(list, zip(*views)))
+                views = []
             orders, cents, squares = orders + 1, cents + amount, squares + amount**2
             if bin_:
                 bin_orders += 1
                 if not known[bin_]:
-                    self.bins.updateValue((bin_,), (True,))
+                    if len(few) < _FEW_BINS:
+                        few.append(bin_)
+                    else:
+                        self.bins.updateValue((bin_,), (True,))
                     known[bin_] = True
             insort(recent, us)
+        if views:
+            yield emitted(*map(list, zip(*views)))
         if orders or held:
             gone = bisect_left(recent, recent[-1] - self.window) if recent else 0
-            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks, recent[gone:]))
+            self.sums.update((orders, cents, str(squares), bin_orders, chargebacks, recent[gone:], few))
 
     def close(self) -> None:
         pass
@@ -105,7 +124,7 @@ class OrderedHistory(CustomerHistory):
         front = self.front.get()
         late, early = [], []
         for r in rows:
-            row = (r.us, r.kind, r.seq, r.cents, r.bin)
+            row = r[-len(_EVENT):]
             (late if front and row[:3] < tuple(front) else early).append(row)
         if late:
             yield from self._advance(sorted(late), late=True)
@@ -160,12 +179,18 @@ def history_events(
 
 def stream_history(events: DataFrame, window_seconds: int = schemas.VELOCITY_SECONDS) -> DataFrame:
     """``customer_id, seq`` and the history columns of every order."""
-    return events.groupBy("customer_id").transformWithState(
+    views = events.select("customer_id", *_EVENT).groupBy("customer_id").transformWithState(
         statefulProcessor=CustomerHistory(window_seconds),
         outputStructType=_OUT,
         outputMode="Append",
         timeMode="None",
     )
+    return _a_row_per_order(views, _COLUMNS)
+
+
+def _a_row_per_order(views: DataFrame, columns: list[str]) -> DataFrame:
+    others = [c for c in views.columns if c not in columns]
+    return views.select(*others, F.inline(F.arrays_zip(*columns)))
 
 
 def stream_history_in_order(
@@ -180,9 +205,10 @@ def stream_history_in_order(
     """
     timed = events.withColumn("_event_time", F.timestamp_micros("us")).withWatermark("_event_time", delay)
     # without its time column the state does not drop what is behind the watermark
-    return timed.drop("_event_time").groupBy("customer_id").transformWithState(
+    views = timed.select("customer_id", *_EVENT).groupBy("customer_id").transformWithState(
         statefulProcessor=OrderedHistory(window_seconds),
-        outputStructType=f"{_OUT}, late boolean",
+        outputStructType=f"{_OUT}, late array<boolean>",
         outputMode="Append",
         timeMode="EventTime",
     )
+    return _a_row_per_order(views, [*_COLUMNS, "late"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.clock import add_seconds, from_epoch_seconds
 from orderlens.operators import history
 from orderlens.streaming import events, run
-from orderlens.streaming.history import history_events, stream_history, stream_history_in_order
+from orderlens.streaming.history import CustomerHistory, history_events, stream_history, stream_history_in_order
 from orderlens.streaming.ledger import stream_ledger
 from tests import models
 from tests.test_stock import CELLS, MOVES, OPENING, some_movements
@@ -82,6 +82,47 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert as_tuples(batch.collect()) == as_tuples(again.collect())
 
 
+def test_many_bins_are_known_after_a_restart(spark, tmp_path):
+    """The first BINs stand beside the sums, the others in a map."""
+    orders = [("A", 100 * i, i, 5, str(i % 40)) for i in range(100)]
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    write_orders(spark, folder, orders[:50], 1)
+    streamed(spark, folder, out, check)
+    write_orders(spark, folder, orders[50:], 1)
+    rows = streamed(spark, folder, out, check).collect()
+    assert {r.seq: r.bin_is_new for r in rows} == {i: i < 40 for i in range(100)}
+
+
+class _Kept:
+    """A state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+
+
+def test_a_customer_takes_few_rows_and_calls():
+    """A call of the state and a row to Spark each cost more than an order does."""
+    one = CustomerHistory()
+    one.sums, one.bins = _Kept(), _Kept()
+    for batch in range(2):
+        rows = [("A", batch * 1000 + i, 0, batch * 1000 + i, 5, str(i % 9)) for i in range(500)]
+        views = [*one.handleInputRows(("A",), iter(rows), None)]
+        assert [len(v.seq) for v in views] == [500]
+    assert one.sums.calls == 2 and one.bins.calls == 0 and one.sums.value[0] == 1000
+
+
 def test_a_late_order_counts_what_has_arrived(spark, tmp_path):
     """In a stream arrival rules: the late order sees the newer one."""
     folder = str(tmp_path / "in")
