@@ -12,7 +12,7 @@ from orderlens.catalog.prelude import LEDGER, TURNS
 from orderlens.catalog.registry import query
 from orderlens.functions.clock import ntz
 from orderlens.operators import allocation, flow, inventory, ledger, orders, scoring, turns
-from orderlens.plans.storage import pinned
+from orderlens.plans.storage import pinned, stored
 from orderlens.sources import log
 
 NOW = "2024-01-01 06:30:00"
@@ -538,8 +538,9 @@ APPROVED_IN_TURN = f"""WITH RECURSIVE asking AS (SELECT order_id FROM rt WHERE a
 @query("approve_in_turn", APPROVED_IN_TURN)
 def approve_in_turn(spark, sf_dir):
     """Approved orders compete for the stock in arrival order; nothing is oversold."""
+    routed = risk.routed(spark, sf_dir).select("order_id", "score", "band", "action", "route_reason")
     return flow.outcome_in_turn(
-        pinned(risk.routed(spark, sf_dir)), adapter.timed_lines(spark, sf_dir), adapter.stock(spark)
+        stored(routed, "turns-routed"), adapter.timed_lines(spark, sf_dir), adapter.stock(spark)
     ).select("order_id", "band", "status", "hold_reason", "warehouse_id")
 
 
