@@ -19,4 +19,4 @@ def test_query_agrees_with_its_oracle(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert sorted(set(QUERIES) - set(ORACLES)) == ["log_partition", "reserve_orders_fold"]
+    assert sorted(set(QUERIES) - set(ORACLES)) == ["reserve_orders_fold"]
