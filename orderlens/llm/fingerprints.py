@@ -49,11 +49,13 @@ def _sample(k: int, rates: Column, logs: Column) -> Column:
     """The k-th sample of a term of log weight ``lw``, so that the least over all
     terms is the document's: its order above, the sample itself below."""
     bits = F.xxhash64("term", F.lit(k))
-    r = F.get(rates, F.shiftrightunsigned(bits, 54).cast("int"))
-    log_c = F.get(logs, F.shiftrightunsigned(bits, 44).bitwiseAND(LEVELS - 1).cast("int"))
+    # every place is in the tables; saying so spares the checks for null from here on
+    r = F.coalesce(F.get(rates, F.shiftrightunsigned(bits, 54)), F.lit(1.0))
+    place = F.shiftrightunsigned(bits, 44).bitwiseAND(LEVELS - 1)
+    log_c = F.coalesce(F.get(logs, place), F.lit(0.0))
     beta = bits.bitwiseAND((1 << 24) - 1).cast("double") * (2.0**-24)
     t = F.floor(F.col("lw") / r + beta)
-    order = ((log_c - r * (t - beta) - r + 64.0) * float(1 << 31)).cast("bigint")
+    order = F.floor((log_c - r * (t - beta) - r + 64.0) * float(1 << 31))
     own = bits.bitwiseXOR(t).bitwiseAND((1 << SAMPLE_BITS) - 1)
     return F.shiftleft(order, SAMPLE_BITS).bitwiseOR(own)
 
@@ -64,45 +66,85 @@ def _terms(text: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def weighted_terms(df: DataFrame, *carried: str) -> DataFrame:
-    """A row per different word of ``body``: ``term`` and ``n``.
+def _with_runs(df: DataFrame, body: str, name: str) -> DataFrame:
+    """The different words of ``body``: an array ``name`` of ``term`` and ``n``.
 
-    Words are sorted as hashes inside the row and counted by their runs; a text
-    without words is one row with a null term.
+    Words are sorted as hashes inside the row and counted by their runs.
     """
-    ends = F.filter(
+    terms, ends = f"{name}_terms", f"{name}_ends"
+    last = F.filter(
         F.transform(
-            "_terms",
-            lambda h, i: F.when(
-                (i + 1 == F.size("_terms")) | (F.get("_terms", i + 1) != h), i
-            ),
+            terms,
+            lambda h, i: F.when((i + 1 == F.size(terms)) | (F.get(terms, i + 1) != h), i),
         ),
         lambda i: i.isNotNull(),
     )
     runs = F.transform(
-        "_ends",
+        ends,
         lambda e, i: F.struct(
-            F.get("_terms", e).alias("term"),
-            (e - F.coalesce(F.get("_ends", F.when(i > 0, i - 1)), F.lit(-1))).alias("n"),
+            F.get(terms, e).alias("term"),
+            (e - F.coalesce(F.get(ends, F.when(i > 0, i - 1)), F.lit(-1))).alias("n"),
         ),
     )
     return (
-        df.withColumn("_terms", _terms(F.col("body")))
-        .withColumn("_ends", ends)
-        .select(*carried, F.explode_outer(runs).alias("x"))
-        .select(*carried, "x.term", "x.n")
+        df.withColumn(terms, _terms(F.col(body)))
+        .withColumn(ends, last)
+        .withColumn(name, runs)
+        .drop(terms, ends)
     )
 
 
-def signatures(terms: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFrame:
-    """One fingerprint per key: an array ``samples`` of consistent weighted samples.
+#: Where a term stands: in the text, in the edited text, or once in each.
+OWN, OTHER, BOTH = 0, 1, 2
+
+
+def weighted_terms(df: DataFrame, *carried: str) -> DataFrame:
+    """A row per different word of ``text`` and of ``edited``: ``which``, ``term``, ``n``.
+
+    A word that is once in each is one row of ``which`` BOTH, so that its samples,
+    which are the same for both, are drawn once. A row without words in either
+    is one row of nulls; a null text has no words.
+    """
+
+    def single(runs: str) -> Column:
+        return F.transform(F.filter(runs, lambda x: x["n"] == 1), lambda x: x["term"])
+
+    def row(which: int, term: Column, n: Column) -> Column:
+        return F.struct(F.lit(which).alias("which"), term.alias("term"), n.alias("n"))
+
+    def ones(which: int, terms: Column) -> Column:
+        return F.transform(terms, lambda t: row(which, t, F.lit(1)))
+
+    def more(which: int, runs: str) -> Column:
+        many = F.filter(runs, lambda x: x["n"] > 1)
+        return F.transform(many, lambda x: row(which, x["term"], x["n"]))
+
+    found = df
+    for body, name in (("text", "_own"), ("edited", "_other")):
+        body_or_empty = found.withColumn(f"{name}_body", text_or_empty(body))
+        found = _with_runs(body_or_empty, f"{name}_body", name).drop(f"{name}_body")
+        found = found.withColumn(f"{name}_ones", single(name))
+    rows = F.concat(
+        ones(BOTH, F.array_intersect("_own_ones", "_other_ones")),
+        ones(OWN, F.array_except("_own_ones", "_other_ones")),
+        ones(OTHER, F.array_except("_other_ones", "_own_ones")),
+        more(OWN, "_own"),
+        more(OTHER, "_other"),
+    )
+    return found.select(*carried, F.explode_outer(rows).alias("x")).select(
+        *carried, "x.which", "x.term", "x.n"
+    )
+
+
+def least_samples(terms: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFrame:
+    """The least consistent weighted samples of each key: an array ``least``.
 
     For a term of weight w, gamma variables r and c and a uniform beta, all
     drawn from the term's hash, t = floor(ln w / r + beta), and ln a = ln c -
     r (t - beta) - r; the term of least a, with its t, is the sample. Two texts
     agree in a sample with the probability of their generalised Jaccard
     similarity. The gamma variables come from tables of their quantiles. All
-    samples are taken in one aggregation. Without terms all samples are 0.
+    samples are taken in one aggregation. Terms are not null.
     """
     levels = gamma_levels(LEVELS)
     rates, logs = _table(levels), _table([math.log(x) for x in levels])
@@ -111,18 +153,25 @@ def signatures(terms: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFram
     # this step from being fused, so that each sample gets a method of its own.
     *first, last = keys
     apart = F.element_at(F.transform(F.array(last), lambda x: x), 1).alias(last)
-    logs_of = terms.withColumn("lw", F.log(F.col("n").cast("double")))
-    drawn = logs_of.select(
+    weighed = terms.withColumn("lw", F.coalesce(F.log(F.col("n").cast("double")), F.lit(0.0)))
+    weighed = weighed.withColumn("term", F.coalesce("term", F.lit(0)))
+    drawn = weighed.select(
         *first, apart, F.array(*[_sample(k, rates, logs) for k in range(samples)]).alias("drawn")
     )
     least = drawn.groupBy(*keys).agg(
         *[F.min(F.get("drawn", F.lit(k))).alias(f"v{k}") for k in range(samples)]
     )
-    low = [
-        F.coalesce(F.col(f"v{k}").bitwiseAND((1 << SAMPLE_BITS) - 1), F.lit(0)).cast("int")
-        for k in range(samples)
-    ]
-    return least.select(*keys, F.array(*low).alias("samples"))
+    return least.select(*keys, F.array(*[f"v{k}" for k in range(samples)]).alias("least"))
+
+
+def united(a: Column, b: Column, samples: int = SAMPLES) -> Column:
+    """The fingerprint of a text from the least samples of two parts of its terms.
+
+    A part without terms is null; without any term all samples are 0.
+    """
+    least = F.zip_with(F.coalesce(a, b), F.coalesce(b, a), lambda x, y: F.least(x, y))
+    low = F.transform(least, lambda x: x.bitwiseAND((1 << SAMPLE_BITS) - 1).cast("int"))
+    return F.coalesce(low, F.array_repeat(F.lit(0), samples))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -224,14 +273,19 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         .withColumn("row", F.monotonically_increasing_id())
     )
     keys = ("part", "row", "guest", "doc_id", "_tie", "n_chars", "edited_sha256")
-    both = F.when(F.col("guest"), F.array("text")).otherwise(F.array("text", "edited"))
-    spread = bodies.select(*keys, F.posexplode(both).alias("which", "body"))
-    signed = signatures(
-        weighted_terms(spread, *keys, "which"), *keys, "which", samples=samples
+    # of a guest only the text is asked for
+    asked = bodies.withColumn("edited", F.when(~F.col("guest"), F.col("edited")))
+    signed = least_samples(weighted_terms(asked, *keys), *keys, "which", samples=samples)
+    parts = signed.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("which") == which, F.col("least"))).alias(f"_{which}")
+            for which in (OWN, OTHER, BOTH)
+        ]
     )
-    paired = signed.groupBy(*keys).agg(
-        F.max(F.when(F.col("which") == 0, F.col("samples"))).alias("own"),
-        F.max(F.when(F.col("which") == 1, F.col("samples"))).alias("other"),
+    paired = parts.select(
+        *keys,
+        united(F.col(f"_{OWN}"), F.col(f"_{BOTH}"), samples).alias("own"),
+        united(F.col(f"_{OTHER}"), F.col(f"_{BOTH}"), samples).alias("other"),
     )
     return (
         paired.withColumn("next", F.lead("own").over(order))

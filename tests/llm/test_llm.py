@@ -212,6 +212,37 @@ def test_fingerprints(docs):
     assert texts[43] == texts[45] and all(0 <= r.near_next <= 1 for r in out)
 
 
+def test_words_once_in_both_texts_are_drawn_once(spark):
+    rows = [(0, "a b c c", "b c d d d"), (1, "x", None), (2, None, None), (3, "y y", "y y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, edited string")
+    got = defaultdict(Counter)
+    for r in fingerprints.weighted_terms(df, "doc_id").collect():
+        got[r.doc_id][r.which, r.n] += 1
+    own, other, both = fingerprints.OWN, fingerprints.OTHER, fingerprints.BOTH
+    assert got[0] == {(both, 1): 1, (own, 1): 1, (own, 2): 1, (other, 1): 1, (other, 3): 1}
+    assert got[1] == {(own, 1): 1} and got[2] == {(None, None): 1}
+    assert got[3] == {(own, 2): 1, (other, 2): 1}
+
+
+def test_edited_text_has_the_fingerprint_of_an_equal_text(spark):
+    rng = random.Random(5)
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))) for _ in range(12)] + ["", "\t"]
+    half = [
+        t[: len(t) - len(t) // 2] + texts[(n + 1) % len(texts)][: len(t) // 2]
+        for n, t in enumerate(texts)
+    ]
+    # the same order by descending id first; the edited texts are documents of their own below
+    rows = [(1000 - n, t) for n, t in enumerate(texts)] + [(987 - len(texts), texts[0])]
+    rows += [(100 - n, t) for n, t in enumerate(half)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in fingerprints.fingerprint_edits(df).collect()}
+    for n, t in enumerate(half):
+        r = out[1000 - n]
+        assert r.edited_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert r.edited_fingerprint == out[100 - n].fingerprint
+
+
 def test_exact_dedup(docs):
     def normal(text):
         return re.sub(r"[\x20\x09-\x0D]", "", text or "")
