@@ -11,7 +11,7 @@ from orderlens.catalog.registry import query
 from orderlens.catalog.stock import opening_stock
 from orderlens.functions.clock import add_seconds, epoch_micros
 from orderlens.operators import history, scoring
-from orderlens.plans.storage import fresh_path
+from orderlens.plans.storage import fresh_path, stored
 from orderlens.streaming import events, run
 from orderlens.streaming.expiry import stream_expiry
 from orderlens.streaming.history import history_events, stream_history, stream_history_in_order
@@ -68,7 +68,10 @@ def stream_history_ordered(spark, sf_dir):
     """Orders that the watermark has passed, each after all older ones; a stream
     keeps the last ten minutes waiting."""
     orders = adapter.order_arrivals(_Streamed(spark, "orders"), sf_dir)
-    has_lines = adapter.baskets(spark, sf_dir).select("seq", F.lit(True).alias("has_lines"))
+    # written once, as the batch that only moves the watermark joins them too
+    has_lines = stored(
+        adapter.baskets(spark, sf_dir).select("seq", F.lit(True).alias("has_lines")), "has-lines"
+    )
     past = stream_history_in_order(
         history_events(
             orders.join(has_lines, "seq", "left"),

@@ -2,13 +2,22 @@ import random
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions.clock import add_seconds, from_epoch_seconds
 from orderlens.operators import history
 from orderlens.streaming import events, run
-from orderlens.streaming.history import CustomerHistory, history_events, stream_history, stream_history_in_order
+from orderlens.streaming.history import (
+    CustomerHistory,
+    OrderedHistory,
+    _deal,
+    _views,
+    history_events,
+    stream_history,
+    stream_history_in_order,
+)
 from orderlens.streaming.ledger import stream_ledger
 from tests import models
 from tests.test_stock import CELLS, MOVES, OPENING, some_movements
@@ -179,6 +188,111 @@ def test_an_order_behind_the_watermark_is_kept_and_flagged(spark, tmp_path):
     }
 
 
+def test_customers_of_a_group_are_kept_apart(spark, tmp_path):
+    """Two groups, a customer without id, BINs beyond the first few that customers
+    share, copies of orders, over files and a restart."""
+    rng = random.Random(11)
+    customers, bins = [*"ABCDEF", None], ["", *map(str, range(30))]
+    orders = [
+        (rng.choice(customers), 10 * i, i, rng.randrange(1, 10**7), rng.choice(bins)) for i in range(400)
+    ]
+    shuffled = sorted(orders, key=lambda o: o[1] + rng.randrange(400))
+
+    def go():
+        source = run.file_stream(spark, str(tmp_path / "in"), "*.parquet", 1)
+        backs = add_seconds(F.col("received_at"), 50)
+        past = stream_history_in_order(
+            history_events(source, F.lit(True), F.col("seq") % 4 == 0, backs), "500 seconds", groups=2
+        )
+        return run.catch_up(past, "t", str(tmp_path / "out"), str(tmp_path / "check"))
+
+    write_orders(spark, str(tmp_path / "in"), shuffled[:200], 2)
+    go()
+    # the last orders come twice, and the first of a customer does so too late
+    again = [orders[-1], orders[-2]]
+    write_orders(spark, str(tmp_path / "in"), shuffled[200:] + again, 2)
+    write_orders(spark, str(tmp_path / "in"), [("Z", 90_000, 999, 1, "")], 1)
+    go()
+    write_orders(spark, str(tmp_path / "in"), [("A", 0, 1000, 1, "1")], 1)
+    rows = go().collect()
+    backs = [(c, t + 50, seq) for c, t, seq, _, _ in orders if seq % 4 == 0]
+    want = models.history(orders, backs)
+    twice = {o[2] for o in again}
+    assert as_tuples(r for r in rows if not r.late and r.seq not in twice) == {
+        seq: view for seq, view in want.items() if seq not in twice
+    }
+    assert sorted(r.seq for r in rows if r.seq in twice) == sorted([*twice, *twice])
+    assert {r.prior_orders for r in rows if r.late} == {sum(o[0] == "A" for o in orders + again)}
+
+
+class _Listed(_Kept):
+    """A list state that counts its calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.value = []
+
+    def get(self):
+        self.calls += 1
+        return iter(self.value)
+
+    def put(self, values):
+        self.value, self.calls = list(values), self.calls + 1
+
+    def appendList(self, values):  # noqa: N802
+        self.value, self.calls = self.value + values, self.calls + 1
+
+    def appendValue(self, value):  # noqa: N802
+        self.appendList([value])
+
+    def clear(self):
+        self.put([])
+
+    registerTimer = deleteTimer = containsKey = _Kept.containsKey
+
+
+def test_a_group_takes_few_calls_of_the_state():
+    """A call costs far more than a row, so it serves many customers."""
+    schema = pa.schema(
+        [("customer_id", pa.int64()), *((c, pa.int64()) for c in ("us", "kind", "seq", "cents")), ("bin", pa.string())]
+    )
+    group = OrderedHistory(schema, "bigint")
+    group.waiting, group.pasts, group.alarm, group.bins, group.handle = (_Listed() for _ in range(5))
+    group.alarm.get = lambda: None
+    states = group.waiting, group.pasts, group.alarm, group.bins, group.handle
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10_000_000
+
+    for batch in range(2):
+        rows = [(c, batch * 1000 + i, 0, batch * 1000 + i, 5, "1") for c in range(300) for i in range(3)]
+        batches = [pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows)), pa.array([7] * 900, pa.int32())], [*schema.names, "group_no"])]
+        (dealt,) = _deal(iter(batches), schema)
+        assert dealt["group_no"].to_pylist() == [7]
+        list(group.handleInputRows((7,), iter([(7, dealt["piece"][0].as_py())]), None))
+        (views,) = group.handleExpiredTimer((7,), Passed(), None)
+        (found,) = _views(iter([pa.record_batch({"views": [views.views]})]))
+        assert Counter(found["prior_orders"].to_pylist()) == {batch * 3 + i: 300 for i in range(3)}
+    assert sum(s.calls for s in states) < 40
+
+
+def test_pieces_hold_the_rows_of_one_group(monkeypatch):
+    monkeypatch.setattr("orderlens.streaming.history._DEALT", 20)
+    monkeypatch.setattr("orderlens.streaming.history._PIECE", 3)
+    schema = pa.schema([("customer_id", pa.string()), ("us", pa.int64()), ("bin", pa.string())])
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(9), rng.choice(["1", None]), rng.randrange(4)) for _ in range(70)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip([*schema.names, "group_no"], r)) for r in rows[i : i + 7]]) for i in range(0, 70, 7)]
+    got = []
+    for dealt in _deal(iter([b.cast(pa.schema([*schema, ("group_no", pa.int32())])) for b in batches]), schema):
+        for group, piece in zip(dealt["group_no"].to_pylist(), dealt["piece"].to_pylist()):
+            held = pa.ipc.read_record_batch(pa.py_buffer(piece), schema)
+            assert 0 < held.num_rows <= 3
+            got += [(*r.values(), group) for r in held.to_pylist()]
+    assert Counter(got) == Counter(rows)
+
+
 def test_redelivery_in_a_later_batch_has_no_effect(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.range(10).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(folder)
